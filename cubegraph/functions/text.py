@@ -98,15 +98,17 @@ def uri_component(text: Column) -> Column:
     return encoded
 
 
-def expand(template: str, **columns: Column) -> Column:
-    """IRI from a template with ``{name}`` slots; null where a column is null."""
+def expand(template: str, segments: dict[str, Column]) -> Column:
+    """IRI from a template with ``{name}`` slots; null where a segment is null.
+
+    Segments are text as it shall appear, encoded by :func:`iri_segment` if need be.
+    """
     parts, rest = [], template
     while "{" in rest:
         head, rest = rest.split("{", 1)
         name, rest = rest.split("}", 1)
-        value = columns[name]
-        parts += [F.lit(head), F.when(value.isNotNull(), iri_segment(value.cast("string")))]
-    return F.concat(*parts, F.lit(rest))
+        parts += [F.lit(head), segments[name]]
+    return F.concat(*parts, F.lit(rest)) if rest else F.concat(*parts)
 
 
 def last_segment(iri: Column) -> Column:

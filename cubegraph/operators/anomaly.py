@@ -299,14 +299,15 @@ def isolation_scores(
     spread_steps = steps.join(chunks, by).withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))
     )
-    spread_points = ranked.join(chunks, by).withColumn("_chunk", F.pmod("_rank", F.col("_chunks")))
+    sized = chunks.select(*by, F.col("_n").alias("_size"), F.col("_chunks").alias("_parts"))
+    spread_points = ranked.join(sized, by).withColumn("_chunk", F.pmod("_rank", F.col("_parts")))
 
     def score(point: pd.DataFrame, step: pd.DataFrame) -> pd.DataFrame:
         step = step.sort_values("_low")
         total = step["_step"].to_numpy().cumsum()
         at = np.searchsorted(step["_low"].to_numpy(), point["_x"].to_numpy(), side="left") - 1
         depth = total[np.clip(at, 0, None)] / n_trees
-        size = min(sample, int(point["_n"].iloc[0]))
+        size = min(sample, int(point["_size"].iloc[0]))
         out = point[[*by, unit]].copy()
         out["score"] = 2.0 ** (-depth / max(_average_path(size), 1e-12))
         return out

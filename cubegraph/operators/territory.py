@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cubegraph.functions.geo import KM_PER_DEGREE, RADIUS_KM, distance_km
 from cubegraph.operators.ordering import top_k_per_key
+from cubegraph.session import materialise_table
 
 _MARGIN = 1 + 1e-9  # keeps rounding from putting a partner two cells away
 
@@ -135,10 +136,13 @@ def knn_pairs(
     reach = math.ceil(diagonal)
 
     fine = 2**max_level
-    offered = top_k_per_key(located, ["latitud", "longitud"], ["id_ubicacion"], k + 1).select(
-        "*",
-        _cell(F.col("latitud"), lat_size / fine).alias("gy"),
-        _cell(F.col("longitud"), lon_size / fine).alias("gx"),
+    offered = materialise_table(
+        top_k_per_key(located, ["latitud", "longitud"], ["id_ubicacion"], k + 1).select(
+            "*",
+            _cell(F.col("latitud"), lat_size / fine).alias("gy"),
+            _cell(F.col("longitud"), lon_size / fine).alias("gx"),
+        ),
+        "knn-candidates",
     )
     levels = _grid_levels(offered, k + 1, max_level)
     halvings = F.explode(F.sequence(F.lit(0), F.lit(levels)))

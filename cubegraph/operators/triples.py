@@ -7,16 +7,18 @@ scanned once, however many properties the map has.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from cubegraph.functions import dates, geo
 from cubegraph.functions.numbers import fixed2
-from cubegraph.functions.text import expand
+from cubegraph.functions.text import expand, iri_segment
 from cubegraph.operators.ordering import enumerate_rows
 from cubegraph.session import materialise_table
 from cubegraph.sources.vocabulary import (
@@ -39,17 +41,22 @@ LEVEL = AGUA + "devindex/{indice_des}"
 
 @dataclass(frozen=True)
 class Property:
-    """One predicate of a map: a template, a constant or a literal column."""
+    """One predicate of a map: a template, a constant or a literal column.
+
+    ``row_unique`` states that no two rows of the table give the same triple,
+    even if they name the same subject.
+    """
 
     predicate: str
     value: str | Column
     kind: str = "literal"
     datatype: str | None = None
     lang: str | None = None
+    row_unique: bool = False
 
-    def triple(self, columns: dict[str, Column]) -> Column:
+    def triple(self, columns: dict[str, Column], segments: dict[str, Column]) -> Column:
         if self.kind == "iri":
-            value = expand(self.value, **columns)
+            value = expand(self.value, segments)
         elif self.kind == "constant":
             value = F.lit(iri(self.value))
         else:
@@ -64,8 +71,8 @@ class Property:
         )
 
 
-def template(predicate: str, value: str) -> Property:
-    return Property(predicate, value, "iri")
+def template(predicate: str, value: str, row_unique: bool = False) -> Property:
+    return Property(predicate, value, "iri", row_unique=row_unique)
 
 
 def constant(predicate: str, value: str) -> Property:
@@ -97,15 +104,33 @@ class TriplesMap:
     properties: Sequence[Property] = field(default_factory=tuple)
     key_unique: bool = True
 
-    def triples(self) -> DataFrame:
+    def all_properties(self) -> list[Property]:
+        typing = [constant(RDF_TYPE, self.cls)] if self.cls else []
+        return [*typing, *self.properties]
+
+    def repeating(self) -> set[str]:
+        """Predicates under which this map may state one triple twice."""
+        if self.key_unique:
+            return set()
+        return {iri(p.predicate) for p in self.all_properties() if not p.row_unique}
+
+    def triples(self, predicates: set[str] | None = None) -> DataFrame:
+        """The map's triples, or those under some predicates, in one scan."""
+        chosen = [
+            p for p in self.all_properties() if predicates is None or iri(p.predicate) in predicates
+        ]
         columns = {c: F.col(c) for c in self.table.columns}
-        properties = list(self.properties)
-        if self.cls:
-            properties.insert(0, constant(RDF_TYPE, self.cls))
+        # Numbers need no encoding; text does, and a null gives no triple.
+        segments = {
+            f.name: F.when(F.col(f.name).isNotNull(), iri_segment(F.col(f.name)))
+            if isinstance(f.dataType, StringType)
+            else F.col(f.name).cast("string")
+            for f in self.table.schema
+        }
         return (
             self.table.select(
-                expand(self.subject, **columns).alias("s"),
-                F.explode(F.array(*[p.triple(columns) for p in properties])).alias("t"),
+                expand(self.subject, segments).alias("s"),
+                F.explode(F.array(*[p.triple(columns, segments) for p in chosen])).alias("t"),
             )
             .filter(F.col("s").isNotNull() & F.col("t.o").isNotNull())
             .select("s", "t.*")
@@ -116,22 +141,37 @@ def _stem(subject: str) -> str:
     return subject.split("{", 1)[0]
 
 
-def materialise(maps: Sequence[TriplesMap]) -> DataFrame:
-    """Union of the maps' triples, each triple once.
+def materialise(maps: Sequence[TriplesMap], rows: Sequence[tuple] = ()) -> DataFrame:
+    """Union of the maps' triples and of literal ``rows``, each triple once.
 
-    Triples of different subject stems cannot be equal, and a map with a unique
-    subject and no sibling on its stem repeats nothing. So only maps that share
-    a stem, or repeat a subject, go through a distinct; the observations, by far
-    the largest part, are not shuffled.
+    Two triples can only be equal on one subject stem and predicate. A distinct
+    runs over the pairs of those that several maps or literal rows state, or one
+    map repeats; everything else, the observations above all, is not shuffled.
     """
+    spark = maps[0].table.sparkSession
     by_stem: dict[str, list[TriplesMap]] = {}
     for m in maps:
         by_stem.setdefault(_stem(m.subject), []).append(m)
-    parts = []
-    for group in by_stem.values():
-        union = reduce(DataFrame.unionByName, [m.triples() for m in group])
-        alone = len(group) == 1 and group[0].key_unique
-        parts.append(union if alone else union.distinct())
+    parts, waiting = [], list(dict.fromkeys(rows))
+    for stem, group in by_stem.items():
+        own = [{iri(p.predicate) for p in m.all_properties()} for m in group]
+        met = {r[1] for r in waiting if r[0].startswith(stem)}
+        stated = Counter(p for predicates in [*own, met] for p in predicates)
+        repeated = {p for p, n in stated.items() if n > 1}.union(*[m.repeating() for m in group])
+        shared = []
+        for m, predicates in zip(group, own):
+            if predicates - repeated:
+                parts.append(m.triples(predicates - repeated))
+            if predicates & repeated:
+                shared.append(m.triples(predicates & repeated))
+        if shared:
+            touching = [r for r in waiting if r[0].startswith(stem) and r[1] in repeated]
+            waiting = [r for r in waiting if r not in touching]
+            if touching:
+                shared.append(spark.createDataFrame(touching, TRIPLE_SCHEMA))
+            parts.append(reduce(DataFrame.unionByName, shared).distinct())
+    if waiting:
+        parts.append(spark.createDataFrame(waiting, TRIPLE_SCHEMA))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -140,22 +180,6 @@ def graph_union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
 
-def add_rows(graph: DataFrame, rows: DataFrame) -> DataFrame:
-    """Union with a small set of triples: only those the graph lacks are added.
-
-    Unlike :func:`graph_union` this does not shuffle the graph.
-    """
-    keys = [F.coalesce(F.col(c), F.lit("")) for c in COLUMNS]
-    marked = rows.distinct().withColumn("_key", F.concat_ws("\u0001", *keys))
-    seen = (
-        graph.withColumn("_key", F.concat_ws("\u0001", *keys))
-        .join(marked.select("_key"), "_key", "left_semi")
-        .select("_key")
-        .distinct()
-    )
-    return graph.unionByName(marked.join(seen, "_key", "left_anti").drop("_key"))
-
-
 def ref(table: DataFrame, parent: DataFrame, on: str) -> DataFrame:
     """Bring the parent's template columns to the child through their join key."""
     return table.join(parent, on)
@@ -234,7 +258,10 @@ def proximity_map(edges: DataFrame) -> TriplesMap:
         edges.withColumnRenamed("id_origen", "id_ubicacion"),
         FEATURE,
         "geo:Feature",
-        (template("agua:nearbyWithin1500m", NEIGHBOUR), decimal("agua:distanceKm", "distancia_km")),
+        (
+            template("agua:nearbyWithin1500m", NEIGHBOUR, row_unique=True),
+            decimal("agua:distanceKm", "distancia_km"),
+        ),
         key_unique=False,
     )
 
@@ -273,11 +300,11 @@ DEMO_DESCRIPTION = (
 )
 
 
-def dataset_metadata(spark: SparkSession, k: int, radius_km: float, created: str) -> DataFrame:
+def metadata_rows(k: int, radius_km: float, created: str) -> list[tuple]:
     """Identity and provenance of the reduced dataset; ``created`` is an ISO stamp."""
     demo = "agua:consumoCDMXDemo"
     described = DEMO_DESCRIPTION.format(k=k, radius=radius_km)
-    rows = [
+    return [
         ref_row(demo, "rdf:type", "qb:DataSet"),
         literal_row(demo, "rdfs:label", DEMO_LABEL, lang="en"),
         literal_row(demo, "dcterms:description", described, lang="en"),
@@ -286,7 +313,10 @@ def dataset_metadata(spark: SparkSession, k: int, radius_km: float, created: str
         ref_row(demo, "qb:structure", "agua:consumoDSD"),
         ref_row(demo, "agua:unit", "agua:cubicMetre"),
     ]
-    return spark.createDataFrame(rows, TRIPLE_SCHEMA)
+
+
+def dataset_metadata(spark: SparkSession, k: int, radius_km: float, created: str) -> DataFrame:
+    return spark.createDataFrame(metadata_rows(k, radius_km, created), TRIPLE_SCHEMA)
 
 
 def flag_no_geometry(dim_location: DataFrame) -> DataFrame:
@@ -327,7 +357,11 @@ def _demo_feature_map(dim_location: DataFrame) -> TriplesMap:
 def _demo_edge_map(edges: DataFrame) -> TriplesMap:
     table = edges.withColumnRenamed("id_origen", "id_ubicacion")
     return TriplesMap(
-        table, FEATURE, None, (template("agua:nearbyWithin1500m", NEIGHBOUR),), key_unique=False
+        table,
+        FEATURE,
+        None,
+        (template("agua:nearbyWithin1500m", NEIGHBOUR, row_unique=True),),
+        key_unique=False,
     )
 
 
@@ -388,13 +422,12 @@ def demo_graph(
     k: int = 6,
     radius_km: float = geo.RADIUS_KM,
     created: str = "1970-01-01T00:00:00Z",
+    rows: Sequence[tuple] = (),
 ) -> DataFrame:
     """The reduced graph: numbered aggregate observations and nearest-neighbour edges.
 
-    Edges repeat a subject but never a triple, and share none with the features,
-    so every part is a set already and the union needs no distinct.
+    ``rows`` are literal triples to merge in, such as the schema.
     """
-    spark = dim_time.sparkSession
     maps = [
         borough_map(dim_location),
         _demo_feature_map(dim_location),
@@ -409,8 +442,7 @@ def demo_graph(
         _demo_observation_map(observations),
         _demo_climate_map(fact_climate),
     ]
-    parts = [m.triples() for m in maps]
-    return reduce(DataFrame.unionByName, parts, dataset_metadata(spark, k, radius_km, created))
+    return materialise(maps, [*metadata_rows(k, radius_km, created), *rows])
 
 
 def store_graph(triples: DataFrame, label: str = "graph") -> DataFrame:

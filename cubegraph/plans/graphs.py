@@ -8,7 +8,7 @@ from cubegraph.functions.geo import RADIUS_KM
 from cubegraph.operators import dims, marts, territory, triples
 from cubegraph.plans.warehouse import Star
 from cubegraph.session import materialise_table
-from cubegraph.sources.vocabulary import schema_triples
+from cubegraph.sources.vocabulary import schema_rows
 
 
 def star_maps(star: Star, edges: DataFrame) -> list[triples.TriplesMap]:
@@ -25,10 +25,7 @@ def star_maps(star: Star, edges: DataFrame) -> list[triples.TriplesMap]:
 
 def full_graph(star: Star, edges: DataFrame) -> DataFrame:
     """All maps plus the schema, stored by predicate."""
-    graph = triples.materialise(star_maps(star, edges))
-    return triples.store_graph(
-        triples.add_rows(graph, schema_triples(star.fact.sparkSession)), "graph"
-    )
+    return triples.store_graph(triples.materialise(star_maps(star, edges), schema_rows()), "graph")
 
 
 def radius_edges(star: Star, radius_km: float = RADIUS_KM) -> DataFrame:
@@ -50,8 +47,6 @@ def reduced_graph(
     """The coarser graph, by default with the schema, stored by predicate."""
     graph = triples.demo_graph(
         star.dim_time, star.dim_location, star.dim_level, observations(star),
-        star.fact_climate, edges, k, radius_km, created,
+        star.fact_climate, edges, k, radius_km, created, schema_rows() if with_schema else (),
     )
-    if with_schema:
-        graph = triples.add_rows(graph, schema_triples(star.fact.sparkSession))
     return triples.store_graph(graph, "graph-reduced")

@@ -213,9 +213,9 @@ def average_precision(c):
 
 
 @query("""
-SELECT event_type, COUNT(*) AS n, ROUND(AVG(value), 5) AS mean,
+SELECT event_type, COUNT(*) AS n, ROUND(AVG(value), 9) AS mean,
   list_extract(list_sort(list(value)), CAST(CASE WHEN FLOOR(CAST(0.95 AS DOUBLE) * COUNT(*)) = 0 THEN COUNT(*) ELSE FLOOR(CAST(0.95 AS DOUBLE) * COUNT(*)) END AS BIGINT)) AS p95
 FROM events GROUP BY event_type""")
 def latency_summary(c):
     rows = evaluation.latency_summary(c.table("events"), ["event_type"], "value")
-    return rows.withColumn("mean", F.round("mean", 5))
+    return rows.withColumn("mean", F.round("mean", 9))

@@ -28,7 +28,7 @@ def flagship_correlation(c):
 
 @query("""
 SELECT CAST(CAST(fecha_hora AS DATE) AS VARCHAR) AS fecha, ROUND(MAX(temperatura),6) AS temp_maxima,
-  ROUND(MIN(temperatura),6) AS temp_minima, ROUND(AVG(temperatura),5) AS temp_promedio,
+  ROUND(MIN(temperatura),6) AS temp_minima, ROUND(AVG(temperatura),9) AS temp_promedio,
   CAST(SUM(humedad_relativa) AS DOUBLE)/COUNT(humedad_relativa) AS humedad_promedio,
   CAST(SUM(lluvia) AS DOUBLE) AS lluvia_total
 FROM stg_clima GROUP BY CAST(fecha_hora AS DATE)""")
@@ -37,7 +37,7 @@ def daily_climate_rollup(c):
         dates.iso_date(F.col("fecha")).alias("fecha"),
         F.round("temp_maxima", 6).alias("temp_maxima"),
         F.round("temp_minima", 6).alias("temp_minima"),
-        F.round("temp_promedio", 5).alias("temp_promedio"),
+        F.round("temp_promedio", 9).alias("temp_promedio"),
         "humedad_promedio",
         F.col("lluvia_total").cast("double").alias("lluvia_total"),
     )
@@ -45,7 +45,7 @@ def daily_climate_rollup(c):
 
 @query("""
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS fecha, MAX(value) AS temp_maxima, MIN(value) AS temp_minima,
-  ROUND(AVG(value),5) AS temp_promedio, CAST(SUM(k) AS DOUBLE)/COUNT(k) AS humedad_promedio,
+  ROUND(AVG(value),9) AS temp_promedio, CAST(SUM(k) AS DOUBLE)/COUNT(k) AS humedad_promedio,
   CAST(SUM(CASE WHEN event_type='error' THEN CAST(value AS DECIMAL(18,2)) ELSE CAST(0 AS DECIMAL(18,2)) END) AS DOUBLE) AS lluvia_total
 FROM (SELECT ts, value, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
 GROUP BY CAST(ts AS DATE)""")
@@ -63,7 +63,7 @@ def daily_event_rollup(c):
         dates.iso_date(F.col("fecha")).alias("fecha"),
         "temp_maxima",
         "temp_minima",
-        F.round("temp_promedio", 5).alias("temp_promedio"),
+        F.round("temp_promedio", 9).alias("temp_promedio"),
         "humedad_promedio",
         F.col("lluvia_total").cast("double").alias("lluvia_total"),
     )
@@ -109,7 +109,7 @@ def fact_load_counts(c):
 
 @query("""
 SELECT id_tiempo AS id_fact_clima, id_tiempo, ROUND(temp_maxima,6) AS temp_maxima, ROUND(temp_minima,6) AS temp_minima,
-  ROUND(temp_promedio,5) AS temp_promedio, ROUND(humedad_promedio,5) AS humedad_promedio,
+  ROUND(temp_promedio,9) AS temp_promedio, ROUND(humedad_promedio,9) AS humedad_promedio,
   CAST(lluvia_total AS DOUBLE) AS lluvia_total FROM fact_clima""")
 def fact_climate(c):
     return c.star.fact_climate.select(
@@ -117,8 +117,8 @@ def fact_climate(c):
         "id_tiempo",
         F.round("temp_maxima", 6).alias("temp_maxima"),
         F.round("temp_minima", 6).alias("temp_minima"),
-        F.round("temp_promedio", 5).alias("temp_promedio"),
-        F.round("humedad_promedio", 5).alias("humedad_promedio"),
+        F.round("temp_promedio", 9).alias("temp_promedio"),
+        F.round("humedad_promedio", 9).alias("humedad_promedio"),
         F.col("lluvia_total").cast("double").alias("lluvia_total"),
     )
 
