@@ -32,19 +32,19 @@ def _panel(c):
 
 
 @query("""
-SELECT alcaldia, ROUND(mu, 4) AS mu, ROUND(sigma, 4) AS sigma FROM (SELECT DISTINCT alcaldia, mu, sigma FROM totales)""")
+SELECT alcaldia, ROUND(mu, 6) AS mu, ROUND(sigma, 6) AS sigma FROM (SELECT DISTINCT alcaldia, mu, sigma FROM totales)""")
 def group_stats(c):
     totals = anomaly.atypicality(c.mart).select("alcaldia", "colonia", "total")
     stats = anomaly.group_stats(totals, ["alcaldia"], "total")
-    return stats.select("alcaldia", F.round("mu", 4).alias("mu"), F.round("sigma", 4).alias("sigma"))
+    return stats.select("alcaldia", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"))
 
 
 @query("""
-SELECT alcaldia, colonia, total, ROUND(mu, 4) AS mu, ROUND(sigma, 4) AS sigma, ROUND(score, 6) AS score, ROUND(z, 6) AS z,
+SELECT alcaldia, colonia, total, ROUND(mu, 6) AS mu, ROUND(sigma, 6) AS sigma, ROUND(score, 6) AS score, ROUND(z, 6) AS z,
   CASE WHEN total >= mu THEN 'alto' ELSE 'bajo' END AS sentido, ROUND(CASE WHEN mu > 0 THEN total/mu ELSE 0 END, 6) AS veces FROM totales""")
 def atypicality(c):
     return _scores(c).select(
-        "alcaldia", "colonia", "total", F.round("mu", 4).alias("mu"), F.round("sigma", 4).alias("sigma"),
+        "alcaldia", "colonia", "total", F.round("mu", 6).alias("mu"), F.round("sigma", 6).alias("sigma"),
         F.round("score", 6).alias("score"), F.round("z", 6).alias("z"), "sentido",
         F.round("veces", 6).alias("veces"),
     )
