@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cubegraph.operators.ordering import enumerate_rows, hash_ranks, top
+from cubegraph.session import materialise_table, sized
 
 EPS = 1e-9
 ALERT = 3  # scores above it are counted as alerts
@@ -27,9 +28,10 @@ def with_group_stats(df: DataFrame, by: Sequence[str], column: str) -> DataFrame
     """Every row with the statistics of its group.
 
     An aggregate joined back rather than a window: a window would gather the
-    largest group in one task.
+    largest group in one task. Groups are usually few, so their statistics are
+    stored and the rows are not shuffled to meet them.
     """
-    return df.join(group_stats(df, by, column), list(by))
+    return df.join(sized(group_stats(df, by, column), "group-stats"), list(by))
 
 
 def atypicality(
@@ -45,8 +47,12 @@ def atypicality(
     ``by`` adds keys, such as a seed, that separate independent rankings.
     """
     units = [unit] if isinstance(unit, str) else list(unit)
-    totals = rows.groupBy(*by, group, *units).agg(
-        F.coalesce(F.sum(measure).cast("double"), F.lit(0.0)).alias("total")
+    # Stored, as the statistics and the scores both read the totals.
+    totals = materialise_table(
+        rows.groupBy(*by, group, *units).agg(
+            F.coalesce(F.sum(measure).cast("double"), F.lit(0.0)).alias("total")
+        ),
+        "unit-totals",
     )
     scored = with_group_stats(totals, [*by, group], "total")
     distance = F.abs(F.col("total") - F.col("mu")) / (F.col("sigma") + F.lit(eps))
@@ -181,16 +187,17 @@ def lof(df: DataFrame, column: str, k: int = 20, by: Sequence[str] = (), bucket:
         raise ValueError("a bucket must hold the context of its neighbours")
     values = df.groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_m"))
     numbered = enumerate_rows(values, [*by, "_v"], "_pos", start=0)
-    sizes = numbered.groupBy(*by).agg(F.sum("_m").alias("_n"))
-    sized = numbered.join(sizes, by) if by else numbered.withColumn(
-        "_n", numbered.agg(F.sum("_m")).scalar()
-    )
+    if by:
+        sizes = numbered.groupBy(*by).agg(F.sum("_m").alias("_n"))
+        counted = numbered.join(sized(sizes, "lof-keys"), by)
+    else:
+        counted = numbered.withColumn("_n", numbered.agg(F.sum("_m")).scalar())
     home = F.floor(F.col("_pos") / F.lit(bucket))
     spread = F.sequence(
         F.floor((F.col("_pos") - reach) / F.lit(bucket)),
         F.floor((F.col("_pos") + reach) / F.lit(bucket)),
     )
-    placed = sized.withColumn("_home", home).withColumn("_bucket", F.explode(spread))
+    placed = counted.withColumn("_home", home).withColumn("_bucket", F.explode(spread))
     schema = T.StructType([*placed.schema.fields, T.StructField("lof", T.DoubleType())])
     factors = (
         placed.groupBy(*by, "_bucket")
@@ -254,8 +261,11 @@ def isolation_scores(
     by = list(by)
     digest = F.md5(F.concat_ws(":", F.lit(seed), *by, unit))
     points = df.select(*by, unit, F.col(column).cast("double").alias("_x"), digest.alias("_d"))
-    ranked = hash_ranks(points, by, "_d", "_rank", tie=[unit]).drop("_d")
-    sizes = points.groupBy(*by).agg(F.count("*").alias("_n"))
+    # Stored, as the draws and the scores both read the ranks.
+    ranked = materialise_table(
+        hash_ranks(points, by, "_d", "_rank", tie=[unit]).drop("_d"), "forest-points"
+    )
+    sizes = sized(ranked.groupBy(*by).agg(F.count("*").alias("_n")), "forest-keys")
     keys = [f for f in sizes.schema.fields if f.name in by]
     tree = T.StructField("_tree", T.IntegerType())
 
@@ -270,9 +280,9 @@ def isolation_scores(
                     out[name] = value
                 yield out[[*by, "_tree", "_rank"]]
 
-    draws = sizes.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1)))).mapInPandas(
-        draw, T.StructType([*keys, tree, T.StructField("_rank", T.LongType())])
-    )
+    trees = sizes.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    drawn = T.StructType([*keys, tree, T.StructField("_rank", T.LongType())])
+    draws = sized(trees.mapInPandas(draw, drawn), "forest-draws")
     grown = T.StructType(
         [*keys, T.StructField("_low", T.DoubleType()), T.StructField("_step", T.DoubleType())]
     )
@@ -299,8 +309,8 @@ def isolation_scores(
     spread_steps = steps.join(chunks, by).withColumn(
         "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))
     )
-    sized = chunks.select(*by, F.col("_n").alias("_size"), F.col("_chunks").alias("_parts"))
-    spread_points = ranked.join(sized, by).withColumn("_chunk", F.pmod("_rank", F.col("_parts")))
+    parts = chunks.select(*by, F.col("_n").alias("_size"), F.col("_chunks").alias("_parts"))
+    spread_points = ranked.join(parts, by).withColumn("_chunk", F.pmod("_rank", F.col("_parts")))
 
     def score(point: pd.DataFrame, step: pd.DataFrame) -> pd.DataFrame:
         step = step.sort_values("_low")

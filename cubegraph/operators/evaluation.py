@@ -30,8 +30,14 @@ def _ratio(part: Column, whole: Column, empty: float | None = 0.0) -> Column:
     return value if empty is None else F.coalesce(value, F.lit(empty))
 
 
-def cumulative_counts(scored: DataFrame, by: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
-    """True and false positives down to each distinct score, with its rank and own counts."""
+def cumulative_counts(
+    scored: DataFrame, by: Sequence[str], score: str = "score", label: str = "label"
+) -> DataFrame:
+    """True and false positives down to each distinct score, with its rank and own counts.
+
+    ``tp_all``, ``fp_all`` and ``rank_all`` are the key's positives, negatives and
+    number of distinct scores.
+    """
     positive = F.sum(F.col(label).cast("long"))
     distinct = scored.groupBy(*by, score).agg(
         positive.alias("pos"), (F.count("*") - positive).alias("neg")
@@ -41,34 +47,33 @@ def cumulative_counts(scored: DataFrame, by: Sequence[str], score: str = "score"
     )
 
 
-def _class_sizes(scored: DataFrame, by: Sequence[str], label: str) -> DataFrame:
-    positive = F.sum(F.col(label).cast("long"))
-    return scored.groupBy(*by).agg(
-        positive.alias("positives"), (F.count("*") - positive).alias("negatives")
-    )
-
-
 def equal_alerts(
-    scored: DataFrame, by: Sequence[str], alerts: DataFrame, unit: str, score: str = "score"
+    scored: DataFrame,
+    by: Sequence[str],
+    unit: str,
+    n: int | None = None,
+    score: str = "score",
+    label: str = "label",
 ) -> DataFrame:
-    """Rows with ``predicted``: exactly the first n by (score, unit) per key.
+    """Rows with ``predicted``: exactly the first ``n`` by (score, unit) per key.
 
-    ``alerts`` holds one row (keys, n) per key.
+    By default ``n`` is the key's number of positives.
     """
-    ranked = running_totals(scored, by, [F.desc(score), unit], {"_rank": F.lit(1).cast("long")})
-    return (
-        ranked.join(alerts, list(by))
-        .withColumn("predicted", F.col("_rank") <= F.col("n"))
-        .drop("_rank", "n")
+    ranked = running_totals(
+        scored,
+        by,
+        [F.desc(score), unit],
+        {"_rank": F.lit(1).cast("long"), "_pos": F.col(label).cast("long")},
     )
+    wanted = F.col("_pos_all") if n is None else F.lit(n)
+    return ranked.select(*scored.columns, (F.col("_rank") <= wanted).alias("predicted"))
 
 
 def precision_recall_f1(
     scored: DataFrame, by: Sequence[str], unit: str, score: str = "score", label: str = "label"
 ) -> DataFrame:
     """Precision, recall and F1 with as many alerts as there are positives."""
-    sizes = scored.groupBy(*by).agg(F.sum(F.col(label).cast("long")).alias("n"))
-    flagged = equal_alerts(scored, by, sizes, unit, score)
+    flagged = equal_alerts(scored, by, unit, score=score, label=label)
     hit = F.col("predicted") & F.col(label).cast("boolean")
     counts = flagged.groupBy(*by).agg(
         F.count_if("predicted").alias("alerts"),
@@ -84,25 +89,28 @@ def precision_recall_f1(
     )
 
 
-def pr_curve(scored: DataFrame, by: Sequence[str], score: str = "score", label: str = "label") -> DataFrame:
-    """One point per distinct score, from the lowest up, then (precision 1, recall 0)."""
+def pr_curve(
+    scored: DataFrame, by: Sequence[str], score: str = "score", label: str = "label"
+) -> DataFrame:
+    """One point per distinct score, from the lowest up, then (precision 1, recall 0).
+
+    The end point leaves with the row of the highest score, so one pass serves both.
+    """
     counts = cumulative_counts(scored, by, score, label)
-    ends = counts.groupBy(*by).agg(F.max("tp").alias("_pos"), F.max("rank").alias("_last"))
-    points = counts.join(ends, list(by)).select(
-        *by,
-        (F.col("_last") - F.col("rank")).alias("point"),
+    point = F.struct(
+        (F.col("rank_all") - F.col("rank")).alias("point"),
         _ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
-        _ratio(F.col("tp"), F.col("_pos"), empty=1.0).alias("recall"),
+        _ratio(F.col("tp"), F.col("tp_all"), empty=1.0).alias("recall"),
         F.col(score).cast("double").alias("threshold"),
     )
-    final = ends.select(
-        *by,
-        F.col("_last").alias("point"),
+    end = F.struct(
+        F.col("rank_all").alias("point"),
         F.lit(1.0).alias("precision"),
         F.lit(0.0).alias("recall"),
         F.lit(None).cast("double").alias("threshold"),
     )
-    return points.unionByName(final)
+    points = F.array_compact(F.array(point, F.when(F.col("rank") == 1, end)))
+    return counts.select(*by, F.explode(points).alias("e")).select(*by, "e.*")
 
 
 def ranking_metrics(
@@ -112,13 +120,12 @@ def ranking_metrics(
 
     Both are null where a class is empty.
     """
-    sizes = _class_sizes(scored, by, label)
-    counts = cumulative_counts(scored, by, score, label).join(sizes, list(by))
-    beaten = (F.col("negatives") - F.col("fp")) + F.col("neg") / F.lit(2.0)
+    counts = cumulative_counts(scored, by, score, label)
+    beaten = (F.col("fp_all") - F.col("fp")) + F.col("neg") / F.lit(2.0)
     share = F.col("pos") * _ratio(F.col("tp"), F.col("tp") + F.col("fp"))
     return counts.groupBy(*by).agg(
-        _ratio(F.sum(F.col("pos") * beaten), F.max(F.col("positives") * F.col("negatives")), None).alias("roc_auc"),
-        _ratio(F.sum(share), F.max("positives"), None).alias("pr_auc"),
+        _ratio(F.sum(F.col("pos") * beaten), F.sum("pos") * F.sum("neg"), None).alias("roc_auc"),
+        _ratio(F.sum(share), F.sum("pos"), None).alias("pr_auc"),
     )
 
 
@@ -202,13 +209,16 @@ def latency_summary(samples: DataFrame, by: Sequence[str], value: str) -> DataFr
     task. For one sample the index is −1, the last element.
     """
     counted = samples.groupBy(*by, value).agg(F.count("*").alias("c"))
-    totals = samples.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    wanted = F.floor(F.lit(0.95) * F.col("n"))
-    place = F.when(wanted == 0, F.col("n")).otherwise(wanted)
-    reached = running_totals(counted, by, [value], {"upto": "c"})
+    weighted = F.col(value) * F.col("c")
+    reached = running_totals(counted, by, [value], {"upto": "c", "sum": weighted})
+    n = F.col("upto_all")
+    wanted = F.floor(F.lit(0.95) * n)
     return (
-        reached.join(totals.withColumn("place", place), list(by))
-        .filter(F.col("upto") >= F.col("place"))
+        reached.filter(F.col("upto") >= F.when(wanted == 0, n).otherwise(wanted))
         .groupBy(*by)
-        .agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.min(value).alias("p95"))
+        .agg(
+            F.max(n).alias("n"),
+            F.max(F.col("sum_all") / n).alias("mean"),
+            F.min(value).alias("p95"),
+        )
     )

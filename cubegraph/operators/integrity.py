@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cubegraph.operators.ordering import top_k_per_key
 from cubegraph.operators.patterns import bgp, match, path
 from cubegraph.operators.relational import missing, values_df
+from cubegraph.session import sized
 from cubegraph.sources.vocabulary import RDF_TYPE, iri
 
 # Check names, in report order.
@@ -53,20 +54,23 @@ def ic3(g: DataFrame) -> DataFrame:
 def ic11(g: DataFrame) -> DataFrame:
     """Observations lacking a dimension their structure requires.
 
-    Dimensions a dataset requires come from the small schema part; observations
-    meet them through their dataset, and one anti join on (observation,
-    dimension) finds the gaps.
+    The dimensions a dataset requires come from the small schema part and are
+    stored, so observations are not shuffled by their dataset, of which there are
+    few; one anti join on (observation, dimension) finds the gaps.
     """
-    required = bgp(
-        g,
-        [
-            ("?ds", "qb:structure", "?dsd"),
-            ("?dsd", "qb:component", "?c"),
-            ("?c", "qb:dimension", "?detail"),
-        ],
-    ).select("ds", "detail")
+    required = sized(
+        bgp(
+            g,
+            [
+                ("?ds", "qb:structure", "?dsd"),
+                ("?dsd", "qb:component", "?c"),
+                ("?c", "qb:dimension", "?detail"),
+            ],
+        ).select("ds", "detail"),
+        "required-dimensions",
+    )
     linked = bgp(g, [("?focus", RDF_TYPE, "qb:Observation"), ("?focus", "qb:dataSet", "?ds")])
-    names = match(g, p="qb:dimension").select(F.col("o").alias("p")).distinct()
+    names = sized(required.select(F.col("detail").alias("p")).distinct(), "dimension-names")
     present = g.join(names, "p", "left_semi").select(
         F.col("s").alias("focus"), F.col("p").alias("detail")
     )

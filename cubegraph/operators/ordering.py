@@ -23,13 +23,6 @@ def _columns(order: Order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _range_sorted(df: DataFrame, order: Order, label: str) -> DataFrame:
-    """Rows stored with the range partition they were sorted into."""
-    return materialise_table(
-        df.orderBy(*_columns(order)).withColumn("_part", F.spark_partition_id()), label
-    )
-
-
 def enumerate_rows(df: DataFrame, order: Order, name: str = "n", start: int = 1) -> DataFrame:
     """Dense numbering 1..n in ``order``, which must be unique over the rows."""
     local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
@@ -66,20 +59,25 @@ def running_totals(
 ) -> DataFrame:
     """Cumulative sums per key in ``order`` (unique per key), for keys of any size.
 
-    ``totals`` maps a new column to the value it accumulates.
+    ``totals`` maps a new column to the value it accumulates; ``<column>_all``
+    holds the key's whole sum.
     """
     by = list(by)
     values = {n: F.col(v) if isinstance(v, str) else v for n, v in totals.items()}
     staged = df.select("*", *[v.alias(f"_v_{n}") for n, v in values.items()])
-    stored = _range_sorted(staged, [*by, *order], "running")
+    stored = materialise_table(
+        staged.orderBy(*by, *_columns(order)).withColumn("_part", F.spark_partition_id()), "running"
+    )
     sums = stored.groupBy(*by, "_part").agg(
         *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values]
     )
-    before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = W.partitionBy(*by)
+    before = parts.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(
         *by,
         "_part",
         *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in values],
+        *[F.sum(f"_s_{n}").over(parts).alias(f"{n}_all") for n in values],
     )
     inside = (
         W.partitionBy(*by, "_part")
@@ -87,9 +85,11 @@ def running_totals(
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     within = stored.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_w_{n}") for n in values])
-    joined = within.join(offsets, [*by, "_part"])
-    return joined.select(
-        *df.columns, *[(F.col(f"_w_{n}") + F.col(f"_o_{n}")).alias(n) for n in values]
+    # The window left the rows partitioned by the join's keys: only offsets move.
+    return within.join(offsets, [*by, "_part"]).select(
+        *df.columns,
+        *[(F.col(f"_w_{n}") + F.col(f"_o_{n}")).alias(n) for n in values],
+        *[f"{n}_all" for n in values],
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cubegraph.functions.text import last_segment
 from cubegraph.operators.ordering import top
+from cubegraph.session import sized
 from cubegraph.sources.vocabulary import RDF_TYPE, iri
 
 Pattern = tuple[str, str, str]
@@ -122,17 +123,16 @@ def _unit_totals(triples: DataFrame, *measures: tuple[str, str]) -> DataFrame:
 def _neighbour_totals(triples: DataFrame, origin: str) -> DataFrame:
     """Total of each neighbour of one unit: (unit, total), per neighbour edge.
 
-    Starts from the origin's edges, so only its neighbours' observations join.
+    The origin's neighbours, and then their observations, are stored before they
+    meet the rest of the graph: a few of them are broadcast, and the graph's
+    observations are scanned but not shuffled.
     """
+    near = sized(bgp(triples, [(origin, "agua:nearbyWithin1500m", "?unit")]), "neighbours")
+    placed = bgp(triples, [("?obs", "agua:location", "?unit")])
+    observed = sized(placed.join(near, "unit"), "neighbour-observations")
     return (
-        bgp(
-            triples,
-            [
-                (origin, "agua:nearbyWithin1500m", "?unit"),
-                ("?obs", "agua:location", "?unit"),
-                ("?obs", "agua:totalConsumption", "?c"),
-            ],
-        )
+        bgp(triples, [("?obs", "agua:totalConsumption", "?c")])
+        .join(observed, "obs")
         .groupBy("unit")
         .agg(F.sum(_number("c")).alias("total"))
     )

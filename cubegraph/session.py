@@ -58,3 +58,12 @@ def materialise_table(df: DataFrame, label: str, partition_by: str | None = None
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, label: str) -> DataFrame:
+    """Store a relation that is usually small, so the planner knows its real size.
+
+    A join then broadcasts it if it is within the session's threshold, before the
+    other side is shuffled, and shuffles both sides if it is not.
+    """
+    return materialise_table(df, f"sized-{label}")

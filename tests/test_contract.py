@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 import re
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import check_oracle
 import pytest
 
 import __spark_entry__ as contract
+from cubegraph.plans.registered.base import context
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test tables here")
 
 
 @pytest.fixture(scope="module")
-def con():
-    return check_oracle.connect(SF_DIR)
+def outcomes(spark):
+    """All comparisons, a few at a time: small queries are bound by planning, not by data."""
+    con = check_oracle.connect(SF_DIR)
+    tables = context(spark, SF_DIR)
+    for name in ("star", "mart", "edges", "nearest", "graph", "reduced"):
+        getattr(tables, name)
+
+    def run(name):
+        try:
+            return check_oracle.compare(spark, con.cursor(), name, SF_DIR)
+        except Exception as exc:
+            return "ERROR", str(exc)
+
+    with ThreadPoolExecutor(6) as pool:
+        return dict(zip(contract.queries(), pool.map(run, contract.queries())))
 
 
 def test_entry_has_rows(spark):
@@ -25,8 +40,8 @@ def test_entry_has_rows(spark):
 
 
 @pytest.mark.parametrize("name", sorted(contract.queries()))
-def test_query_matches_its_sql(spark, con, name):
-    status, note = check_oracle.compare(spark, con, name, SF_DIR)
+def test_query_matches_its_sql(outcomes, name):
+    status, note = outcomes[name]
     assert status in ("ok", "rows"), note
 
 

@@ -67,8 +67,7 @@ def test_grid_join_equals_comparing_all_pairs(spark, shape):
     assert got == brute(coordinates, 1.5)
 
 
-@pytest.mark.parametrize("shape", SHAPES)
-@pytest.mark.parametrize("k", [1, 6])
+@pytest.mark.parametrize("shape, k", [*((s, 6) for s in SHAPES), ("mixed", 1), ("copies", 1)])
 def test_nearest_neighbours_equal_sorting_all_pairs(spark, shape, k):
     coordinates = SHAPES[shape]
     got = pairs(territory.knn_pairs(points(spark, coordinates), k, 1.5, chunk=16))
