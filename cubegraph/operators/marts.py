@@ -8,11 +8,10 @@ the wide joins see keys, not readings.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cubegraph.functions.numbers import pct
-from cubegraph.operators.ordering import top
+from cubegraph.operators.ordering import page, top
 
 # Daily extremes that count as a hot and as a cold day.
 HOT = 28
@@ -222,42 +221,26 @@ def paged_retrieval(
 ) -> DataFrame:
     """One page of the star ordered by period, borough and neighbourhood.
 
-    The order starts with the period, so a count per day (one column of the
-    fact, at most one row per calendar day) tells which bimesters the page can
-    touch; only their readings are joined and sorted. Every fact row has its
-    dimension rows, as the load joins them, so the counts are those of the star.
+    The key of a unit follows (borough, neighbourhood) and that of a level its
+    name, so the page is cut on the fact's own keys: each task keeps its best
+    rows, nothing is shuffled, and only the page's rows meet units and levels.
     """
-    periods = dim_time.select("id_tiempo", "anio", "bimestre")
-    sizes = (
-        fact.groupBy("id_tiempo")
-        .agg(F.count("*").alias("n"))
-        .join(periods, "id_tiempo")
-        .groupBy("anio", "bimestre")
-        .agg(F.sum("n").alias("n"))
-    )
-    # A window over bimesters: two decades of them are 120 rows.
-    before = W.orderBy("anio", "bimestre").rowsBetween(W.unboundedPreceding, -1)
-    wanted = (
-        sizes.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .filter(F.col("_before") < limit + offset)
-        .select("anio", "bimestre")
-    )
-    days = dim_time.select("id_tiempo", "anio", "bimestre", "fecha").join(
-        wanted, ["anio", "bimestre"], "left_semi"
-    )
+    periods = dim_time.select("id_tiempo", "anio", "bimestre", "fecha")
+    rows = fact.select(
+        "id_tiempo", "id_ubicacion", "id_indice_des", "consumo_total", "consumo_prom"
+    ).join(periods, "id_tiempo")
+    order = [
+        "anio", "bimestre", "id_ubicacion", "fecha", "id_indice_des",
+        F.asc_nulls_last("consumo_total"), F.asc_nulls_last("consumo_prom"),
+    ]
+    shown = F.broadcast(page(rows, order, limit, offset))  # limit rows
+    units = dim_location.select("id_ubicacion", "alcaldia", "colonia")
     return (
-        fact.select("id_tiempo", "id_ubicacion", "id_indice_des", "consumo_total", "consumo_prom")
-        .join(days, "id_tiempo")
+        units.join(shown, "id_ubicacion")
         .join(dim_level, "id_indice_des")
-        .join(dim_location.select("id_ubicacion", "alcaldia", "colonia"), "id_ubicacion")
+        .orderBy(*order)
         .select(
             "anio", "bimestre", "fecha", "alcaldia", "colonia", "indice_des",
             "consumo_total", "consumo_prom",
         )
-        .orderBy(
-            *[F.asc_nulls_last(c) for c in ("anio", "bimestre", "alcaldia", "colonia")],
-            *[F.asc_nulls_last(c) for c in ("fecha", "indice_des", "consumo_total", "consumo_prom")],
-        )
-        .offset(offset)
-        .limit(limit)
     )

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from cubegraph.session import materialise_table
 
 Order = Sequence[Column | str]
+DEEP_PAGE = 1_000_000
 
 
 def _columns(order: Order) -> list[Column]:
@@ -139,8 +140,16 @@ def sort_es(df: DataFrame, column: str) -> DataFrame:
 
 
 def page(df: DataFrame, order: Order, limit: int, offset: int = 0) -> DataFrame:
-    """Rows ``offset`` .. ``offset + limit`` of the ordered relation."""
-    return df.orderBy(*_columns(order)).offset(offset).limit(limit)
+    """Rows ``offset`` .. ``offset + limit`` of the ordered relation.
+
+    Early pages are a top-k, whose rows gather in one task. Pages beyond
+    ``DEEP_PAGE`` rows are found by number instead; their order must be unique.
+    """
+    if offset + limit <= DEEP_PAGE:
+        return df.orderBy(*_columns(order)).offset(offset).limit(limit)
+    numbered = enumerate_rows(df, order, "_row")
+    wanted = F.col("_row").between(offset + 1, offset + limit)
+    return numbered.filter(wanted).orderBy("_row").drop("_row")
 
 
 def top(df: DataFrame, order: Order, n: int) -> DataFrame:

@@ -30,6 +30,18 @@ def _local_scratch(app_id: str) -> str:
     return tempfile.mkdtemp(prefix="cubegraph-")
 
 
+# Inputs of this size come as one or two splits and would keep most cores idle.
+SPREAD_FROM, SPREAD_BELOW = 2 << 20, 1 << 30
+
+
+def spread_small(df: DataFrame) -> DataFrame:
+    """Rows of a small scan over all cores; a large one has splits enough and stays as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if SPREAD_FROM <= size < SPREAD_BELOW:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
 

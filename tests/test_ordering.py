@@ -71,6 +71,12 @@ def test_sorts(spark):
     assert [x.v for x in es.collect()] == ["árbol", "azul", "nz", "ñu", "Zeta"]
 
 
+def test_deep_pages_are_found_by_number(spark, monkeypatch):
+    monkeypatch.setattr(o, "DEEP_PAGE", 5)
+    df = spark.range(0, 50, 1, 4).select((49 - F.col("id")).alias("id"))
+    assert [x.id for x in o.page(df, ["id"], 4, 20).collect()] == [20, 21, 22, 23]
+
+
 def test_pages(spark):
     df = spark.range(10)
     assert [x.id for x in o.page(df, ["id"], 3, 6).collect()] == [6, 7, 8]
