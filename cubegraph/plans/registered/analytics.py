@@ -8,7 +8,8 @@ from cubegraph.functions import dates
 from cubegraph.functions.geo import AREA, in_bbox
 from cubegraph.operators import marts, ordering, quality, relational, retrieval
 from cubegraph.plans.registered.base import Query, registrar
-from cubegraph.sources import writers
+from cubegraph.session import shared_path
+from cubegraph.sources import readers, schemas, writers
 
 QUERIES: dict[str, Query] = {}
 query = registrar(QUERIES)
@@ -290,3 +291,24 @@ GROUP BY alcaldia, colonia""")
 def readings_outside_box(c):
     outside = c.star.readings.filter(~in_bbox(F.col("latitud"), F.col("longitud")))
     return outside.groupBy("alcaldia", "colonia").agg(F.count("*").alias("fuera"))
+
+
+@query("""
+SELECT anio, alcaldia, COUNT(*) AS n, COUNT(consumo_prom_dom) AS con_dom, CAST(SUM(CAST(consumo_total AS DECIMAL(18,2))) AS DOUBLE) AS total,
+  MIN(CAST(fecha AS VARCHAR)) AS desde FROM mart GROUP BY anio, alcaldia""")
+def mart_through_json(c):
+    """The export, validated and written as JSON lines, read back."""
+    s = c.star
+    placed = c.mart.filter(F.col("latitud").isNotNull())
+    path = shared_path(c.spark, "export")
+    corr = marts.correlation(s.fact, s.fact_climate, s.dim_time)
+    problems = writers.export_mart(placed, corr, path)
+    if problems:
+        raise quality.QualityError("; ".join(problems))
+    back = readers.read_mart_rows(c.spark, f"{path}/consumo_colonia", schemas.MART_ROW)
+    return back.groupBy("anio", "alcaldia").agg(
+        F.count("*").alias("n"),
+        F.count("consumo_prom_dom").alias("con_dom"),
+        F.sum(F.col("consumo_total").cast("decimal(18,2)")).cast("double").alias("total"),
+        F.min("fecha").alias("desde"),
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,14 +53,15 @@ class Context:
         return graphs.reduced_graph(self.star, self.nearest)
 
 
-@lru_cache(maxsize=None)
-def _context(app_id: str, sf_dir: str) -> Context:
-    spark = SparkSession.getActiveSession()
-    return Context(tune(spark), sf_dir)
+_CONTEXTS: dict[tuple[str, str], Context] = {}
 
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
-    return _context(spark.sparkContext.applicationId, str(sf_dir).rstrip("/"))
+    """The context of one application and folder; its tables are loaded once."""
+    key = (spark.sparkContext.applicationId, str(sf_dir).rstrip("/"))
+    if key not in _CONTEXTS:
+        _CONTEXTS[key] = Context(tune(spark), key[1])
+    return _CONTEXTS[key]
 
 
 @dataclass(frozen=True)

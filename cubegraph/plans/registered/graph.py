@@ -10,6 +10,8 @@ from cubegraph.operators.integrity import (
 )
 from cubegraph.plans import graphs
 from cubegraph.plans.registered.base import Query, registrar
+from cubegraph.session import shared_path
+from cubegraph.sources import readers, writers
 from cubegraph.sources.vocabulary import AGUA, RDF_TYPE, TRIPLE_SCHEMA, iri, ref, schema_triples
 
 QUERIES: dict[str, Query] = {}
@@ -58,6 +60,14 @@ def feature_triples(c):
     )
 
 
+@query(_FEATURES)
+def feature_triples_through_lines(c):
+    """The same triples written as lines and read back."""
+    path = shared_path(c.spark, "features-nt")
+    writers.write_ntriples(feature_triples(c), path)
+    return readers.read_ntriples(c.spark, path)
+
+
 _EDGES = f"""
 SELECT DISTINCT s, p, o FROM (
   SELECT '{AGUA}colonia/' || id_origen AS s, '{AGUA}nearbyWithin1500m' AS p, '{AGUA}colonia/' || id_vecino AS o FROM distancias

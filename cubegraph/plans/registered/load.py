@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from cubegraph.functions import dates
 from cubegraph.operators import dims, facts, marts, quality, relational
 from cubegraph.plans.registered.base import Query, registrar
+from cubegraph.session import shared_path
+from cubegraph.sources import readers, schemas, writers
 
 QUERIES: dict[str, Query] = {}
 query = registrar(QUERIES)
@@ -213,3 +215,28 @@ def insert_ignore_dates(c):
     return relational.insert_ignore(stored, offered, "fecha").withColumn(
         "fecha", dates.iso_date(F.col("fecha"))
     )
+
+
+@query("""
+SELECT alcaldia, COUNT(*) AS n, COUNT(indice_des) AS con_indice, COUNT(consumo_prom_dom) AS con_dom,
+  CAST(SUM(consumo_total) AS DOUBLE) AS total, CAST(MIN(fecha_referencia) AS VARCHAR) AS desde, ROUND(MAX(latitud), 6) AS latitud
+FROM stg_consumo GROUP BY alcaldia""")
+def readings_through_csv(c):
+    """Readings written as delimited text with the null token and read by the declared schema."""
+    names = schemas.CONSUMPTION.names
+    token = F.lit("NA")
+    readings = c.star.readings.withColumns(
+        {"anio": F.year("fecha_referencia"), "bimestre": dates.bimester(F.month("fecha_referencia"))}
+    )
+    text = readings.select(*[F.coalesce(F.col(n).cast("string"), token).alias(n) for n in names])
+    path = shared_path(c.spark, "readings-csv")
+    writers.write_csv(text, path)
+    back = readers.read_csv(c.spark, path, schemas.CONSUMPTION)
+    return back.groupBy("alcaldia").agg(
+        F.count("*").alias("n"),
+        F.count("indice_des").alias("con_indice"),
+        F.count("consumo_prom_dom").alias("con_dom"),
+        F.sum("consumo_total").cast("double").alias("total"),
+        dates.iso_date(F.min("fecha_referencia")).alias("desde"),
+        F.round(F.max("latitud").cast("double"), 6).alias("latitud"),
+    )

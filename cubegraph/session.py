@@ -56,15 +56,19 @@ def shared_root(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; every call names another one."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_root(spark)}/cubegraph/{app}/{label}-{uuid.uuid4().hex}"
+
+
 def materialise_table(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the stored table.
 
     Cuts the lineage: the stored rows survive the loss of executors, and
     several consumers read the same rows instead of recomputing them.
     """
-    spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{shared_root(spark)}/cubegraph/{app}/{label}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, shared_path(df.sparkSession, label)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(partition_by)
