@@ -36,6 +36,22 @@ def distance_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> C
     return F.lit(KM_PER_DEGREE) * F.sqrt(dy * dy + dx * dx)
 
 
+def micro(degrees: Column) -> Column:
+    """Six-place degrees as a whole number, which subtracts exactly and fast."""
+    return (degrees.cast("decimal(9,6)") * F.lit(1_000_000)).cast("long")
+
+
+def scale_at(lat: Column) -> Column:
+    return F.cos(F.radians(lat.cast("double")))
+
+
+def micro_distance_km(y_a: Column, x_a: Column, scale_a: Column, y_b: Column, x_b: Column) -> Column:
+    """:func:`distance_km` over whole micro-degrees and the origin's longitude scale."""
+    dy = (y_a - y_b).cast("double") / F.lit(1_000_000.0)
+    dx = (x_a - x_b).cast("double") / F.lit(1_000_000.0) * scale_a
+    return F.lit(KM_PER_DEGREE) * F.sqrt(dy * dy + dx * dx)
+
+
 def wkt_point(lon: Column, lat: Column) -> Column:
     """``POINT(lon lat)``, null where a coordinate is null."""
     return F.concat(F.lit("POINT("), lon.cast("string"), F.lit(" "), lat.cast("string"), F.lit(")"))

@@ -130,18 +130,39 @@ def _neighbour_totals(triples: DataFrame, origin: str) -> DataFrame:
     near = sized(bgp(triples, [(origin, "agua:nearbyWithin1500m", "?unit")]), "neighbours")
     placed = bgp(triples, [("?obs", "agua:location", "?unit")])
     observed = sized(placed.join(near, "unit"), "neighbour-observations")
-    return (
+    totals = (
         bgp(triples, [("?obs", "agua:totalConsumption", "?c")])
         .join(observed, "obs")
         .groupBy("unit")
         .agg(F.sum(_number("c")).alias("total"))
     )
+    return sized(totals, "neighbour-totals")
 
 
 def _labels(triples: DataFrame, subject: str, name: str) -> DataFrame:
     return bgp(triples, [(f"?{subject}", "rdfs:label", f"?{name}")])
 
 
+def _borough_names(triples: DataFrame) -> DataFrame:
+    """Labels of the boroughs units refer to.
+
+    Units share few boroughs, so joining them on it would gather a third of all
+    units in one place; the few boroughs are found first, named, and stored.
+    """
+    used = bgp(triples, [("?unit", "agua:borough", "?b")]).select("b").distinct()
+    named = _labels(triples, "b", "alcaldia").join(sized(used, "boroughs"), "b")
+    return sized(named, "borough-names")
+
+
+def _unit_boroughs(triples: DataFrame) -> DataFrame:
+    """Units with the name of their borough."""
+    return (
+        bgp(triples, [("?unit", "agua:borough", "?b")])
+        .join(_borough_names(triples), "b")
+        .select("unit", "alcaldia")
+    )
+
+
 def neighbour_consumption(triples: DataFrame, origin: str, n: int = 10) -> DataFrame:
     """The origin's neighbours by their own consumption, first ``n``."""
     rows = (
@@ -158,10 +179,7 @@ def neighbours_by_label(triples: DataFrame, origin: str, with_borough: bool = Fa
     rows = _neighbour_totals(triples, origin).join(_labels(triples, "unit", "vecina"), "unit")
     keys = ["vecina"]
     if with_borough:
-        borough = bgp(
-            triples, [("?unit", "agua:borough", "?b"), ("?b", "rdfs:label", "?alcaldia")]
-        ).select("unit", "alcaldia")
-        rows = rows.join(borough, "unit")
+        rows = rows.join(_unit_boroughs(triples), "unit")
         keys.append("alcaldia")
     return (
         rows.groupBy(*keys)
@@ -267,10 +285,9 @@ def non_domestic_share(triples: DataFrame) -> DataFrame:
     units = _unit_totals(
         triples, ("nd", "agua:nonDomesticConsumption"), ("t", "agua:totalConsumption")
     )
-    named = bgp(triples, [("?unit", "agua:borough", "?b"), ("?b", "rdfs:label", "?alcaldia")])
     total = F.nullif(F.sum("t").cast("double"), F.lit(0.0))
     return (
-        units.join(named, "unit")
+        units.join(_unit_boroughs(triples), "unit")
         .groupBy("alcaldia")
         .agg(_whole(100 * F.sum("nd").cast("double") / total).alias("pct_no_domestico"))
         .orderBy(F.desc("pct_no_domestico"), "alcaldia")
@@ -302,9 +319,8 @@ def units(triples: DataFrame) -> DataFrame:
             ("?unit", "agua:latitude", "?lat"),
             ("?unit", "agua:longitude", "?lon"),
             ("?unit", "agua:borough", "?b"),
-            ("?b", "rdfs:label", "?alcaldia"),
         ],
-    )
+    ).join(_borough_names(triples), "b")
     return rows.select(
         last_segment(F.col("unit")).alias("id"),
         "nombre",
@@ -317,14 +333,8 @@ def units(triples: DataFrame) -> DataFrame:
 def load_units(triples: DataFrame) -> DataFrame:
     """Distinct (borough, neighbourhood) names of the units that have both."""
     return (
-        bgp(
-            triples,
-            [
-                ("?unit", "agua:borough", "?b"),
-                ("?unit", "rdfs:label", "?colonia"),
-                ("?b", "rdfs:label", "?alcaldia"),
-            ],
-        )
+        _labels(triples, "unit", "colonia")
+        .join(_unit_boroughs(triples), "unit")
         .select("alcaldia", "colonia")
         .distinct()
     )

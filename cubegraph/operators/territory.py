@@ -10,7 +10,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubegraph.functions.geo import KM_PER_DEGREE, RADIUS_KM, distance_km
+from cubegraph.functions.geo import (
+    KM_PER_DEGREE, RADIUS_KM, micro, micro_distance_km, scale_at,
+)
 from cubegraph.operators.ordering import top_k_per_key
 from cubegraph.session import materialise_table
 
@@ -18,20 +20,24 @@ _MARGIN = 1 + 1e-9  # keeps rounding from putting a partner two cells away
 
 
 def _located(points: DataFrame) -> DataFrame:
-    return points.filter(F.col("latitud").isNotNull() & F.col("longitud").isNotNull())
+    """Units with a coordinate, in whole micro-degrees."""
+    return points.filter(F.col("latitud").isNotNull() & F.col("longitud").isNotNull()).select(
+        "id_ubicacion", micro(F.col("latitud")).alias("y"), micro(F.col("longitud")).alias("x")
+    )
+
 
+def _degrees(micros: Column) -> Column:
+    return micros / F.lit(1_000_000.0)
 
-def _lat_range(points: DataFrame) -> tuple[float, float]:
+
+def _lat_range(located: DataFrame) -> tuple[float, float]:
     """Smallest and largest absolute latitude; one row on the driver."""
-    row = points.agg(
-        F.min(F.abs("latitud")).cast("double").alias("lo"),
-        F.max(F.abs("latitud")).cast("double").alias("hi"),
-    ).first()
-    return (row.lo or 0.0, row.hi or 0.0)
+    row = located.agg(F.min(F.abs("y")).alias("lo"), F.max(F.abs("y")).alias("hi")).first()
+    return ((row.lo or 0) / 1e6, (row.hi or 0) / 1e6)
 
 
-def _cell(value: Column, size: float) -> Column:
-    return F.floor(value.cast("double") / F.lit(size))
+def _cell(micros: Column, size: float) -> Column:
+    return F.floor(_degrees(micros) / F.lit(size))
 
 
 def _around(column: str, reach: int) -> Column:
@@ -52,35 +58,32 @@ def proximity_pairs(
     lat_size = radius_km / KM_PER_DEGREE * _MARGIN
     lon_size = lat_size / math.cos(math.radians(high))
     cells = located.select(
-        "id_ubicacion",
-        "latitud",
-        "longitud",
-        _cell(F.col("latitud"), lat_size).alias("cy"),
-        _cell(F.col("longitud"), lon_size).alias("cx"),
+        "*", _cell(F.col("y"), lat_size).alias("cy"), _cell(F.col("x"), lon_size).alias("cx")
     )
     parts = cells.groupBy("cy", "cx").agg(F.ceil(F.count("*") / F.lit(chunk)).alias("parts"))
     origins = cells.join(parts, ["cy", "cx"]).select(
         F.col("id_ubicacion").alias("id_origen"),
-        F.col("latitud").alias("lat_a"),
-        F.col("longitud").alias("lon_a"),
+        F.col("y").alias("y_a"),
+        F.col("x").alias("x_a"),
+        scale_at(_degrees(F.col("y"))).alias("scale_a"),
         "cy",
         "cx",
         F.pmod(F.xxhash64("id_ubicacion"), F.col("parts")).alias("part"),
     )
     nearby = (
-        cells.select("id_ubicacion", "latitud", "longitud", _around("cy", 1).alias("cy"), "cx")
-        .select("id_ubicacion", "latitud", "longitud", "cy", _around("cx", 1).alias("cx"))
+        cells.select("id_ubicacion", "y", "x", _around("cy", 1).alias("cy"), "cx")
+        .select("id_ubicacion", "y", "x", "cy", _around("cx", 1).alias("cx"))
         .join(parts, ["cy", "cx"])
         .select(
             F.col("id_ubicacion").alias("id_vecino"),
-            F.col("latitud").alias("lat_b"),
-            F.col("longitud").alias("lon_b"),
+            F.col("y").alias("y_b"),
+            F.col("x").alias("x_b"),
             "cy",
             "cx",
             F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
         )
     )
-    distance = distance_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    distance = micro_distance_km(*[F.col(c) for c in ("y_a", "x_a", "scale_a", "y_b", "x_b")])
     return (
         origins.join(nearby, ["cy", "cx", "part"])
         .filter(F.col("id_origen") != F.col("id_vecino"))
@@ -126,7 +129,7 @@ def knn_pairs(
     distance of the k-th neighbour by the cell's diagonal; sparse places search
     the full radius. Dense places therefore never list all pairs in the radius.
     """
-    located = _located(points).select("id_ubicacion", "latitud", "longitud")
+    located = _located(points)
     low, high = _lat_range(located)
     lat_size = radius_km / KM_PER_DEGREE * _MARGIN
     lon_size = lat_size / math.cos(math.radians(high))
@@ -137,10 +140,10 @@ def knn_pairs(
 
     fine = 2**max_level
     offered = materialise_table(
-        top_k_per_key(located, ["latitud", "longitud"], ["id_ubicacion"], k + 1).select(
+        top_k_per_key(located, ["y", "x"], ["id_ubicacion"], k + 1).select(
             "*",
-            _cell(F.col("latitud"), lat_size / fine).alias("gy"),
-            _cell(F.col("longitud"), lon_size / fine).alias("gx"),
+            _cell(F.col("y"), lat_size / fine).alias("gy"),
+            _cell(F.col("x"), lon_size / fine).alias("gx"),
         ),
         "knn-candidates",
     )
@@ -159,10 +162,10 @@ def knn_pairs(
     # One row per coordinate, with the finest level whose own cell is full enough.
     full = counts.filter((F.col("n") > k) & (F.col("level") > 0)).select("level", "cy", "cx")
     own = leveled.join(full, ["level", "cy", "cx"], "left_semi")
-    finest = own.groupBy("latitud", "longitud", "gy", "gx").agg(F.max("level").alias("level"))
-    coordinates = offered.select("latitud", "longitud", "gy", "gx").distinct()
+    finest = own.groupBy("y", "x", "gy", "gx").agg(F.max("level").alias("level"))
+    coordinates = offered.select("y", "x", "gy", "gx").distinct()
     searches = at_level(
-        coordinates.join(finest, ["latitud", "longitud", "gy", "gx"], "left").withColumn(
+        coordinates.join(finest, ["y", "x", "gy", "gx"], "left").withColumn(
             "level", F.coalesce("level", F.lit(0))
         )
     )
@@ -183,13 +186,14 @@ def knn_pairs(
         "cx",
         F.pmod(F.xxhash64("id_ubicacion"), F.col("parts")).alias("part"),
         F.col("id_ubicacion").alias("id_vecino"),
-        F.col("latitud").alias("lat_b"),
-        F.col("longitud").alias("lon_b"),
+        F.col("y").alias("y_b"),
+        F.col("x").alias("x_b"),
     )
     probes = (
         searches.select(
-            F.col("latitud").alias("lat_a"),
-            F.col("longitud").alias("lon_a"),
+            F.col("y").alias("y_a"),
+            F.col("x").alias("x_a"),
+            scale_at(_degrees(F.col("y"))).alias("scale_a"),
             "level",
             limit.alias("limit_km"),
             F.explode(F.sequence(F.col("cy") - span, F.col("cy") + span)).alias("cy"),
@@ -200,20 +204,20 @@ def knn_pairs(
         .join(parts, ["level", "cy", "cx"])
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     )
-    distance = distance_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
+    distance = micro_distance_km(*[F.col(c) for c in ("y_a", "x_a", "scale_a", "y_b", "x_b")])
     found = (
         probes.join(candidates, ["level", "cy", "cx", "part"])
-        .select("lat_a", "lon_a", "id_vecino", "limit_km", distance.alias("distancia_km"))
+        .select("y_a", "x_a", "id_vecino", "limit_km", distance.alias("distancia_km"))
         .filter(F.col("distancia_km") <= F.col("limit_km"))
     )
-    nearest = top_k_per_key(found, ["lat_a", "lon_a"], ["distancia_km", "id_vecino"], k + 1)
-    lists = nearest.groupBy("lat_a", "lon_a").agg(
+    nearest = top_k_per_key(found, ["y_a", "x_a"], ["distancia_km", "id_vecino"], k + 1)
+    lists = nearest.groupBy("y_a", "x_a").agg(
         F.array_sort(F.collect_list(F.struct("distancia_km", "id_vecino"))).alias("near")
     )
     others = F.filter("near", lambda x: x["id_vecino"] != F.col("id_ubicacion"))
     return (
-        located.withColumnsRenamed({"latitud": "lat_a", "longitud": "lon_a"})
-        .join(lists, ["lat_a", "lon_a"])
+        located.withColumnsRenamed({"y": "y_a", "x": "x_a"})
+        .join(lists, ["y_a", "x_a"])
         .select(F.col("id_ubicacion").alias("id_origen"), F.explode(F.slice(others, 1, k)).alias("e"))
         .select("id_origen", "e.id_vecino", "e.distancia_km")
         .filter(F.col("distancia_km") <= radius_km)
