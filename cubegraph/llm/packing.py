@@ -157,6 +157,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         "rank", F.col("before") + F.row_number().over(own) - 1
     )
 
+    names = pieces.columns
+
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rank = b.column(b.schema.get_field_index("rank")).to_numpy(zero_copy_only=False)
@@ -169,9 +171,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 into = rank[mine] - first_rank[run]
                 sequence[mine] = first_bin[run] + into // each[run]
                 offset[mine] = begin[run] + into % each[run] * n
-            kept = [b.column(b.schema.get_field_index(c)) for c in pieces.columns]
+            kept = [b.column(b.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(sequence), pa.array(offset)], names=[*pieces.columns, "sequence_id", "offset"]
+                [*kept, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"]
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
