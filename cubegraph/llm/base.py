@@ -37,12 +37,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("sha"))
 
 
-def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    """Equality of the named columns that also pairs null with null."""
+def join_on(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of one name, null pairing with null; the result has the left's columns, then the right's others."""
+    alias = {n: f"__right_{n}" for n in names}
+    other = right.select(*[F.col(n).alias(alias.get(n, n)) for n in right.columns])
     cond = F.lit(True)
-    for name in names:
-        cond = cond & left[name].eqNullSafe(right[name])
-    return cond
+    for n in names:
+        cond = cond & F.col(n).eqNullSafe(F.col(alias[n]))
+    joined = left.join(other, cond, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*alias.values())
 
 
 def fold_of(doc_id: Column, folds: int) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubegraph.llm.base import is_empty, keyed, read, register, same, store
+from cubegraph.llm.base import join_on, keyed, read, register, store
 
 CHUNK_BYTES = 1 << 18
 MODULI = (2147483647, 2147483629)
@@ -114,9 +114,7 @@ def nominated(prints: DataFrame) -> DataFrame:
 def compared(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """doc_id, sha and whether every chunk equals the representative's."""
     k = keyed(docs)
-    rows = k.join(members, same(k, members, "doc_id", "sha")).select(
-        k["doc_id"], k["sha"], k["text"], *[members[c] for c in (*GROUP, "members", "rep_id", "rep_sha")]
-    )
+    rows = join_on(k, members.select("doc_id", "sha", *GROUP, "members", "rep_id", "rep_sha"), ["doc_id", "sha"])
     is_rep = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("sha") == F.col("rep_sha"))
     salts = F.ceil(F.col("members") / SALT_ROWS).cast("int")
     mine = chunked(
@@ -139,16 +137,14 @@ def duplicate_classes(
     found, todo = None, prints
     while True:
         members = nominated(todo)
-        if found is not None and is_empty(members):
+        if found is not None and members.isEmpty():
             return found
         verdict = store(compared(docs, members, size), "compared")
-        judged = members.join(verdict, same(members, verdict, "doc_id", "sha")).select(
-            *[members[c] for c in members.columns], "equal"
-        )
+        judged = join_on(members, verdict, ["doc_id", "sha"])
         classes = judged.filter("equal").select("doc_id", "sha", "rep_id", "rep_sha", "n_rows")
         found = classes if found is None else found.unionByName(classes)
         differing = judged.filter(~F.col("equal"))
-        if is_empty(differing):
+        if differing.isEmpty():
             return found
         todo = store(differing.select(*prints.columns), "differing")
 
@@ -167,13 +163,9 @@ def exact_duplicates(
     sizes = store(
         classes.groupBy("rep_id", "rep_sha").agg(F.sum("n_rows").alias("group_size")), "duplicate-sizes"
     )
-    grouped = classes.join(sizes, same(classes, sizes, "rep_id", "rep_sha")).select(
-        classes["doc_id"].alias("c_id"), classes["sha"].alias("c_sha"), classes["rep_id"], classes["rep_sha"], sizes["group_size"]
-    )
-    joined = prints.join(
-        grouped, prints["doc_id"].eqNullSafe(grouped["c_id"]) & (prints["sha"] == grouped["c_sha"]), "left"
-    )
-    alone = F.col("c_sha").isNull()
+    grouped = join_on(classes.drop("n_rows"), sizes, ["rep_id", "rep_sha"])
+    joined = join_on(prints, grouped.withColumn("grouped", F.lit(True)), ["doc_id", "sha"], "left")
+    alone = F.col("grouped").isNull()
     is_rep = alone | (F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("sha") == F.col("rep_sha")))
     return joined.select(
         "doc_id",
@@ -206,7 +198,7 @@ def without_duplicates(
     rows = docs.withColumn("__key", F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
     match = lambda other: rows["doc_id"].eqNullSafe(other["__id"]) & (rows["__key"] == other["__sha"])
     stay = rows.join(dropped, match(dropped), "left_anti")
-    if is_empty(repeated):
+    if repeated.isEmpty():
         return stay.select(*cols)
     once = stay.join(repeated, match(repeated), "left_anti")
     many = stay.join(repeated, match(repeated), "left_semi").dropDuplicates(["doc_id", "__key"])

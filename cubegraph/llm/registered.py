@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cubegraph.llm import exact_dedup, packing  # noqa: F401
+from cubegraph.llm import exact_dedup, mixing, packing  # noqa: F401
 from cubegraph.llm.base import REGISTERED, LlmQuery
 
 
