@@ -71,7 +71,7 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
             share = F.first(f"share_{margin}")  # one value for each category
             ratio = fitted.groupBy(margin).agg((share / F.sum("fitted")).alias("ratio"))
             fitted = join_on(fitted, ratio, [margin]).withColumn("fitted", F.col("fitted") * F.col("ratio")).drop("ratio")
-        fitted = store(fitted, "raked")
+            fitted = store(fitted, "raked")  # read twice by the next step
     return fitted.select(*cells.columns, "fitted")
 
 
