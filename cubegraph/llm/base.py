@@ -53,6 +53,14 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def tuned(spark: SparkSession) -> SparkSession:
+    """Adaptive execution, and Arrow batches that stay small where texts are long."""
+    tune(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    return spark
+
+
 @dataclass(frozen=True)
 class LlmQuery:
     name: str
@@ -60,7 +68,7 @@ class LlmQuery:
     sql: str | None
 
     def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.build(tune(spark), sf_dir)
+        return self.build(tuned(spark), sf_dir)
 
 
 REGISTERED: dict[str, LlmQuery] = {}
