@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cubegraph.llm import exact_dedup, languages, mixing, packing, quality  # noqa: F401
+from cubegraph.llm import exact_dedup, languages, mixing, packing, quality, warc  # noqa: F401
 from cubegraph.llm.base import REGISTERED, LlmQuery
 
 
