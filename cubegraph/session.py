@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,8 +20,26 @@ RUNTIME_OPTIONS = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="cubegraph-ship-")) / "cubegraph.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for module in sorted(package.rglob("*.py")):
+            out.write(module, module.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Switch on adaptive execution; leaves sizes and partition counts alone."""
+    """Switch on adaptive execution and ship the package; leaves sizes and partition counts alone."""
+    ship(spark)
     for key, value in RUNTIME_OPTIONS.items():
         spark.conf.set(key, value)
     return spark
