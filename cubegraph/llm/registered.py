@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cubegraph.llm import exact_dedup, hidden_markov, jaccard_join, languages, mixing, packing, personal, quality, warc  # noqa: F401
+from cubegraph.llm import exact_dedup, hidden_markov, jaccard_join, languages, licences, mixing, packing, personal, quality, warc  # noqa: F401
 from cubegraph.llm.base import REGISTERED, LlmQuery
 
 
