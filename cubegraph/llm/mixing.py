@@ -52,8 +52,9 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def tempered_targets(cells: DataFrame, margin: str) -> DataFrame:
-    """(margin, share): shares in proportion to the square root of each category's mass."""
-    mass = cells.groupBy(margin).agg(F.sqrt(F.sum("mass")).alias("root"))
+    """(margin, share): shares in proportion to each category's mass to the power 3/4."""
+    root = F.sqrt(F.sum("mass"))
+    mass = cells.groupBy(margin).agg((root * F.sqrt(root)).alias("root"))
     total = mass.agg(F.sum("root").alias("total"))
     return mass.join(F.broadcast(total)).select(margin, (F.col("root") / F.col("total")).alias("share"))
 
@@ -139,7 +140,7 @@ def _sql() -> str:
     ]
     for m in MARGINS:
         steps.append(
-            f"t_{m} AS MATERIALIZED (SELECT {m}, SQRT(SUM(mass)) / SUM(SQRT(SUM(mass))) OVER () AS share FROM c GROUP BY {m})"
+            f"t_{m} AS MATERIALIZED (SELECT {m}, r * SQRT(r) / SUM(r * SQRT(r)) OVER () AS share FROM (SELECT {m}, SQRT(SUM(mass)) AS r FROM c GROUP BY {m}))"
         )
     steps.append("w0 AS MATERIALIZED (SELECT *, mass AS fitted FROM c)")
     n = 0
