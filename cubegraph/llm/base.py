@@ -57,7 +57,7 @@ def tuned(spark: SparkSession) -> SparkSession:
     """Adaptive execution, and Arrow batches that stay small where texts are long."""
     tune(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 
 

@@ -33,8 +33,8 @@ from cubegraph.llm.base import fold_of, read, register, store, text_of
 
 STATES, CLASSES, ROUNDS = 4, 4096, 3
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 24 << 20
-SEGMENT, LANES = 256, 4096
+BLOCK_BYTES = 12 << 20
+SEGMENT, LANES = 256, 2048
 END = 0  # the number and the class of the end token
 SMOOTH = 0.01
 
