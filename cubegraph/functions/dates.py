@@ -32,14 +32,6 @@ def bimester(month: Column) -> Column:
     return F.floor((month + 1) / 2).cast("int")
 
 
-def bimester_by_case(month: Column) -> Column:
-    """The same period spelled out month by month; anything past October is 6."""
-    chain = F.when(month.isin(1, 2), 1)
-    for number, pair in enumerate(((3, 4), (5, 6), (7, 8), (9, 10)), start=2):
-        chain = chain.when(month.isin(*pair), number)
-    return chain.otherwise(6).cast("int")
-
-
 def try_date(text: Column) -> Column:
     """Parsed date, or null where the text is no date."""
     return F.try_to_timestamp(text).cast("date")

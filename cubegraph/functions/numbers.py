@@ -8,15 +8,26 @@ from pyspark.sql import functions as F
 MISSING_TEXT = "—"
 
 
-def round_to(x: Column, digits: int) -> Column:
-    """Round half away from zero."""
-    return F.round(x, digits)
-
-
 def fixed2(x: Column) -> Column:
-    """Two-decimal text, zero for null, ties to the even digit."""
-    filled = F.coalesce(x.cast("decimal(38,10)"), F.lit(0).cast("decimal(38,10)"))
-    return F.bround(filled, 2).cast("decimal(38,2)").cast("string")
+    """Two-decimal text of a double's exact value, zero for null; exact halves go to the even digit.
+
+    The product by 100 is rounded, so its error is computed too (the double is split into two halves
+    whose products are exact). Where the product lies on a half, the error's sign decides.
+    """
+    value = F.coalesce(x.cast("double"), F.lit(0.0))
+    size = F.abs(value)
+    scaled = F.lit(134217729.0) * size
+    high = scaled - (scaled - size)
+    product = size * 100.0
+    error = (high * 100.0 - product) + (size - high) * 100.0
+    whole = F.floor(product)
+    beyond = (product - whole) - F.lit(0.5)
+    up = (beyond > 0) | ((beyond == 0) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    cents = whole + F.when(up, 1).otherwise(0)
+    sign = F.when(value < 0, "-").otherwise("")
+    text = F.concat(sign, F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    # Above 2**45 a double's spacing is 1/128 or more, so no value lies near a half of a cent but on it.
+    return F.when(size < float(1 << 45), text).otherwise(value.cast("decimal(38,2)").cast("string"))
 
 
 def pct(part: Column, whole: Column, on_zero: float | None = None) -> Column:
@@ -35,22 +46,6 @@ def choropleth_class(t: Column) -> Column:
     return shade.otherwise(5).cast("int")
 
 
-def zero_fill(x: Column) -> Column:
-    return F.coalesce(x, F.lit(0))
-
-
-def round_keep_null(x: Column, digits: int = 2) -> Column:
-    return F.round(x.cast("double"), digits)
-
-
-def to_int(x: Column) -> Column:
-    return x.cast("int")
-
-
-def to_decimal(x: Column, precision: int = 18, scale: int = 6) -> Column:
-    return x.cast(f"decimal({precision},{scale})")
-
-
 def try_number(text: Column) -> Column:
     """Number read from text, null where it is none."""
     return text.try_cast("double")

@@ -148,11 +148,6 @@ def unescape_literal(text: Column) -> Column:
     return F.replace(out, F.lit(hold), F.lit("\\"))
 
 
-def group_key(*columns: Column) -> Column:
-    """Readable concatenated key; grouping itself uses the columns."""
-    return F.concat_ws("||", *columns)
-
-
 def first_present(*columns: Column) -> Column:
     """First value that is neither null nor empty, else the empty text."""
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns], F.lit(""))

@@ -127,14 +127,11 @@ def totals_by_unit(fact: DataFrame) -> DataFrame:
 
 
 def top_neighbourhoods(fact: DataFrame, dim_location: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` largest units; only those rows meet the dimension.
-
-    Ties go to the smaller key, which follows (borough, neighbourhood).
-    """
+    """The ``n`` largest units; only those rows meet the dimension. Ties go to the smaller key."""
     best = top(totals_by_unit(fact), [F.desc_nulls_last("total"), "id_ubicacion"], n)
     labels = dim_location.select("id_ubicacion", "alcaldia", "colonia")
     return (
-        labels.join(F.broadcast(best), "id_ubicacion")  # n rows
+        labels.join(best, "id_ubicacion")
         .orderBy(F.desc_nulls_last("total"), "id_ubicacion")
         .select("alcaldia", "colonia", "total")
     )
@@ -221,26 +218,19 @@ def paged_retrieval(
 ) -> DataFrame:
     """One page of the star ordered by period, borough and neighbourhood.
 
-    The key of a unit follows (borough, neighbourhood) and that of a level its
-    name, so the page is cut on the fact's own keys: each task keeps its best
-    rows, nothing is shuffled, and only the page's rows meet units and levels.
+    Ordered by the names themselves, so it holds whatever order keys were given in.
+    Each task keeps its best rows; only the page is gathered.
     """
-    periods = dim_time.select("id_tiempo", "anio", "bimestre", "fecha")
-    rows = fact.select(
-        "id_tiempo", "id_ubicacion", "id_indice_des", "consumo_total", "consumo_prom"
-    ).join(periods, "id_tiempo")
+    rows = (
+        fact.select("id_tiempo", "id_ubicacion", "id_indice_des", "consumo_total", "consumo_prom")
+        .join(dim_time.select("id_tiempo", "anio", "bimestre", "fecha"), "id_tiempo")
+        .join(dim_level, "id_indice_des")
+        .join(dim_location.select("id_ubicacion", "alcaldia", "colonia"), "id_ubicacion")
+    )
     order = [
-        "anio", "bimestre", "id_ubicacion", "fecha", "id_indice_des",
-        F.asc_nulls_last("consumo_total"), F.asc_nulls_last("consumo_prom"),
+        F.asc_nulls_last(c)
+        for c in ("anio", "bimestre", "alcaldia", "colonia", "fecha", "indice_des", "consumo_total", "consumo_prom")
     ]
-    shown = F.broadcast(page(rows, order, limit, offset))  # limit rows
-    units = dim_location.select("id_ubicacion", "alcaldia", "colonia")
-    return (
-        units.join(shown, "id_ubicacion")
-        .join(dim_level, "id_indice_des")
-        .orderBy(*order)
-        .select(
-            "anio", "bimestre", "fecha", "alcaldia", "colonia", "indice_des",
-            "consumo_total", "consumo_prom",
-        )
+    return page(rows, order, limit, offset).select(
+        "anio", "bimestre", "fecha", "alcaldia", "colonia", "indice_des", "consumo_total", "consumo_prom"
     )

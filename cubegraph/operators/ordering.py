@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from cubegraph.session import materialise_table
 
 Order = Sequence[Column | str]
-DEEP_PAGE = 1_000_000
 
 
 def _columns(order: Order) -> list[Column]:
@@ -125,28 +124,14 @@ def top_k_per_key(df: DataFrame, key: Sequence[str] | str, order: Order, k: int)
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
 
-def sort_asc(df: DataFrame, *columns: str) -> DataFrame:
-    """Ascending with nulls last."""
-    return df.orderBy(*[F.asc_nulls_last(c) for c in columns])
-
-
-def sort_desc(df: DataFrame, column: str, *tie: str) -> DataFrame:
-    return df.orderBy(F.desc_nulls_last(column), *[F.asc_nulls_last(c) for c in tie])
-
-
-def sort_es(df: DataFrame, column: str) -> DataFrame:
-    """Spanish alphabetical order."""
-    return df.orderBy(F.collate(F.col(column), "es"))
-
-
 def page(df: DataFrame, order: Order, limit: int, offset: int = 0) -> DataFrame:
-    """Rows ``offset`` .. ``offset + limit`` of the ordered relation.
+    """Rows ``offset`` .. ``offset + limit`` of the ordered relation, as a top-k: each task keeps its best rows."""
+    return df.orderBy(*_columns(order)).offset(offset).limit(limit)
 
-    Early pages are a top-k, whose rows gather in one task. Pages beyond
-    ``DEEP_PAGE`` rows are found by number instead; their order must be unique.
-    """
-    if offset + limit <= DEEP_PAGE:
-        return df.orderBy(*_columns(order)).offset(offset).limit(limit)
+
+def numbered_page(df: DataFrame, order: Order, limit: int, offset: int = 0) -> DataFrame:
+    """The same page for deep offsets: the relation is sorted by range and stored with row numbers,
+    and only the page's rows are gathered. ``order`` must be unique over the rows."""
     numbered = enumerate_rows(df, order, "_row")
     wanted = F.col("_row").between(offset + 1, offset + limit)
     return numbered.filter(wanted).orderBy("_row").drop("_row")

@@ -84,8 +84,9 @@ def count_pattern(triples: DataFrame, s=None, p=None, o=None) -> DataFrame:
     return match(triples, s, p, o).agg(F.count("*").alias("n"))
 
 
-def triple_count(triples: DataFrame) -> DataFrame:
-    return triples.distinct().agg(F.count("*").alias("n"))
+def triple_count(triples: DataFrame, bag: bool = False) -> DataFrame:
+    """Size of a graph, which holds no triple twice; of a ``bag`` each triple counts once."""
+    return (triples.distinct() if bag else triples).agg(F.count("*").alias("n"))
 
 
 def class_counts(triples: DataFrame, classes: Sequence[str] | None = None) -> DataFrame:

@@ -153,9 +153,12 @@ def search(
     return top(hits, [F.collate(F.col(name), "es"), tie], limit)
 
 
+# Fixed value: names preferred for the first unit shown.
+FIRST_SHOWN = "CENTRO|JUAREZ|ROMA"
+
+
 def initial_selection(
-    dim: DataFrame, colonia: str | None = None, alcaldia: str | None = None,
-    pattern: str = "CENTRO|JUAREZ|ROMA",
+    dim: DataFrame, colonia: str | None = None, alcaldia: str | None = None, pattern: str = FIRST_SHOWN
 ) -> DataFrame:
     """The unit shown first: the requested name, else a pattern match, else the first.
 

@@ -44,48 +44,69 @@ def _around(column: str, reach: int) -> Column:
     return F.explode(F.array(*[F.col(column) + d for d in range(-reach, reach + 1)]))
 
 
+def _band_width(band: Column, lat_size: float) -> Column:
+    """Width in degrees of longitude of the cells of a latitude band: the reach at its edge nearer a pole."""
+    edge = F.greatest(F.abs(band), F.abs(band + 1)) * F.lit(lat_size)
+    narrowest = F.cos(F.radians(F.least(edge, F.lit(90.0))))
+    return F.least(F.lit(lat_size) / F.greatest(narrowest, F.lit(1e-9)), F.lit(400.0))
+
+
 def proximity_pairs(
     points: DataFrame, radius_km: float = RADIUS_KM, chunk: int = 4096
 ) -> DataFrame:
     """All ordered pairs of different units at most ``radius_km`` apart.
 
-    A grid of radius-sized cells turns the range condition into an equi-join on
-    the cell. Crowded cells are cut into chunks of about ``chunk`` origins, each
-    joined on its own, so no task holds all the pairs of one cell.
+    A grid turns the range condition into an equi-join on the cell: latitude bands as high as the
+    radius, cut into cells as wide as the radius at the band's own latitude. An origin looks into the
+    three bands and three cells around it, by the cells of its own band. Of a crowded cell both
+    the origins and the neighbours are dealt into parts of about ``chunk``, and each pair of parts is joined
+    on its own.
     """
     located = _located(points)
-    _, high = _lat_range(located)
     lat_size = radius_km / KM_PER_DEGREE * _MARGIN
-    lon_size = lat_size / math.cos(math.radians(high))
-    cells = located.select(
-        "*", _cell(F.col("y"), lat_size).alias("cy"), _cell(F.col("x"), lon_size).alias("cx")
+    band = F.floor(_degrees(F.col("y")) / F.lit(lat_size))
+    column = F.floor(_degrees(F.col("x")) / _band_width(F.col("cy"), lat_size))
+    cells = located.withColumn("cy", band)
+    around = (
+        cells.select("id_ubicacion", "y", "x", _around("cy", 1).alias("cy"))
+        .withColumn("cx", column)
+        .select("id_ubicacion", "y", "x", "cy", _around("cx", 1).alias("cx"))
     )
-    parts = cells.groupBy("cy", "cx").agg(F.ceil(F.count("*") / F.lit(chunk)).alias("parts"))
-    origins = cells.join(parts, ["cy", "cx"]).select(
+    cells = cells.withColumn("cx", column)
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cy", "cx").agg(F.ceil(F.count("*") / F.lit(chunk)).cast("long").alias(name))
+
+    sizes = materialise_table(parts(cells, "parts_a").join(parts(around, "parts_b"), ["cy", "cx"]), "cell-parts")
+
+    def every(name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+
+    def own(name: str) -> Column:
+        return F.pmod(F.xxhash64("id_ubicacion"), F.col(name))
+
+    origins = cells.join(sizes, ["cy", "cx"]).select(
         F.col("id_ubicacion").alias("id_origen"),
         F.col("y").alias("y_a"),
         F.col("x").alias("x_a"),
         scale_at(_degrees(F.col("y"))).alias("scale_a"),
         "cy",
         "cx",
-        F.pmod(F.xxhash64("id_ubicacion"), F.col("parts")).alias("part"),
+        own("parts_a").alias("part_a"),
+        every("parts_b").alias("part_b"),
     )
-    nearby = (
-        cells.select("id_ubicacion", "y", "x", _around("cy", 1).alias("cy"), "cx")
-        .select("id_ubicacion", "y", "x", "cy", _around("cx", 1).alias("cx"))
-        .join(parts, ["cy", "cx"])
-        .select(
-            F.col("id_ubicacion").alias("id_vecino"),
-            F.col("y").alias("y_b"),
-            F.col("x").alias("x_b"),
-            "cy",
-            "cx",
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
-        )
+    nearby = around.join(sizes, ["cy", "cx"]).select(
+        F.col("id_ubicacion").alias("id_vecino"),
+        F.col("y").alias("y_b"),
+        F.col("x").alias("x_b"),
+        "cy",
+        "cx",
+        every("parts_a").alias("part_a"),
+        own("parts_b").alias("part_b"),
     )
     distance = micro_distance_km(*[F.col(c) for c in ("y_a", "x_a", "scale_a", "y_b", "x_b")])
     return (
-        origins.join(nearby, ["cy", "cx", "part"])
+        origins.join(nearby, ["cy", "cx", "part_a", "part_b"])
         .filter(F.col("id_origen") != F.col("id_vecino"))
         .select("id_origen", "id_vecino", distance.alias("distancia_km"))
         .filter(F.col("distancia_km") <= radius_km)

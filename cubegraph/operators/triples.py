@@ -176,8 +176,9 @@ def materialise(maps: Sequence[TriplesMap], rows: Sequence[tuple] = ()) -> DataF
 
 
 def graph_union(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Union with set semantics."""
-    return a.unionByName(b).distinct()
+    """Union of two graphs, each a set already: the second adds the triples the first lacks."""
+    same = reduce(lambda x, y: x & y, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in COLUMNS])
+    return a.unionByName(b.alias("l").join(a.alias("r"), same, "left_anti"))
 
 
 def ref(table: DataFrame, parent: DataFrame, on: str) -> DataFrame:
@@ -315,10 +316,6 @@ def metadata_rows(k: int, radius_km: float, created: str) -> list[tuple]:
     ]
 
 
-def dataset_metadata(spark: SparkSession, k: int, radius_km: float, created: str) -> DataFrame:
-    return spark.createDataFrame(metadata_rows(k, radius_km, created), TRIPLE_SCHEMA)
-
-
 def flag_no_geometry(dim_location: DataFrame) -> DataFrame:
     """``hasNoGeometry`` is "true" without a coordinate and null with one."""
     bare = F.col("latitud").isNull() | F.col("longitud").isNull()

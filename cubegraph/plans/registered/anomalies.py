@@ -150,8 +150,21 @@ def _rounded(df):
 
 @query()
 def sweep_metrics(c):
-    """All three methods; hash-drawn trees have no SQL counterpart."""
-    return _rounded(evaluation.sweep(_panel(c), SEEDS[:2]))
+    """All three methods over all seeds; hash-drawn trees have no SQL counterpart."""
+    return _rounded(evaluation.sweep(_panel(c), SEEDS))
+
+
+@query(_SWEPT + f"""
+SELECT clave AS seed, '{evaluation.DEPLOYED}' AS method, CAST(MAX(orden) OVER (PARTITION BY clave) - orden AS BIGINT) AS point,
+  ROUND(CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE), 9) AS precision, ROUND(CAST(tp AS DOUBLE) / CAST(p AS DOUBLE), 9) AS recall, ROUND(score, 6) AS threshold FROM curva
+UNION ALL SELECT clave, '{evaluation.DEPLOYED}', CAST(MAX(orden) AS BIGINT), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(NULL AS DOUBLE) FROM curva GROUP BY clave""")
+def sweep_curves(c):
+    """Precision and recall at every threshold, per seed of the deployed ranking."""
+    scores = evaluation.sweep_scores(_panel(c), SEEDS, methods=[evaluation.DEPLOYED])
+    curves = evaluation.pr_curve(scores, ["seed", "method"])
+    return curves.select(
+        "seed", "method", "point", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round("threshold", 6).alias("threshold")
+    )
 
 
 @query()

@@ -96,15 +96,19 @@ def fact_load_counts(c):
     """The load itself: staging joined to the dimensions, counted per level."""
     s = c.star
     loaded = facts.build_fact_consumption(s.readings, s.dim_time, s.dim_location, s.dim_level)
+    # One row per (level, unit, day) before days and units are counted as sets.
+    reduced = loaded.groupBy("id_indice_des", "id_ubicacion", "id_tiempo").agg(
+        F.count("*").alias("n"), F.sum("consumo_total").alias("total"), F.count("consumo_prom_dom").alias("con_dom")
+    )
     return (
-        facts.star(loaded, (s.dim_level, "id_indice_des"))
+        facts.star(reduced, (s.dim_level, "id_indice_des"))
         .groupBy("indice_des")
         .agg(
-            F.count("*").alias("n"),
+            F.sum("n").alias("n"),
             F.count_distinct("id_tiempo").alias("dias"),
             F.count_distinct("id_ubicacion").alias("unidades"),
-            F.sum("consumo_total").cast("double").alias("total"),
-            F.count("consumo_prom_dom").alias("con_dom"),
+            F.sum("total").cast("double").alias("total"),
+            F.sum("con_dom").alias("con_dom"),
         )
     )
 
@@ -240,3 +244,82 @@ def readings_through_csv(c):
         dates.iso_date(F.min("fecha_referencia")).alias("desde"),
         F.round(F.max("latitud").cast("double"), 6).alias("latitud"),
     )
+
+
+_QUOTED = r"""
+SELECT colonia, COUNT(*) AS n, CAST(SUM(consumo_total) AS DOUBLE) AS total FROM (
+  SELECT alcaldia || CASE EXTRACT(DAY FROM fecha_referencia) % 4 WHEN 0 THEN ' "ROSAL", A' WHEN 1 THEN chr(10) || 'B' WHEN 2 THEN ' C' || chr(92) ELSE ' "D"' END AS colonia, consumo_total
+  FROM stg_consumo WHERE alcaldia IS NOT NULL) GROUP BY colonia"""
+
+
+@query(_QUOTED)
+def readings_through_quoted_csv(c):
+    """Names with quotes, commas, backslashes and line breaks survive the round trip through delimited text."""
+    day = F.dayofmonth("fecha_referencia") % 4
+    ending = F.when(day == 0, ' "ROSAL", A').when(day == 1, "\nB").when(day == 2, " C\\").otherwise(' "D"')
+    names = schemas.CONSUMPTION.names
+    readings = c.star.readings.filter(F.col("alcaldia").isNotNull()).withColumns(
+        {
+            "colonia": F.concat("alcaldia", ending),
+            "anio": F.year("fecha_referencia"),
+            "bimestre": dates.bimester(F.month("fecha_referencia")),
+        }
+    )
+    text = readings.select(*[F.coalesce(F.col(n).cast("string"), F.lit("NA")).alias(n) for n in names])
+    path = shared_path(c.spark, "quoted-csv")
+    writers.write_csv(text, path)
+    back = readers.read_csv(c.spark, path, schemas.CONSUMPTION, multiline=True)
+    return back.groupBy("colonia").agg(F.count("*").alias("n"), F.sum("consumo_total").cast("double").alias("total"))
+
+
+@query("""
+SELECT CAST(EXTRACT(YEAR FROM fecha_hora) AS INTEGER) AS anio, COUNT(*) AS n, COUNT(lluvia) AS con_lluvia, CAST(SUM(humedad_relativa) AS BIGINT) AS humedad,
+  CAST(SUM(lluvia) AS DOUBLE) AS lluvia FROM (SELECT fecha_hora, humedad_relativa, NULLIF(lluvia, 0) AS lluvia FROM stg_clima) GROUP BY 1""")
+def climate_through_csv(c):
+    """The sub-daily series written with its header names and read by position."""
+    row = c.star.climate.select(
+        F.date_format("fecha_hora", "yyyy-MM-dd'T'HH:mm").alias("fecha_hora"),
+        F.col("temperatura").cast("decimal(18,6)").cast("string").alias("temperatura"),
+        F.col("humedad_relativa").cast("string").alias("humedad_relativa"),
+        F.coalesce(F.nullif(F.col("lluvia"), F.lit(0)).cast("string"), F.lit("NA")).alias("lluvia"),
+    )
+    path = shared_path(c.spark, "climate-csv")
+    writers.write_csv(row.withColumnsRenamed(schemas.CLIMATE_HEADERS), path)
+    back = readers.read_csv(c.spark, path, schemas.CLIMATE)
+    return back.groupBy(F.year("fecha_hora").alias("anio")).agg(
+        F.count("*").alias("n"),
+        F.count("lluvia").alias("con_lluvia"),
+        F.sum("humedad_relativa").cast("long").alias("humedad"),
+        F.sum("lluvia").cast("double").alias("lluvia"),
+    )
+
+
+@query("""
+SELECT alcaldia, colonia, CASE WHEN lote = 1 THEN 'first' ELSE 'second' END AS lote FROM (
+  SELECT alcaldia, colonia, MIN(CASE WHEN EXTRACT(YEAR FROM fecha_referencia) < 1997 THEN 1 ELSE 2 END) AS lote
+  FROM stg_consumo WHERE colonia IS NOT NULL GROUP BY alcaldia, colonia)""")
+def append_dimension(c):
+    """Two batches of units: the second adds only new ones, with keys above the first's."""
+    path = shared_path(c.spark, "appended-dimension")
+    units = c.star.readings.filter(F.col("colonia").isNotNull())
+    early = F.year("fecha_referencia") < 1997
+    key = ["alcaldia", "colonia"]
+    first = writers.load_dim(units.filter(early).select(*key).distinct(), path, key, "id")
+    last = first.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first()["last"]
+    both = writers.load_dim(units.select(*key).distinct(), path, key, "id")
+    repeated = both.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    return both.join(repeated, "id", "left_anti").select(
+        *key, F.when(F.col("id") <= last, "first").otherwise("second").alias("lote")
+    )
+
+
+@query("""
+SELECT COUNT(*) AS n, COUNT(*) AS claves, CAST(SUM(consumo_total) AS DOUBLE) AS total FROM fact_consumo_agua""")
+def append_fact(c):
+    """Two batches of facts under keys that never meet."""
+    path = shared_path(c.spark, "appended-fact")
+    rows = c.star.fact.drop("id_fact")
+    writers.load_fact(rows.filter("id_tiempo % 2 = 0"), path, "id_fact")
+    both = writers.load_fact(rows.filter("id_tiempo % 2 = 1"), path, "id_fact")
+    keyed = both.groupBy("id_fact").agg(F.count("*").alias("n"), F.sum("consumo_total").alias("total"))
+    return keyed.agg(F.sum("n").alias("n"), F.count("*").alias("claves"), F.sum("total").cast("double").alias("total"))

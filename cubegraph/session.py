@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
-from functools import lru_cache
 from pathlib import Path
 
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime options the plans in this package rely on: measured sizes decide on
@@ -45,41 +46,33 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-@lru_cache(maxsize=None)
-def _local_scratch(app_id: str) -> str:
-    return tempfile.mkdtemp(prefix="cubegraph-")
-
-
-# Inputs of this size come as one or two splits and would keep most cores idle.
-SPREAD_FROM, SPREAD_BELOW = 2 << 20, 1 << 30
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Rows of a small scan over all cores; a large one has splits enough and stays as it is."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if SPREAD_FROM <= size < SPREAD_BELOW:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
-
-
 def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach, taken from ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder.
-    """
+    """Folder every executor can reach: ``spark.checkpoint.dir``, or where it is unset a folder in the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    sc = spark.sparkContext
-    if sc.master.startswith("local"):
-        return _local_scratch(sc.applicationId)
-    raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stored"
+    return root.rstrip("/")
+
+
+_STORED: dict[str, list[str]] = {}
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder; every call names another one."""
     app = spark.sparkContext.applicationId
-    return f"{shared_root(spark)}/cubegraph/{app}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/cubegraph/{app}/{label}-{uuid.uuid4().hex}"
+    _STORED.setdefault(app, []).append(path)
+    return path
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete every table this application stored; frames that read them are void afterwards. Returns how many."""
+    paths = _STORED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        fs, place = FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+        if fs.get_file_info(place).type == FileType.Directory:
+            fs.delete_dir(place)
+    return len(paths)
 
 
 def materialise_table(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:

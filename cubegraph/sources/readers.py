@@ -19,19 +19,28 @@ def _text_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+# A quote inside a quoted field is doubled; a backslash is an ordinary character.
+DIALECT = {"quote": '"', "escape": '"'}
+
+
 def read_csv(
-    spark: SparkSession, path: str, schema: T.StructType, null_token: str = "NA"
+    spark: SparkSession, path: str, schema: T.StructType, null_token: str = "NA", multiline: bool = False
 ) -> DataFrame:
     """Delimited text with a header, columns by position, one null token.
 
     Values are read as text and cast, so that the token, and only the token or a
-    bare empty field, becomes null; a malformed number fails the load.
+    bare empty field, becomes null; a malformed number or a row with too few or too many fields
+    fails the load. With ``multiline`` quoted fields may hold line breaks; a file
+    is then read by one task.
     """
     raw = (
         spark.read.schema(_text_schema(schema.names))
         .option("header", True)
         .option("nullValue", _NEVER)
         .option("enforceSchema", True)
+        .option("mode", "FAILFAST")
+        .option("multiLine", multiline)
+        .options(**DIALECT)
         .csv(path)
     )
     token = F.lit(null_token)
@@ -41,13 +50,15 @@ def read_csv(
 
 
 def read_csv_text(
-    spark: SparkSession, path: str, null_tokens: Sequence[str] = NULL_TOKENS
+    spark: SparkSession, path: str, null_tokens: Sequence[str] = NULL_TOKENS, multiline: bool = False
 ) -> DataFrame:
     """All columns as text under their header names; padded tokens become null.
 
     Undecodable bytes are replaced, not refused.
     """
-    raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    raw = (
+        spark.read.option("header", True).option("encoding", "UTF-8").option("multiLine", multiline).options(**DIALECT).csv(path)
+    )
     return raw.select(
         *[
             F.when(~is_missing(F.col(f"`{c}`"), tuple(null_tokens)), F.col(f"`{c}`")).alias(c)
@@ -56,9 +67,11 @@ def read_csv_text(
     )
 
 
-def read_csv_coerced(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
+def read_csv_coerced(
+    spark: SparkSession, path: str, types: dict[str, str], multiline: bool = False
+) -> DataFrame:
     """Text columns with the named ones cast; what does not parse becomes null."""
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).option("multiLine", multiline).options(**DIALECT).csv(path)
     return raw.select(
         *[
             F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`")
@@ -115,7 +128,10 @@ def read_mart_rows(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
-    """Features as (nombre, geometry): first non-empty name attribute, geometry untouched."""
+    """Features as (nombre, geometry): first non-empty name attribute, geometry untouched.
+
+    One document cannot be split, so a file is parsed by one task.
+    """
     features = T.StructType(
         [
             T.StructField(

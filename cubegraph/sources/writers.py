@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,23 +13,45 @@ from cubegraph.functions.dates import iso_date
 from cubegraph.functions.text import escape_literal
 from cubegraph.operators.marts import MART_COLUMNS, mart_order
 from cubegraph.operators.ordering import with_serial, with_surrogate_key
-from cubegraph.operators.quality import QualityError, validate_export
+from cubegraph.operators.quality import validate_export
 from cubegraph.operators.retrieval import catalogue
+from cubegraph.sources.readers import DIALECT
 from cubegraph.sources.schemas import CORRELATION_ROW, MART_ROW
 
-DOCUMENT_LIMIT = 200_000  # mart rows that fit one browser document
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, None before the first load."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _largest(stored: DataFrame | None, key: str) -> int:
+    return 0 if stored is None else stored.agg(F.coalesce(F.max(key), F.lit(0)).alias("k")).first()["k"]
 
 
 def load_dim(df: DataFrame, path: str, order: Sequence[str], key: str) -> DataFrame:
-    """Append a dimension with its surrogate key and return the stored table."""
-    with_surrogate_key(df, order, key).write.mode("append").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Append the members a dimension does not hold yet; their keys go on from the largest stored one."""
+    spark = df.sparkSession
+    stored = _stored(spark, path)
+    fresh = df.dropDuplicates(list(order))
+    if stored is not None:
+        known = stored.select(*[F.col(c).alias(f"_known_{c}") for c in order])
+        same = [F.col(c).eqNullSafe(F.col(f"_known_{c}")) for c in order]
+        fresh = fresh.join(known, reduce(lambda a, b: a & b, same), "left_anti")
+    numbered = with_surrogate_key(fresh, order, key)
+    numbered.withColumn(key, F.col(key) + F.lit(_largest(stored, key))).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def load_fact(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Append a fact with a unique row key and return the stored table."""
-    with_serial(df, key).write.mode("append").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Append a batch of facts; keys are unique over all batches, as each begins above the largest stored one."""
+    spark = df.sparkSession
+    largest = _largest(_stored(spark, path), key)
+    with_serial(df, key).withColumn(key, F.col(key) + F.lit(largest)).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
 
 
 def drop_staging(spark: SparkSession, names: Sequence[str]) -> None:
@@ -95,45 +119,6 @@ def export_mart(
     return []
 
 
-def mart_document(mart: DataFrame, corr: DataFrame, generated: str, note: str = "") -> DataFrame:
-    """The whole export as one JSON text, for marts a browser can load.
-
-    Refused above ``DOCUMENT_LIMIT`` rows: larger marts go out as JSON lines.
-    """
-    if mart.limit(DOCUMENT_LIMIT + 1).count() > DOCUMENT_LIMIT:
-        raise QualityError("mart too large for one document; use export_mart")
-
-    def values(column: str) -> Column:
-        return F.array_sort(F.collect_set(column))
-
-    lists = mart.agg(
-        values("anio").alias("anios"),
-        values("bimestre").alias("bimestres"),
-        values("alcaldia").alias("alcaldias"),
-        values("indice_des").alias("indices"),
-    )
-    members = mart.groupBy("alcaldia").agg(values("colonia").alias("colonias"))
-    by_borough = members.agg(
-        F.map_from_entries(
-            F.array_sort(F.collect_list(F.struct("alcaldia", "colonias")))
-        )
-    ).scalar()
-    rows = mart_rows(mart).agg(F.collect_list(F.struct(*MART_ROW.names))).scalar()
-    corr_rows = correlation_rows(corr).agg(F.collect_list(F.struct(*CORRELATION_ROW.names))).scalar()
-    document = F.struct(
-        "anios",
-        "bimestres",
-        "alcaldias",
-        "indices",
-        by_borough.alias("colonias_por_alcaldia"),
-        rows.alias("consumo_colonia"),
-        corr_rows.alias("correlacion"),
-        F.lit(generated).alias("generado_en"),
-        F.lit(note).alias("nota"),
-    )
-    return lists.select(F.to_json(document, {"ignoreNullFields": "false"}).alias("value"))
-
-
 def ntriples_line() -> Column:
     """One triple as a line of text."""
     s, p, o, kind, datatype, lang = (
@@ -160,4 +145,5 @@ def write_ntriples(triples: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Delimited text in the readers' dialect; fields with line breaks need a multiline reader."""
+    df.write.mode("overwrite").option("header", True).options(**DIALECT).csv(path)

@@ -194,7 +194,7 @@ def test_levels_shares_degrees_and_units(full, reduced):
 
 def test_counts(full):
     assert patterns.count_pattern(full, p=RDF_TYPE, o="geo:Feature").first().n == 4
-    assert patterns.triple_count(full.unionByName(full)).first().n == full.count()
+    assert patterns.triple_count(full.unionByName(full), bag=True).first().n == full.count()
     listed = {r.clase: r.n for r in patterns.class_counts(full, ["qb:Observation", "geo:Geometry"]).collect()}
     assert listed == {iri("qb:Observation"): 7, iri("geo:Geometry"): 3}
 

@@ -32,6 +32,33 @@ def test_a_malformed_number_fails_the_load(spark, tmp_path):
         readers.read_csv(spark, str(path), schemas.CONSUMPTION).collect()
 
 
+@pytest.mark.parametrize(
+    "field, value",
+    [('"EL ""ROSAL"""', 'EL "ROSAL"'), ('"A "", B"', 'A ", B'), ('"ends \\"', "ends \\"), ('"two\nlines"', "two\nlines"), ("plain \\ slash", "plain \\ slash")],
+)
+def test_quoted_fields(spark, tmp_path, field, value):
+    path = tmp_path / "q.csv"
+    path.write_text("\n".join([HEADER, line(name=field), line(name="next")]) + "\n")
+    got = readers.read_csv(spark, str(path), schemas.CONSUMPTION, multiline=True).collect()
+    assert [(r.colonia, r.alcaldia, float(r.latitud)) for r in got] == [(value, "A", 19.4), ("next", "A", 19.4)]
+
+
+@pytest.mark.parametrize("ragged", [line().rsplit(",", 2)[0], line() + ",surplus"])
+def test_ragged_rows_fail_the_load(spark, tmp_path, ragged):
+    path = tmp_path / "r.csv"
+    path.write_text("\n".join([HEADER, line(), ragged]) + "\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        readers.read_csv(spark, str(path), schemas.CONSUMPTION).collect()
+
+
+def test_written_text_is_read_back(spark, tmp_path):
+    path = str(tmp_path / "w")
+    texts = ['a "b", c', "two\nlines", "end\\", ""]
+    writers.write_csv(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1), path)
+    back = readers.read_csv_coerced(spark, path, {"i": "int"}, multiline=True).orderBy("i").collect()
+    assert [r.t or "" for r in back] == texts
+
+
 def test_climate_columns_go_by_position(spark, tmp_path):
     path = tmp_path / "w.csv"
     header = ",".join(schemas.CLIMATE_HEADERS.values())
@@ -78,8 +105,12 @@ def test_curves_are_written_with_a_header(spark, tmp_path):
 def test_tables_are_appended_with_keys(spark, tmp_path, rows):
     dim = writers.load_dim(spark.createDataFrame([("b",), ("a",)], "v string"), str(tmp_path / "d"), ["v"], "id")
     assert rows(dim) == [(1, "a"), (2, "b")]
-    fact = writers.load_fact(spark.range(5), str(tmp_path / "f"), "id_fact")
-    assert fact.select("id_fact").distinct().count() == 5
+    again = spark.createDataFrame([("c",), ("a",), ("c",), (None,)], "v string")
+    assert rows(writers.load_dim(again, str(tmp_path / "d"), ["v"], "id")) == [(1, "a"), (2, "b"), (3, None), (4, "c")]
+    assert writers.load_dim(again, str(tmp_path / "d"), ["v"], "id").count() == 4
+    for batch in (1, 2):
+        fact = writers.load_fact(spark.range(5), str(tmp_path / "f"), "id_fact")
+        assert fact.select("id_fact").distinct().count() == fact.count() == 5 * batch
 
 
 def test_staging_is_dropped_if_it_exists(spark):

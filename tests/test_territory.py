@@ -109,3 +109,19 @@ def test_nearest_edges_lie_within_the_radius_edges(spark):
     df = points(spark, SHAPES["mixed"])
     assert pairs(territory.knn_pairs(df)) <= pairs(territory.proximity_pairs(df))
     assert territory.knn_pairs(df).groupBy("id_origen").count().agg(F.max("count")).first()[0] <= 6
+
+
+def test_one_polar_unit_leaves_the_other_cells_as_they_are(spark):
+    rows = [(i, 19.0 + i * 0.004, -99.0 - (i % 7) * 0.004) for i in range(60)] + [(99, 89.999999, 10.0), (98, None, 1.0)]
+    points = spark.createDataFrame(rows, "id_ubicacion int, latitud double, longitud double")
+    located = [r for r in rows if r[1] is not None]
+    expected = {
+        (a[0], b[0])
+        for a in located
+        for b in located
+        if a[0] != b[0]
+        and 111.32 * math.hypot(a[1] - b[1], (a[2] - b[2]) * math.cos(math.radians(a[1]))) <= 1.5
+    }
+    for chunk in (4096, 2):  # both sides of a crowded cell are cut into parts
+        got = territory.proximity_pairs(points, chunk=chunk).select("id_origen", "id_vecino").collect()
+        assert len(got) == len(expected) and {tuple(r) for r in got} == expected
