@@ -114,7 +114,8 @@ def nominated(prints: DataFrame) -> DataFrame:
 def compared(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """doc_id, sha and whether every chunk equals the representative's."""
     k = keyed(docs)
-    rows = join_on(k, members.select("doc_id", "sha", *GROUP, "members", "rep_id", "rep_sha"), ["doc_id", "sha"])
+    wanted = members.select("doc_id", "sha", *GROUP, "members", "rep_id", "rep_sha")
+    rows = store(join_on(k, wanted, ["doc_id", "sha"]), "member-texts")  # read for members and for representatives
     is_rep = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("sha") == F.col("rep_sha"))
     salts = F.ceil(F.col("members") / SALT_ROWS).cast("int")
     mine = chunked(
