@@ -345,7 +345,9 @@ class WarcReader(DataSourceReader):
         found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
         return [Part(f.path[len(root) + 1 :], 0, None) for f in found if re.search(r"\.warc(\.gz)?$", f.path)]
 
-    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Part | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no archive at all
+            return
         fs, root = open_fs(self.path)
         tests = [accepts(f) for f in self.filters]
         source = Source(fs, f"{root}/{partition.path}", partition.begin, partition.end)
