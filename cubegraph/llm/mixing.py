@@ -2,11 +2,12 @@
 
 The corpus is reduced to cells of (source, lang, topic) with their token mass. The
 mass is raked: each margin in turn is scaled to its target shares, over and over, so
-that all three hold at once while the cells keep their odds. A cell's fitted mass over
-its own mass is the weight of its tokens; divided by the largest weight it is the probability
-with which a document stays, so the sample's expected shares are the targets and no
-probability needs clipping. Every step is a grouped sum and a join of cells, so the number
-of sources bounds nothing.
+that all three hold at once while the cells keep their odds. The sample has a budget, a share of all
+tokens: a target beyond what a category holds, and a cell beyond its own mass, is kept whole,
+and the others make up for it. A cell's fitted mass over its own mass is the probability with
+which a document stays, so a tiny cell takes no more than its tokens from the rest. Without a
+budget the cell of the largest weight alone decides how much stays. Every step is a grouped sum
+and a join of cells, so the number of sources bounds nothing.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from cubegraph.llm.base import join_on, read, register, store, text_of
 
 MARGINS = ("source", "lang", "topic")
 ROUNDS = 12
+SHARE = 0.5
 WORD = r"[^\x20\x09-\x0D]+"
 DRAW_BITS = 32
 
@@ -59,10 +61,43 @@ def tempered_targets(cells: DataFrame, margin: str) -> DataFrame:
     return mass.join(F.broadcast(total)).select(margin, (F.col("root") / F.col("total")).alias("share"))
 
 
-def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def scale_to(rows: DataFrame, size: Column, most: Column, budget: float) -> float:
+    """The k for which least(most, k * size) adds up to ``budget``, or the least one that fills every row.
+
+    The sum is concave in k, so Newton's steps from zero only rise and end where no further row fills.
+    """
+    k = 0.0
+    while True:
+        full = size * k >= most
+        got = rows.agg(F.sum(F.when(full, most)).alias("full"), F.sum(F.when(~full, size)).alias("open")).first()
+        step = (budget - (got["full"] or 0.0)) / got["open"] if got["open"] else k
+        if step <= k * (1 + 1e-12):
+            return k
+        k = step
+
+
+def bounded_targets(cells: DataFrame, margin: str, target: DataFrame, budget: float) -> DataFrame:
+    """(margin, share): tokens in proportion to ``target``, at most what a category holds, ``budget`` in all."""
+    room = cells.groupBy(margin).agg(F.sum("mass").cast("double").alias("room"))
+    rows = store(join_on(room, target, [margin]), f"room-{margin}")
+    k = scale_to(rows, F.col("share"), F.col("room"), budget)
+    return rows.select(margin, F.least("room", F.col("share") * k).alias("share"))
+
+
+def raking_ratio(share: Column, bounded: bool) -> Column:
+    """What scales a category to its ``share``; where cells keep at most their mass, those that do are left out."""
+    if not bounded:
+        return share / F.sum("fitted")
+    full = F.coalesce(F.sum(F.when(F.col("fitted") >= F.col("mass"), F.col("mass"))), F.lit(0.0))
+    rest = F.coalesce(F.sum(F.when(F.col("fitted") < F.col("mass"), F.col("fitted"))), F.lit(0.0))
+    return F.when((share > full) & (rest > 0), (share - full) / rest).otherwise(share / (full + rest))
+
+
+def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, bounded: bool = False) -> DataFrame:
     """``cells`` with ``fitted``: shares that match every target, from the cells' own mass.
 
-    A category without a target, or without cells, takes no part; the shares that do are scaled to one.
+    A category without a target, or without cells, takes no part; the shares that do are scaled to one. If ``bounded``,
+    targets are tokens and match the sums of least(fitted, mass).
     """
     fitted = cells.withColumn("fitted", F.col("mass").cast("double"))
     for margin, target in targets.items():
@@ -70,16 +105,44 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     for _ in range(rounds):
         for margin in targets:
             share = F.first(f"share_{margin}")  # one value for each category
-            ratio = fitted.groupBy(margin).agg((share / F.sum("fitted")).alias("ratio"))
+            ratio = fitted.groupBy(margin).agg(raking_ratio(share, bounded).alias("ratio"))
             fitted = join_on(fitted, ratio, [margin]).withColumn("fitted", F.col("fitted") * F.col("ratio")).drop("ratio")
             fitted = store(fitted, "raked")  # read twice by the next step
     return fitted.select(*cells.columns, "fitted")
 
 
-def probabilities(rows: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """source, lang, topic, weight, probability of each cell of ``rows`` (see ``described``)."""
+def fitted_to_budget(cells: DataFrame, targets: dict[str, DataFrame], rounds: int, share: float) -> DataFrame:
+    """``cells`` that every target names, with ``probability``: the tokens kept are ``share`` of theirs."""
+    for target in targets.values():
+        cells = join_on(cells, target.drop("share"), target.drop("share").columns)
+    cells = store(cells, "cells-with-targets")
+    budget = share * (cells.agg(F.sum("mass")).first()[0] or 0)
+    bounded = {m: store(bounded_targets(cells, m, t, budget), f"bounded-{m}") for m, t in targets.items()}
+    fitted = raked(cells, bounded, rounds, bounded=True)
+    k = scale_to(fitted, F.col("fitted"), F.col("mass").cast("double"), budget)
+    return fitted.withColumn("probability", F.least(F.lit(1.0), F.col("fitted") * k / F.col("mass")))
+
+
+def probabilities(
+    rows: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, share: float | None = SHARE
+) -> DataFrame:
+    """source, lang, topic, weight, probability of each cell of ``rows`` (see ``described``).
+
+    ``share`` of the tokens of all cells with targets stays; None scales by the largest weight.
+    """
     cells = store(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("mass")), "cells")
     targets = targets or {m: store(tempered_targets(cells, m), f"target-{m}") for m in MARGINS}
+    if share is not None:
+        kept = store(fitted_to_budget(cells, targets, rounds, share), "fitted")
+        ratio = F.col("probability") / F.col("tokens")
+        tokens = kept.agg(F.sum(F.col("mass") * F.col("probability")).alias("tokens"))
+        total = cells.agg(F.sum("mass").cast("double").alias("total"))
+        return store(
+            kept.join(F.broadcast(tokens)).join(F.broadcast(total)).select(
+                *MARGINS, F.round(ratio * F.col("total"), 6).alias("weight"), F.round("probability", 9).alias("probability")
+            ),
+            "probabilities",
+        )
     fitted = raked(cells, targets, rounds)
     weighted = fitted.select(*MARGINS, (F.col("fitted") / F.col("mass")).alias("ratio"))
     scale = weighted.agg(F.max("ratio").alias("largest"))
@@ -100,16 +163,18 @@ def draw(doc_id: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << DRAW_BITS))
 
 
-def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def mixed(
+    docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, share: float | None = SHARE
+) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, sampled: a row per document.
 
     A null source or lang is a category of its own; a null text counts as empty. Rows with
     one doc_id (or none) share a draw. A document of a cell without a target has
     probability 0. An empty table gives an empty result. Only doc_id, text, source and lang are
-    read.
+    read. ``share`` is that of ``probabilities``.
     """
     rows = described(docs)
-    cells = probabilities(store(rows, "described"), targets, rounds)
+    cells = probabilities(store(rows, "described"), targets, rounds, share)
     chance = F.coalesce(F.col("probability"), F.lit(0.0))
     return join_on(rows, cells, list(MARGINS), "left").select(
         "doc_id", *MARGINS, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"),
@@ -117,9 +182,11 @@ def mixed(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds:
     )
 
 
-def sampled(docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def sampled(
+    docs: DataFrame, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, share: float | None = SHARE
+) -> DataFrame:
     """The rows of ``docs`` that the draw keeps, with all their columns."""
-    cells = probabilities(store(described(docs), "described"), targets, rounds)
+    cells = probabilities(store(described(docs), "described"), targets, rounds, share)
     cells = cells.select(*[F.col(m).alias(f"__{m}") for m in MARGINS], F.col("probability").alias("__probability"))
     text = text_of(docs)
     rows = docs.withColumn("__words", word_count(text)).withColumn("__cell", topic_of(text, F.col("__words")))
@@ -163,4 +230,4 @@ FROM d JOIN (SELECT source, lang, topic, ROUND(fitted / mass * (SELECT SUM(mass)
 
 @register(_sql())
 def op9_mixing_weights(spark, sf_dir):
-    return mixed(read(spark, sf_dir, "documents"))
+    return mixed(read(spark, sf_dir, "documents"), share=None)  # the scale that its SQL states

@@ -50,3 +50,15 @@ def test_rows_that_stay(spark):
     ids = sorted((r["doc_id"] for r in got.collect()), key=repr)
     assert ids == sorted((r["doc_id"] for r in m.mixed(df, rounds=2).filter("sampled").collect()), key=repr)
     assert m.mixed(cases.none(spark), rounds=1).collect() == [] and m.sampled(cases.none(spark), rounds=1).collect() == []
+
+
+def test_one_odd_document_hardly_changes_the_sample(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    odd = spark.createDataFrame([(-1, "three odd words", "xx", "odd"), (-2, "", None, "odder")], docs.schema)
+    kept = []
+    for df in (docs, docs.unionByName(odd)):
+        rows = m.mixed(df, rounds=4)
+        expected, total = rows.agg(F.sum(F.col("probability") * F.col("n_tokens")), F.sum("n_tokens")).first()
+        assert expected / total == pytest.approx(0.5, abs=1e-6)
+        kept.append({r["doc_id"] for r in rows.filter("sampled").collect()})
+    assert len(kept[0] ^ kept[1]) < 0.02 * len(kept[0])
