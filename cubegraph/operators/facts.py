@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubegraph.functions import dates
@@ -39,12 +39,18 @@ def build_fact_consumption(
     )
 
 
+def stable_mean(column: str) -> Column:
+    """The mean from a decimal sum, divided once, so the order of addition cannot show; where a value is no such decimal, the plain mean."""
+    exact = F.col(column).try_cast("decimal(30,15)")
+    return F.when(F.count(exact) == F.count(column), F.sum(exact).cast("double") / F.nullif(F.count(exact), F.lit(0))).otherwise(F.avg(column))
+
+
 def daily_rollup(climate: DataFrame) -> DataFrame:
     """Sub-daily series to days: extremes and means of temperature, mean humidity, rain."""
     return climate.groupBy(dates.day_of(F.col("fecha_hora")).alias("fecha")).agg(
         F.max("temperatura").alias("temp_maxima"),
         F.min("temperatura").alias("temp_minima"),
-        F.avg("temperatura").alias("temp_promedio"),
+        stable_mean("temperatura").alias("temp_promedio"),
         F.avg("humedad_relativa").alias("humedad_promedio"),
         F.sum("lluvia").alias("lluvia_total"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cubegraph.operators.facts import stable_mean
+
 
 def daily_rollup_stream(climate: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Days of a stream with the measures of the batch roll-up.
@@ -19,7 +21,7 @@ def daily_rollup_stream(climate: DataFrame, lateness: str = "1 day") -> DataFram
         .agg(
             F.max("temperatura").alias("temp_maxima"),
             F.min("temperatura").alias("temp_minima"),
-            F.avg("temperatura").alias("temp_promedio"),
+            stable_mean("temperatura").alias("temp_promedio"),
             F.avg("humedad_relativa").alias("humedad_promedio"),
             F.sum("lluvia").alias("lluvia_total"),
         )

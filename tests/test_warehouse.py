@@ -148,3 +148,16 @@ def test_reports(small):
     span = quality.date_range(small.readings, "fecha_referencia").first()
     assert (span.desde, span.hasta, span.dias) == (DAY, dt.date(2019, 3, 1), 2)
     assert quality.duplicates(small.dim_location, "colonia").first().n == 3
+
+
+def test_climate_means_do_not_depend_on_the_order(spark):
+    for hours in ([(0.1, 1, 0), (0.2, 2, 0), (0.3, 4, 0)], [(0.3, 4, 0), (0.2, 2, 0), (0.1, 1, 0)]):
+        row = facts.daily_rollup(climate(spark, hours=hours).coalesce(1)).first()
+        assert (row["temp_promedio"], row["humedad_promedio"]) == (0.6 / 3, 7 / 3)
+
+
+def test_climate_means_without_a_decimal(spark):
+    row = facts.daily_rollup(climate(spark, hours=[(1e300, 1, 0), (3e300, 1, 0)])).first()
+    assert row["temp_promedio"] == 2e300
+    none = climate(spark, hours=[(1, 1, 0)]).withColumn("temperatura", F.lit(None).cast("double"))
+    assert facts.daily_rollup(none).first()["temp_promedio"] is None
