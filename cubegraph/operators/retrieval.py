@@ -122,8 +122,10 @@ def totals_by_borough(filtered: DataFrame) -> DataFrame:
     )
 
 
-def correlation_panel(corr: DataFrame, filtered: DataFrame) -> DataFrame:
-    """Correlation rows whose total is the filtered one where the filter left any."""
+def correlation_panel(corr: DataFrame, filtered: DataFrame, anio: int | None = None) -> DataFrame:
+    """Correlation rows, of one year if it is given, whose total is the filtered one where the filter left any."""
+    if anio is not None:
+        corr = corr.filter(F.col("anio") == anio)
     kept = filtered.groupBy("anio", "bimestre").agg(_total("consumo_total").alias("_filtered"))
     return corr.join(kept, ["anio", "bimestre"], "left").select(
         *[

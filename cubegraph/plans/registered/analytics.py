@@ -212,6 +212,19 @@ def correlation_with_fallback(c):
     return retrieval.correlation_panel(corr, shown).select("anio", "bimestre", "total_agua", "temp_promedio")
 
 
+@query("""
+SELECT k.anio, k.bimestre, COALESCE(m.total, CAST(k.total_agua AS DOUBLE)) AS total_agua, k.temp_promedio
+FROM correlacion k LEFT JOIN (
+  SELECT anio, bimestre, CAST(SUM(consumo_total) AS DOUBLE) AS total FROM mart
+  WHERE alcaldia = 'NATION_3' AND bimestre = 2 AND anio = 1995 GROUP BY anio, bimestre) m USING (anio, bimestre)
+WHERE k.anio = 1995""")
+def correlation_of_a_year(c):
+    s = c.star
+    corr = marts.correlation(s.fact, s.fact_climate, s.dim_time)
+    shown = retrieval.retrieve(c.mart, alcaldia="NATION_3", anio=1995, bimestre=2)
+    return retrieval.correlation_panel(corr, shown, anio=1995).select("anio", "bimestre", "total_agua", "temp_promedio")
+
+
 @query("""
 SELECT alcaldia, total AS consumo_total, ROUND(t, 6) AS escala,
   CASE WHEN t IS NULL THEN 0 WHEN t < 0.2 THEN 1 WHEN t < 0.4 THEN 2 WHEN t < 0.6 THEN 3 WHEN t < 0.8 THEN 4 ELSE 5 END AS clase

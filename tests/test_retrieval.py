@@ -152,3 +152,9 @@ def test_nested_documents_are_read(spark, tmp_path):
 def test_coordinates_keep_six_places_unless_rounded(mart):
     assert writers.mart_rows(mart).first().latitud == 19.400001
     assert writers.mart_rows(mart, round_coordinates=True).first().latitud == 19.4
+
+
+def test_correlation_of_a_chosen_year(spark, mart):
+    corr = spark.createDataFrame(CORR, CORR_SCHEMA)
+    panel = retrieval.correlation_panel(corr, retrieval.retrieve(mart, alcaldia="A", anio=2019), anio=2019)
+    assert {(r.anio, r.total_agua) for r in panel.collect()} == {(2019, 30.0)}
