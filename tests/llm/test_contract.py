@@ -17,5 +17,5 @@ def test_query_matches_its_sql(spark, name):
 
 def test_all_operators_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in llm_queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {"pipeline", *llm_queries()} <= set(contract.queries())
