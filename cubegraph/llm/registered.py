@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cubegraph.llm import alignment, exact_dedup, hidden_markov, jaccard_join, languages, licences, mixing, packing, personal, quality, runs, warc  # noqa: F401
+from cubegraph.llm import alignment, exact_dedup, hidden_markov, jaccard_join, languages, licences, mixing, packing, personal, quality, runs, warc, wrappers  # noqa: F401
 from cubegraph.llm.base import REGISTERED, LlmQuery
 
 
