@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubegraph.operators.ordering import top_k_per_key
-from cubegraph.operators.patterns import bgp, match, path
+from cubegraph.operators.patterns import Source, bgp, path
 from cubegraph.operators.relational import missing, values_df
+from cubegraph.operators.termstore import as_graph
 from cubegraph.session import sized
-from cubegraph.sources.vocabulary import RDF_TYPE, iri
+from cubegraph.sources.vocabulary import RDF_TYPE
 
 # Check names, in report order.
 IC1 = "IC-1 unique DataSet"
@@ -25,7 +26,7 @@ CHECKS = [IC1, IC2, IC3, IC11, DIMENSIONS_TYPED, MEASURES_TYPED, UNIT_DECLARED]
 CONSUMPTION_DATASETS = ["agua:consumoCDMX", "agua:consumoCDMXDemo"]
 
 
-def _not_one(g: DataFrame, cls: str, predicate: str) -> DataFrame:
+def _not_one(g: Source, cls: str, predicate: str) -> DataFrame:
     """Subjects of a class with links, but not exactly one."""
     return (
         bgp(g, [("?focus", RDF_TYPE, cls), ("?focus", predicate, "?v")])
@@ -36,22 +37,22 @@ def _not_one(g: DataFrame, cls: str, predicate: str) -> DataFrame:
     )
 
 
-def ic1(g: DataFrame) -> DataFrame:
+def ic1(g: Source) -> DataFrame:
     return _not_one(g, "qb:Observation", "qb:dataSet")
 
 
-def ic2(g: DataFrame) -> DataFrame:
+def ic2(g: Source) -> DataFrame:
     return _not_one(g, "qb:DataSet", "qb:structure")
 
 
-def ic3(g: DataFrame) -> DataFrame:
+def ic3(g: Source) -> DataFrame:
     """Structures without a measure."""
-    structures = match(g, p=RDF_TYPE, o="qb:DataStructureDefinition").select(F.col("s").alias("focus"))
+    structures = as_graph(g).rows(p=RDF_TYPE, o="qb:DataStructureDefinition").select(F.col("s").alias("focus"))
     measured = path(g, ["qb:component", "qb:measure"]).select(F.col("s").alias("focus"))
-    return missing(structures, measured, "focus").withColumn("detail", F.lit(None).cast("string"))
+    return missing(structures, measured, "focus").withColumn("detail", F.lit(None))
 
 
-def ic11(g: DataFrame) -> DataFrame:
+def ic11(g: Source) -> DataFrame:
     """Observations lacking a dimension their structure requires.
 
     The dimensions a dataset requires come from the small schema part and are
@@ -69,15 +70,18 @@ def ic11(g: DataFrame) -> DataFrame:
         ).select("ds", "detail"),
         "required-dimensions",
     )
+    graph = as_graph(g)
     linked = bgp(g, [("?focus", RDF_TYPE, "qb:Observation"), ("?focus", "qb:dataSet", "?ds")])
     # The schema declares a handful of dimensions; named in the filter, they prune the graph's files.
-    names = [r["detail"] for r in required.select("detail").distinct().collect()]
-    present = g.filter(F.col("p").isin(names)).select(F.col("s").alias("focus"), F.col("p").alias("detail"))
+    names = [r["detail"] for r in graph.texts(required.select("detail").distinct(), "detail").collect()]
+    present = graph.rows().filter(F.col("p").isin(names)).select(
+        F.col("s").alias("focus"), graph.node(F.col("p")).alias("detail")
+    )
     wanted = linked.join(required, "ds").select("focus", "detail")
     return missing(wanted, present, ["focus", "detail"])
 
 
-def _untyped(g: DataFrame, role: str, cls: str) -> DataFrame:
+def _untyped(g: Source, role: str, cls: str) -> DataFrame:
     """Structures using a property in a role without declaring its class."""
     used = bgp(
         g,
@@ -87,47 +91,52 @@ def _untyped(g: DataFrame, role: str, cls: str) -> DataFrame:
             ("?c", role, "?detail"),
         ],
     ).select("focus", "detail")
-    declared = match(g, p=RDF_TYPE, o=cls).select(F.col("s").alias("detail"))
+    declared = as_graph(g).rows(p=RDF_TYPE, o=cls).select(F.col("s").alias("detail"))
     return missing(used, declared, "detail").select("focus", "detail")
 
 
-def unit_undeclared(g: DataFrame) -> DataFrame:
-    datasets = match(g, p=RDF_TYPE, o="qb:DataSet").filter(
-        F.col("s").isin(*[iri(d) for d in CONSUMPTION_DATASETS])
-    )
-    declared = match(g, p="agua:unit", o="agua:cubicMetre").select(F.col("s").alias("focus"))
-    return missing(datasets.select(F.col("s").alias("focus")), declared, "focus").withColumn(
-        "detail", F.lit(None).cast("string")
+def unit_undeclared(g: Source) -> DataFrame:
+    graph = as_graph(g)
+    datasets = graph.rows(p=RDF_TYPE, o="qb:DataSet").filter(
+        F.col("s").isin(*[graph.node(d) for d in CONSUMPTION_DATASETS])
     )
+    declared = graph.rows(p="agua:unit", o="agua:cubicMetre").select(F.col("s").alias("focus"))
+    return missing(datasets.select(F.col("s").alias("focus")), declared, "focus").withColumn("detail", F.lit(None))
+
+
+def _found(g: Source) -> list[tuple[str, DataFrame, bool]]:
+    """(check, its violations as the graph's terms, whether their detail is a term)."""
+    return [
+        (IC1, ic1(g), False),
+        (IC2, ic2(g), False),
+        (IC3, ic3(g), False),
+        (IC11, ic11(g), True),
+        (DIMENSIONS_TYPED, _untyped(g, "qb:dimension", "qb:DimensionProperty"), True),
+        (MEASURES_TYPED, _untyped(g, "qb:measure", "qb:MeasureProperty"), True),
+        (UNIT_DECLARED, unit_undeclared(g), False),
+    ]
 
 
-def violations(g: DataFrame) -> DataFrame:
+def violations(g: Source) -> DataFrame:
     """Every violation as (check, focus, detail)."""
-    found = [
-        (IC1, ic1(g)),
-        (IC2, ic2(g)),
-        (IC3, ic3(g)),
-        (IC11, ic11(g)),
-        (DIMENSIONS_TYPED, _untyped(g, "qb:dimension", "qb:DimensionProperty")),
-        (MEASURES_TYPED, _untyped(g, "qb:measure", "qb:MeasureProperty")),
-        (UNIT_DECLARED, unit_undeclared(g)),
-    ]
-    return reduce(
-        DataFrame.unionByName,
-        [df.select(F.lit(name).alias("check"), "focus", "detail") for name, df in found],
-    )
+    graph, parts = as_graph(g), []
+    for name, df, by_term in _found(g):
+        rows = graph.texts(df, "focus", *(["detail"] if by_term else []))
+        parts.append(rows.select(F.lit(name).alias("check"), "focus", F.col("detail").cast("string").alias("detail")))
+    return reduce(DataFrame.unionByName, parts)
 
 
-def check_integrity(g: DataFrame) -> DataFrame:
+def check_integrity(g: Source) -> DataFrame:
     """Violations per check, checks without any included."""
-    checks = values_df(g.sparkSession, [(c,) for c in CHECKS], "check string")
-    counted = violations(g).groupBy("check").agg(F.count("*").alias("n"))
+    checks = values_df(as_graph(g).spark, [(c,) for c in CHECKS], "check string")
+    found = reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("check")) for name, df, _ in _found(g)])
+    counted = found.groupBy("check").agg(F.count("*").alias("n"))
     return checks.join(counted, "check", "left").select(
         "check", F.coalesce("n", F.lit(0)).alias("violations")
     )
 
 
-def sample_violations(g: DataFrame, n: int = 5) -> DataFrame:
+def sample_violations(g: Source, n: int = 5) -> DataFrame:
     """First ``n`` violations of each check."""
     order = ["focus", F.asc_nulls_first("detail")]
     return top_k_per_key(violations(g), "check", order, n)

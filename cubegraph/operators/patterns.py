@@ -1,4 +1,8 @@
-"""Queries over a graph of triples, written as patterns and DataFrame verbs."""
+"""Queries over a graph of triples, written as patterns and DataFrame verbs.
+
+A graph is a DataFrame of triples or a stored graph of numbered terms; queries read either through the same
+interface, join on terms as the graph holds them, and fetch texts for their results only.
+"""
 
 from __future__ import annotations
 
@@ -9,15 +13,16 @@ from pyspark.sql import functions as F
 
 from cubegraph.functions.text import last_segment
 from cubegraph.operators.ordering import top
+from cubegraph.operators.termstore import Graph, as_graph
 from cubegraph.session import sized
 from cubegraph.sources.vocabulary import RDF_TYPE, iri
 
 Pattern = tuple[str, str, str]
-NUMBER = "decimal(28,6)"
+Source = DataFrame | Graph
 
 
 def _is_variable(term: str) -> bool:
-    return term.startswith("?")
+    return term.startswith(("?", "#"))
 
 
 def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str | None = None) -> DataFrame:
@@ -32,12 +37,11 @@ def match(triples: DataFrame, s: str | None = None, p: str | None = None, o: str
     return out
 
 
-def _bindings(triples: DataFrame, pattern: Pattern, nodes: set[str]) -> DataFrame:
-    """One column per variable of the pattern."""
-    fixed = {c: (None if _is_variable(t) else t) for c, t in zip("spo", pattern)}
-    rows = match(triples, **fixed)
+def _bindings(graph: Graph, pattern: Pattern, nodes: set[str]) -> DataFrame:
+    """One column per variable of the pattern; ``#name`` is the value of a numeric literal."""
+    rows = graph.rows(**{c: (None if _is_variable(t) else t) for c, t in zip("spo", pattern)})
     if pattern[2] in nodes:  # also a subject elsewhere, so a literal cannot join
-        rows = rows.filter(F.col("o_kind") != "literal")
+        rows = rows.filter("node")
     columns: dict[str, Column] = {}
     for column, term in zip("spo", pattern):
         if not _is_variable(term):
@@ -46,21 +50,23 @@ def _bindings(triples: DataFrame, pattern: Pattern, nodes: set[str]) -> DataFram
         if name in columns:
             rows = rows.filter(columns[name] == F.col(column))
         else:
-            columns[name] = F.col(column)
+            columns[name] = F.col("number" if term[0] == "#" else column)
     return rows.select(*[c.alias(n) for n, c in columns.items()])
 
 
-def bgp(triples: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
+def bgp(triples: Source, patterns: Sequence[Pattern]) -> DataFrame:
     """Solutions of a connected set of patterns, as a bag with one column per variable.
 
-    Each pattern is a filter on the predicate; patterns join on their shared
+    Variables are ``?term`` or, for the value of a numeric literal, ``#number``. Each pattern
+    is a filter on the predicate; patterns join on their shared
     variables. The next pattern is the first one that shares most variables with
     those joined so far, so patterns about one subject follow each other and
     keep one partitioning.
     """
+    graph = as_graph(triples)
     nodes = {p[0] for p in patterns if _is_variable(p[0])}
     waiting = list(patterns)
-    out = _bindings(triples, waiting.pop(0), nodes)
+    out = _bindings(graph, waiting.pop(0), nodes)
     while waiting:
         shared = [
             [t[1:] for t in dict.fromkeys(p) if _is_variable(t) and t[1:] in out.columns]
@@ -69,19 +75,19 @@ def bgp(triples: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
         best = max(range(len(waiting)), key=lambda i: len(shared[i]))
         if not shared[best]:
             raise ValueError(f"pattern {waiting[0]} shares no variable with the others")
-        out = out.join(_bindings(triples, waiting.pop(best), nodes), shared[best])
+        out = out.join(_bindings(graph, waiting.pop(best), nodes), shared[best])
     return out
 
 
-def path(triples: DataFrame, steps: Sequence[str]) -> DataFrame:
+def path(triples: Source, steps: Sequence[str]) -> DataFrame:
     """Start and end (s, o) of a chain of predicates."""
     last = len(steps) - 1
     names = ["?s", *[f"?n{i}" for i in range(last)], "?o"]
     return bgp(triples, [(names[i], p, names[i + 1]) for i, p in enumerate(steps)]).select("s", "o")
 
 
-def count_pattern(triples: DataFrame, s=None, p=None, o=None) -> DataFrame:
-    return match(triples, s, p, o).agg(F.count("*").alias("n"))
+def count_pattern(triples: Source, s=None, p=None, o=None) -> DataFrame:
+    return as_graph(triples).rows(s, p, o).agg(F.count("*").alias("n"))
 
 
 def triple_count(triples: DataFrame, bag: bool = False) -> DataFrame:
@@ -89,20 +95,14 @@ def triple_count(triples: DataFrame, bag: bool = False) -> DataFrame:
     return (triples.distinct() if bag else triples).agg(F.count("*").alias("n"))
 
 
-def class_counts(triples: DataFrame, classes: Sequence[str] | None = None) -> DataFrame:
+def class_counts(triples: Source, classes: Sequence[str] | None = None) -> DataFrame:
     """Instances per class, all classes or the listed ones."""
-    typed = match(triples, p=RDF_TYPE)
+    graph = as_graph(triples)
+    typed = graph.rows(p=RDF_TYPE)
     if classes is not None:
-        typed = typed.filter(F.col("o").isin(*[iri(c) for c in classes]))
-    return (
-        typed.groupBy(F.col("o").alias("clase"))
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "clase")
-    )
-
-
-def _number(column: str) -> Column:
-    return F.col(column).cast(NUMBER)
+        typed = typed.filter(F.col("o").isin(*[graph.node(c) for c in classes]))
+    counted = typed.groupBy(F.col("o").alias("clase")).agg(F.count("*").alias("n"))
+    return graph.texts(counted, "clase").select("clase", "n").orderBy(F.desc("n"), "clase")
 
 
 def _whole(x: Column) -> Column:
@@ -110,18 +110,18 @@ def _whole(x: Column) -> Column:
     return F.floor(x.cast("double") + 0.5)
 
 
-def _unit_totals(triples: DataFrame, *measures: tuple[str, str]) -> DataFrame:
+def _unit_totals(triples: Source, *measures: tuple[str, str]) -> DataFrame:
     """Measures summed per unit before anything else is joined to them."""
     patterns = [("?obs", "agua:location", "?unit")]
-    patterns += [("?obs", predicate, f"?{name}") for name, predicate in measures]
+    patterns += [("?obs", predicate, f"#{name}") for name, predicate in measures]
     return (
         bgp(triples, patterns)
         .groupBy("unit")
-        .agg(*[F.sum(_number(n)).alias(n) for n, _ in measures], F.count("*").alias("n"))
+        .agg(*[F.sum(n).alias(n) for n, _ in measures], F.count("*").alias("n"))
     )
 
 
-def _neighbour_totals(triples: DataFrame, origin: str) -> DataFrame:
+def _neighbour_totals(triples: Source, origin: str) -> DataFrame:
     """Total of each neighbour of one unit: (unit, total), per neighbour edge.
 
     The origin's neighbours, and then their observations, are stored before they
@@ -132,19 +132,20 @@ def _neighbour_totals(triples: DataFrame, origin: str) -> DataFrame:
     placed = bgp(triples, [("?obs", "agua:location", "?unit")])
     observed = sized(placed.join(near, "unit"), "neighbour-observations")
     totals = (
-        bgp(triples, [("?obs", "agua:totalConsumption", "?c")])
+        bgp(triples, [("?obs", "agua:totalConsumption", "#c")])
         .join(observed, "obs")
         .groupBy("unit")
-        .agg(F.sum(_number("c")).alias("total"))
+        .agg(F.sum("c").alias("total"))
     )
     return sized(totals, "neighbour-totals")
 
 
-def _labels(triples: DataFrame, subject: str, name: str) -> DataFrame:
-    return bgp(triples, [(f"?{subject}", "rdfs:label", f"?{name}")])
+def _labels(triples: Source, subject: str, name: str) -> DataFrame:
+    """Subjects with their label as text."""
+    return as_graph(triples).texts(bgp(triples, [(f"?{subject}", "rdfs:label", f"?{name}")]), name, form="text")
 
 
-def _borough_names(triples: DataFrame) -> DataFrame:
+def _borough_names(triples: Source) -> DataFrame:
     """Labels of the boroughs units refer to.
 
     Units share few boroughs, so joining them on it would gather a third of all
@@ -155,7 +156,7 @@ def _borough_names(triples: DataFrame) -> DataFrame:
     return sized(named, "borough-names")
 
 
-def _unit_boroughs(triples: DataFrame) -> DataFrame:
+def _unit_boroughs(triples: Source) -> DataFrame:
     """Units with the name of their borough."""
     return (
         bgp(triples, [("?unit", "agua:borough", "?b")])
@@ -164,7 +165,7 @@ def _unit_boroughs(triples: DataFrame) -> DataFrame:
     )
 
 
-def neighbour_consumption(triples: DataFrame, origin: str, n: int = 10) -> DataFrame:
+def neighbour_consumption(triples: Source, origin: str, n: int = 10) -> DataFrame:
     """The origin's neighbours by their own consumption, first ``n``."""
     rows = (
         _neighbour_totals(triples, origin)
@@ -172,10 +173,11 @@ def neighbour_consumption(triples: DataFrame, origin: str, n: int = 10) -> DataF
         .groupBy(F.col("unit").alias("vecino"), "nombre")
         .agg(F.sum("total").alias("consumo"))
     )
-    return top(rows, [F.desc("consumo"), "vecino"], n)
+    named = as_graph(triples).texts(rows, "vecino").select("vecino", "nombre", "consumo")
+    return top(named, [F.desc("consumo"), "vecino"], n)
 
 
-def neighbours_by_label(triples: DataFrame, origin: str, with_borough: bool = False) -> DataFrame:
+def neighbours_by_label(triples: Source, origin: str, with_borough: bool = False) -> DataFrame:
     """Neighbour totals merged by name, or by name and borough name."""
     rows = _neighbour_totals(triples, origin).join(_labels(triples, "unit", "vecina"), "unit")
     keys = ["vecina"]
@@ -189,13 +191,13 @@ def neighbours_by_label(triples: DataFrame, origin: str, with_borough: bool = Fa
     )
 
 
-def neighbours(triples: DataFrame, unit: str) -> DataFrame:
+def neighbours(triples: Source, unit: str) -> DataFrame:
     """One-hop traversal from a chosen unit, by name and borough."""
     return neighbours_by_label(triples, unit, with_borough=True)
 
 
-def _period_water(triples: DataFrame, dataset: str | None = None) -> DataFrame:
-    patterns = [("?obs", "agua:period", "?p"), ("?obs", "agua:totalConsumption", "?c")]
+def _period_water(triples: Source, dataset: str | None = None) -> DataFrame:
+    patterns = [("?obs", "agua:period", "?p"), ("?obs", "agua:totalConsumption", "#c")]
     if dataset:
         patterns.insert(0, ("?obs", "qb:dataSet", dataset))
     else:
@@ -203,29 +205,29 @@ def _period_water(triples: DataFrame, dataset: str | None = None) -> DataFrame:
     return (
         bgp(triples, patterns)
         .groupBy("p")
-        .agg(F.sum(_number("c")).alias("water"), F.count("*").alias("n"))
+        .agg(F.sum("c").alias("water"), F.count("*").alias("n"))
     )
 
 
-def _period_temperature(triples: DataFrame, dataset: str | None = None) -> DataFrame:
-    patterns = [("?w", "agua:period", "?p"), ("?w", "agua:meanTemperature", "?t")]
+def _period_temperature(triples: Source, dataset: str | None = None) -> DataFrame:
+    patterns = [("?w", "agua:period", "?p"), ("?w", "agua:meanTemperature", "#t")]
     if dataset:
         patterns.insert(0, ("?w", "qb:dataSet", dataset))
     return (
         bgp(triples, patterns)
         .groupBy("p")
-        .agg(F.sum(_number("t")).alias("heat"), F.count("*").alias("m"))
+        .agg(F.sum("t").alias("heat"), F.count("*").alias("m"))
     )
 
 
-def graph_climate_join(triples: DataFrame) -> DataFrame:
+def graph_climate_join(triples: Source) -> DataFrame:
     """Water and temperature per bimester through the shared period.
 
     Every observation meets every weather record of its period, so the mean is
     weighted by observations. Both sides are summed per period first; the
     products below restore the multiplicities of the row-by-row join.
     """
-    when = bgp(triples, [("?p", "agua:year", "?anio"), ("?p", "agua:bimester", "?bimestre")])
+    when = bgp(triples, [("?p", "agua:year", "#anio"), ("?p", "agua:bimester", "#bimestre")])
     pairs = F.sum(F.col("n") * F.col("m"))
     return (
         _period_water(triples)
@@ -241,12 +243,12 @@ def graph_climate_join(triples: DataFrame) -> DataFrame:
 
 
 def graph_climate_by_bimester(
-    triples: DataFrame,
+    triples: Source,
     water_dataset: str = "agua:consumoCDMXDemo",
     climate_dataset: str = "agua:climaCDMX",
 ) -> DataFrame:
     """Water and mean temperature per bimester, each over its own periods."""
-    when = bgp(triples, [("?p", "agua:bimester", "?bimestre")])
+    when = bgp(triples, [("?p", "agua:bimester", "#bimestre")])
     water = (
         _period_water(triples, water_dataset)
         .join(when, "p")
@@ -266,22 +268,23 @@ def graph_climate_by_bimester(
     )
 
 
-def by_level(triples: DataFrame) -> DataFrame:
+def by_level(triples: Source) -> DataFrame:
     """Observations and total per development level."""
     reduced = (
-        bgp(triples, [("?obs", "agua:developmentIndex", "?i"), ("?obs", "agua:totalConsumption", "?c")])
+        bgp(triples, [("?obs", "agua:developmentIndex", "?i"), ("?obs", "agua:totalConsumption", "#c")])
         .groupBy("i")
-        .agg(F.count("*").alias("n"), F.sum(_number("c")).alias("c"))
+        .agg(F.count("*").alias("n"), F.sum("c").alias("c"))
     )
+    names = as_graph(triples).texts(bgp(triples, [("?i", "skos:prefLabel", "?nivel")]), "nivel", form="text")
     return (
-        reduced.join(bgp(triples, [("?i", "skos:prefLabel", "?nivel")]), "i")
+        reduced.join(names, "i")
         .groupBy("nivel")
         .agg(F.sum("n").alias("observaciones"), F.sum("c").alias("total"))
         .orderBy(F.desc("total"), "nivel")
     )
 
 
-def non_domestic_share(triples: DataFrame) -> DataFrame:
+def non_domestic_share(triples: Source) -> DataFrame:
     """Whole-number percentage of non-domestic consumption per borough name."""
     units = _unit_totals(
         triples, ("nd", "agua:nonDomesticConsumption"), ("t", "agua:totalConsumption")
@@ -295,10 +298,11 @@ def non_domestic_share(triples: DataFrame) -> DataFrame:
     )
 
 
-def degree(triples: DataFrame, n: int = 15) -> DataFrame:
+def degree(triples: Source, n: int = 15) -> DataFrame:
     """Names by number of neighbours; units of one name are merged."""
     edges = (
-        match(triples, p="agua:nearbyWithin1500m")
+        as_graph(triples)
+        .rows(p="agua:nearbyWithin1500m")
         .groupBy(F.col("s").alias("unit"))
         .agg(F.count("*").alias("n"))
     )
@@ -310,19 +314,19 @@ def degree(triples: DataFrame, n: int = 15) -> DataFrame:
     return top(merged, [F.desc("vecinas"), "colonia"], n)
 
 
-def units(triples: DataFrame) -> DataFrame:
+def units(triples: Source) -> DataFrame:
     """Features with a name, a named borough and coordinates."""
     rows = bgp(
         triples,
         [
             ("?unit", RDF_TYPE, "geo:Feature"),
-            ("?unit", "rdfs:label", "?nombre"),
-            ("?unit", "agua:latitude", "?lat"),
-            ("?unit", "agua:longitude", "?lon"),
+            ("?unit", "agua:latitude", "#lat"),
+            ("?unit", "agua:longitude", "#lon"),
             ("?unit", "agua:borough", "?b"),
         ],
-    ).join(_borough_names(triples), "b")
-    return rows.select(
+    )
+    named = rows.join(_labels(triples, "unit", "nombre"), "unit").join(_borough_names(triples), "b")
+    return as_graph(triples).texts(named, "unit").select(
         last_segment(F.col("unit")).alias("id"),
         "nombre",
         "alcaldia",
@@ -331,7 +335,7 @@ def units(triples: DataFrame) -> DataFrame:
     )
 
 
-def load_units(triples: DataFrame) -> DataFrame:
+def load_units(triples: Source) -> DataFrame:
     """Distinct (borough, neighbourhood) names of the units that have both."""
     return (
         _labels(triples, "unit", "colonia")

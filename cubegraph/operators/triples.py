@@ -20,7 +20,6 @@ from cubegraph.functions import dates, geo
 from cubegraph.functions.numbers import fixed2
 from cubegraph.functions.text import expand, iri_segment
 from cubegraph.operators.ordering import enumerate_rows
-from cubegraph.session import materialise_table
 from cubegraph.sources.vocabulary import (
     AGUA, RDF_TYPE, TRIPLE_SCHEMA, iri, literal as literal_row, ref as ref_row,
 )
@@ -440,12 +439,3 @@ def demo_graph(
         _demo_climate_map(fact_climate),
     ]
     return materialise(maps, [*metadata_rows(k, radius_km, created), *rows])
-
-
-def store_graph(triples: DataFrame, label: str = "graph") -> DataFrame:
-    """Graph stored by predicate, so a pattern with a fixed predicate reads only its files.
-
-    The rebalance splits large predicates and merges small ones into files of
-    even size.
-    """
-    return materialise_table(triples.hint("rebalance", "p"), label, partition_by="p").select(*COLUMNS)

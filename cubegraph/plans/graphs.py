@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cubegraph.functions.geo import RADIUS_KM
-from cubegraph.operators import dims, marts, territory, triples
+from cubegraph.operators import dims, marts, patterns, territory, triples
+from cubegraph.operators.termstore import StoredGraph, store_terms
 from cubegraph.plans.warehouse import Star
 from cubegraph.session import materialise_table
-from cubegraph.sources.vocabulary import schema_rows
+from cubegraph.sources.vocabulary import RDF_TYPE, TRIPLE_SCHEMA, iri, ref, schema_rows
 
 
 def star_maps(star: Star, edges: DataFrame) -> list[triples.TriplesMap]:
@@ -23,9 +25,13 @@ def star_maps(star: Star, edges: DataFrame) -> list[triples.TriplesMap]:
     ]
 
 
-def full_graph(star: Star, edges: DataFrame) -> DataFrame:
-    """All maps plus the schema, stored by predicate."""
-    return triples.store_graph(triples.materialise(star_maps(star, edges), schema_rows()), "graph")
+def full_triples(star: Star, edges: DataFrame) -> DataFrame:
+    """All maps plus the schema."""
+    return triples.materialise(star_maps(star, edges), schema_rows())
+
+
+def full_graph(star: Star, edges: DataFrame) -> StoredGraph:
+    return store_terms(full_triples(star, edges), "graph")
 
 
 def radius_edges(star: Star, radius_km: float = RADIUS_KM) -> DataFrame:
@@ -40,13 +46,45 @@ def observations(star: Star) -> DataFrame:
     return triples.number_observations(marts.aggregate_observations(star.fact, star.dim_level))
 
 
-def reduced_graph(
+def reduced_triples(
     star: Star, edges: DataFrame, k: int = 6, radius_km: float = RADIUS_KM,
     created: str = "1970-01-01T00:00:00Z", with_schema: bool = True,
 ) -> DataFrame:
-    """The coarser graph, by default with the schema, stored by predicate."""
-    graph = triples.demo_graph(
+    """The coarser graph, by default with the schema."""
+    return triples.demo_graph(
         star.dim_time, star.dim_location, star.dim_level, observations(star),
         star.fact_climate, edges, k, radius_km, created, schema_rows() if with_schema else (),
     )
-    return triples.store_graph(graph, "graph-reduced")
+
+
+def reduced_graph(star: Star, edges: DataFrame) -> StoredGraph:
+    return store_terms(reduced_triples(star, edges), "graph-reduced")
+
+
+def faulty_triples(star: Star, edges: DataFrame) -> DataFrame:
+    """The reduced graph with faults of every kind planted by rule."""
+    g = reduced_triples(star, edges)
+    number = F.substring_index("o", "/", -1).cast("long")
+    dropped = (
+        ((F.col("p") == iri("agua:location")) & (number % 97 == 0))
+        | ((F.col("s") == iri("agua:meanHumidity")) & (F.col("p") == RDF_TYPE))
+        | ((F.col("s") == iri("agua:developmentIndex")) & (F.col("p") == RDF_TYPE))
+        | ((F.col("s") == iri("agua:consumoCDMX")) & (F.col("p") == iri("agua:unit")))
+    )
+    twice = patterns.match(g, p="agua:period").filter(
+        (number % 500 == 0) & F.col("s").contains("/aggobs/")
+    )
+    second = twice.select(
+        "s",
+        F.lit(iri("qb:dataSet")).alias("p"),
+        F.lit(iri("agua:climaCDMX")).alias("o"),
+        F.lit("iri").alias("o_kind"),
+        F.lit(None).cast("string").alias("datatype"),
+        F.lit(None).cast("string").alias("lang"),
+    )
+    rows = [
+        ref("agua:consumoCDMX", "qb:structure", "agua:climaDSD"),
+        ref("agua:vacioDSD", "rdf:type", "qb:DataStructureDefinition"),
+    ]
+    planted = g.sparkSession.createDataFrame(rows, TRIPLE_SCHEMA)
+    return g.filter(~dropped).unionByName(second).unionByName(planted)

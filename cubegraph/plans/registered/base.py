@@ -11,6 +11,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from cubegraph.operators import marts
+from cubegraph.operators.termstore import StoredGraph, store_terms
 from cubegraph.plans import graphs
 from cubegraph.plans.warehouse import Star, load_star
 from cubegraph.session import drop_stored, materialise_table, tune
@@ -60,13 +61,17 @@ class Context:
         return graphs.nearest_edges(self.star)
 
     @loaded
-    def graph(self) -> DataFrame:
+    def graph(self) -> StoredGraph:
         return graphs.full_graph(self.star, self.edges)
 
     @loaded
-    def reduced(self) -> DataFrame:
+    def reduced(self) -> StoredGraph:
         return graphs.reduced_graph(self.star, self.nearest)
 
+    @loaded
+    def faulty(self) -> StoredGraph:
+        return store_terms(graphs.faulty_triples(self.star, self.nearest), "graph-faulty")
+
 
 _CONTEXTS: dict[tuple[str, str], Context] = {}
 _OPENING = threading.RLock()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cubegraph.operators import dims, integrity, marts, patterns, quality, retrieval, triples
+from cubegraph.operators import dims, integrity, marts, patterns, quality, retrieval, termstore, triples
 from cubegraph.operators.integrity import (
     DIMENSIONS_TYPED, IC1, IC2, IC3, IC11, MEASURES_TYPED, UNIT_DECLARED,
 )
@@ -12,7 +12,7 @@ from cubegraph.plans import graphs
 from cubegraph.plans.registered.base import Query, registrar
 from cubegraph.session import shared_path
 from cubegraph.sources import readers, writers
-from cubegraph.sources.vocabulary import AGUA, RDF_TYPE, TRIPLE_SCHEMA, iri, ref, schema_triples
+from cubegraph.sources.vocabulary import AGUA, RDF_TYPE, iri, schema_triples
 
 QUERIES: dict[str, Query] = {}
 query = registrar(QUERIES)
@@ -115,6 +115,12 @@ def _dec(column: str) -> str:
     return f"CAST({column} AS DECIMAL(18,6))"
 
 
+def _day_mean(column: str, kind: str) -> str:
+    """The climate days with a decimal sum of ``column``, divided once and rounded at six places."""
+    mean = f"CAST(ROUND(CAST(SUM(CAST({column} AS {kind})) AS DOUBLE) / COUNT({column}), 6) AS DECIMAL(18,6))"
+    return f"(SELECT t.id_tiempo, {mean} AS mean FROM stg_clima s JOIN dim_tiempo t ON CAST(s.fecha_hora AS DATE) = t.fecha GROUP BY t.id_tiempo)"
+
+
 @query(_counted([
     ("rdf:type", _OBS, "'obs'", _FACT),
     ("qb:dataSet", _OBS, "'water'", _FACT),
@@ -132,6 +138,8 @@ def _dec(column: str) -> str:
     ("agua:totalRainfall", _CLI, "lluvia_total", _CLIMATE),
     ("agua:maxTemperature", _CLI, _dec("temp_maxima"), _CLIMATE),
     ("agua:minTemperature", _CLI, _dec("temp_minima"), _CLIMATE),
+    ("agua:meanTemperature", _CLI, "mean", _day_mean("temperatura", "DECIMAL(30,15)")),
+    ("agua:meanHumidity", _CLI, "mean", _day_mean("humedad_relativa", "BIGINT")),
     ("rdf:type", _U, "'feature'", "dim_ubicacion"),
     ("rdfs:label", _U, "colonia", "dim_ubicacion"),
     ("agua:borough", _U, "alcaldia", "dim_ubicacion"),
@@ -151,24 +159,14 @@ def _dec(column: str) -> str:
     ("skos:inScheme", "'l' || id_indice_des", "'scheme'", "dim_indice_des"),
 ]))
 def triple_counts_by_predicate(c):
-    """All maps materialised, counted; the climate means, which its SQL lacks, are in ``climate_mean_counts``."""
-    graph = triples.materialise(graphs.star_maps(c.star, c.edges))
-    left_out = [iri(p) for p in _MEANS]
-    return (
-        graph.filter(~F.col("p").isin(left_out))
-        .groupBy("p")
-        .agg(
-            F.count("*").alias("n"),
-            F.count_distinct("s").alias("subjects"),
-            F.count_distinct("o").alias("objects"),
-        )
-    )
-
+    """Triples and distinct subjects and objects of the full graph, counted as numbers; the schema's own are taken off.
 
-def _day_mean(column: str, kind: str) -> str:
-    """The climate days with a decimal sum of ``column``, divided once and rounded at six places."""
-    mean = f"CAST(ROUND(CAST(SUM(CAST({column} AS {kind})) AS DOUBLE) / COUNT({column}), 6) AS DECIMAL(18,6))"
-    return f"(SELECT t.id_tiempo, {mean} AS mean FROM stg_clima s JOIN dim_tiempo t ON CAST(s.fecha_hora AS DATE) = t.fecha GROUP BY t.id_tiempo)"
+    Of the maps only the one of levels can state a triple of the schema, which then counts.
+    """
+    stated = triples.level_map(c.star.dim_level).triples().select("s", "p", "o")
+    own = schema_triples(c.spark).join(stated, ["s", "p", "o"], "left_anti")
+    star = c.graph.triples.join(c.graph.encoded(own), ["s", "p", "o"], "left_anti")
+    return termstore.count_by_predicate(star)
 
 
 @query(_counted([
@@ -176,7 +174,7 @@ def _day_mean(column: str, kind: str) -> str:
     ("agua:meanHumidity", _CLI, "mean", _day_mean("humedad_relativa", "BIGINT")),
 ]))
 def climate_mean_counts(c):
-    """The triples of the two climate means, counted as in ``triple_counts_by_predicate``."""
+    """The triples of the two climate means alone, mapped anew and counted as texts."""
     graph = triples.materialise([triples.climate_map(c.star.fact_climate)])
     return graph.filter(F.col("p").isin([iri(p) for p in _MEANS])).groupBy("p").agg(
         F.count("*").alias("n"), F.count_distinct("s").alias("subjects"), F.count_distinct("o").alias("objects")
@@ -196,17 +194,17 @@ UNION ALL SELECT 'union', CAST({_FULL_SIZE} + 117 AS BIGINT)
 UNION ALL SELECT 'union with itself', CAST({_FULL_SIZE} + 117 AS BIGINT)""")
 def graph_union_count(c):
     """Sizes of the graph, the schema and their union; a union with itself adds nothing."""
-    schema = schema_triples(c.spark)
-    star = c.graph.join(schema, ["s", "p", "o"], "left_anti")
-    union = triples.graph_union(star.select(*triples.COLUMNS), schema)
+    graph = c.graph.triples
+    schema = c.graph.encoded(schema_triples(c.spark))
+    star = graph.join(schema, ["s", "p", "o"], "left_anti")
     sizes = [
         ("schema", schema),
         ("star", star),
-        ("union", union),
-        ("union with itself", triples.graph_union(c.graph, c.graph)),
+        ("union", termstore.union(star, schema)),
+        ("union with itself", termstore.union(graph, graph)),
     ]
     counted = [
-        patterns.triple_count(g).select(F.lit(name).alias("graph"), "n") for name, g in sizes
+        patterns.triple_count(g, bag=True).select(F.lit(name).alias("graph"), "n") for name, g in sizes
     ]
     out = counted[0]
     for part in counted[1:]:
@@ -267,9 +265,9 @@ def demo_observations(c):
     """Numbered observations with their total and source count, read back by pattern."""
     rows = patterns.bgp(
         c.reduced,
-        [("?s", "agua:sourceRecords", "?registros"), ("?s", "agua:totalConsumption", "?total")],
+        [("?s", "agua:sourceRecords", "#registros"), ("?s", "agua:totalConsumption", "#total")],
     )
-    return rows.select(
+    return c.reduced.texts(rows, "s").select(
         "s", F.col("total").cast("double").alias("total"), F.col("registros").cast("long").alias("registros")
     )
 
@@ -380,35 +378,6 @@ def reconcile_totals(c):
     return table.withColumns({n: F.col(n).cast("double") for n in ("grafo", "almacen")})
 
 
-def faulty_graph(c):
-    """The reduced graph with faults of every kind planted by rule."""
-    g = c.reduced
-    number = F.substring_index("o", "/", -1).cast("long")
-    dropped = (
-        ((F.col("p") == iri("agua:location")) & (number % 97 == 0))
-        | ((F.col("s") == iri("agua:meanHumidity")) & (F.col("p") == RDF_TYPE))
-        | ((F.col("s") == iri("agua:developmentIndex")) & (F.col("p") == RDF_TYPE))
-        | ((F.col("s") == iri("agua:consumoCDMX")) & (F.col("p") == iri("agua:unit")))
-    )
-    twice = patterns.match(g, p="agua:period").filter(
-        (number % 500 == 0) & F.col("s").contains("/aggobs/")
-    )
-    second = twice.select(
-        "s",
-        F.lit(iri("qb:dataSet")).alias("p"),
-        F.lit(iri("agua:climaCDMX")).alias("o"),
-        F.lit("iri").alias("o_kind"),
-        F.lit(None).cast("string").alias("datatype"),
-        F.lit(None).cast("string").alias("lang"),
-    )
-    rows = [
-        ref("agua:consumoCDMX", "qb:structure", "agua:climaDSD"),
-        ref("agua:vacioDSD", "rdf:type", "qb:DataStructureDefinition"),
-    ]
-    planted = c.spark.createDataFrame(rows, TRIPLE_SCHEMA)
-    return g.filter(~dropped).unionByName(second).unionByName(planted)
-
-
 _VIOLATIONS = f"""WITH violations AS (
   SELECT '{IC1}' AS "check", '{AGUA}aggobs/' || id_obs AS focus, '2' AS detail FROM aggobs WHERE id_tiempo % 500 = 0
   UNION ALL SELECT '{IC2}', '{AGUA}consumoCDMX', '2'
@@ -423,14 +392,14 @@ _VIOLATIONS = f"""WITH violations AS (
 SELECT name AS "check", COUNT(v.focus) AS violations
 FROM (VALUES """ + ", ".join(f"('{n}')" for n in integrity.CHECKS) + """) AS c(name) LEFT JOIN violations v ON v."check" = c.name GROUP BY name""")
 def integrity_violations_counted(c):
-    return integrity.check_integrity(faulty_graph(c))
+    return integrity.check_integrity(c.faulty)
 
 
 @query(_VIOLATIONS + """
 SELECT "check", focus, detail FROM (
   SELECT *, row_number() OVER (PARTITION BY "check" ORDER BY focus, detail NULLS FIRST) AS r FROM violations) WHERE r <= 5""")
 def integrity_violations(c):
-    return integrity.sample_violations(faulty_graph(c), 5)
+    return integrity.sample_violations(c.faulty, 5)
 
 
 @query("SELECT name AS \"check\", CAST(0 AS BIGINT) * (SELECT COUNT(*) FROM lineitem) AS violations FROM (VALUES "

@@ -18,6 +18,8 @@ RUNTIME_OPTIONS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Rows already dealt by one of a join's keys are not dealt again by all of them.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
@@ -55,6 +57,7 @@ def shared_root(spark: SparkSession) -> str:
 
 
 _STORED: dict[str, list[str]] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
@@ -67,6 +70,8 @@ def shared_path(spark: SparkSession, label: str) -> str:
 
 def drop_stored(spark: SparkSession) -> int:
     """Delete every table this application stored; frames that read them are void afterwards. Returns how many."""
+    for name in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     paths = _STORED.pop(spark.sparkContext.applicationId, [])
     for path in paths:
         fs, place = FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
@@ -89,6 +94,22 @@ def materialise_table(df: DataFrame, label: str, partition_by: str | None = None
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_buckets(df: DataFrame, label: str, key: str, buckets: int, partition_by: str | None = None) -> DataFrame:
+    """Like ``materialise_table``, dealt into ``buckets`` by ``key`` and sorted by it, within each value of ``partition_by``.
+
+    Rows that meet on the key are in buckets of one number, so joins and groups on it need no exchange. The
+    catalog entry lives as long as the stored rows.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, label)
+    name = "stored_" + uuid.uuid4().hex
+    writer = df.repartition(buckets, key).write.mode("errorifexists").option("path", path).format("parquet")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return spark.table(name)
+
+
 def sized(df: DataFrame, label: str) -> DataFrame:
     """Store a relation that is usually small, so the planner knows its real size.
 

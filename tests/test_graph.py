@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from cubegraph.operators import dims, integrity, patterns, quality, triples
+from cubegraph.operators import dims, integrity, patterns, quality, termstore, triples
 from cubegraph.operators.triples import TriplesMap, decimal, template, text, typed
 from cubegraph.sources import readers, writers
 from cubegraph.sources.vocabulary import AGUA, RDF_TYPE, TRIPLE_SCHEMA, iri, literal, ref, schema_rows, schema_triples
@@ -224,11 +224,63 @@ def test_lines_as_others_write_them(spark, tmp_path):
         readers.read_ntriples(spark, str(bad)).collect()
 
 
-def test_stored_graph_reads_only_the_pattern_s_predicates(full):
-    stored = triples.store_graph(full)
-    assert stored.count() == full.count()
-    plan = patterns.by_level(stored)._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(p" in plan
+@pytest.fixture(scope="module")
+def stored(full, reduced):
+    return termstore.store_terms(full), termstore.store_terms(reduced)
+
+
+def plain(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_stored_graph_holds_the_triples(full, stored):
+    back = stored[0].frame().select(*triples.COLUMNS)
+    assert plain(back) == plain(full)
+    counted = {r.p: (r.n, r.subjects, r.objects) for r in termstore.count_by_predicate(stored[0].triples).collect()}
+    expect = full.groupBy("p").agg(F.count("*"), F.count_distinct("s"), F.count_distinct("o"))
+    assert counted == {r[0]: tuple(r)[1:] for r in expect.collect()}
+
+
+def test_stored_graph_answers_as_its_triples_do(full, reduced, stored):
+    for text, graph in zip((full, reduced), stored):
+        for ask in (
+            lambda g: patterns.neighbour_consumption(g, "agua:colonia/1"), lambda g: patterns.neighbours(g, "agua:colonia/1"),
+            patterns.graph_climate_join, patterns.graph_climate_by_bimester, patterns.by_level, patterns.non_domestic_share,
+            patterns.degree, patterns.units, patterns.load_units, patterns.class_counts,
+        ):
+            assert plain(ask(graph)) == plain(ask(text))
+    assert patterns.count_pattern(stored[0], p=RDF_TYPE, o="geo:Feature").first().n == 4
+
+
+def test_terms_of_one_digest_are_told_apart(spark, full, monkeypatch):
+    whole = termstore.digest
+    monkeypatch.setattr(termstore, "digest", lambda *a, **k: F.pmod(whole(*a, **k), F.lit(400)))
+    graph = termstore.store_terms(full)
+    assert graph.moved is not None and graph.terms.select("id").distinct().count() == graph.terms.count()
+    assert plain(graph.frame().select(*triples.COLUMNS)) == plain(full)
+    assert plain(patterns.by_level(graph)) == plain(patterns.by_level(full))
+    assert plain(patterns.neighbours_by_label(graph, "agua:colonia/1")) == plain(patterns.neighbours_by_label(full, "agua:colonia/1"))
+
+
+def test_union_of_numbered_triples(spark, full, stored):
+    graph = stored[0]
+    schema = graph.encoded(schema_triples(spark))
+    assert termstore.union(graph.triples, graph.triples).count() == termstore.union(graph.triples, schema).count() == full.count()
+
+
+def test_stars_join_bucket_by_bucket(spark, full, monkeypatch):
+    """Only the pattern's predicates are read, and what is joined on the observation is not exchanged."""
+    monkeypatch.setattr(termstore, "BUCKET_TERMS", 20)
+    graph = termstore.store_terms(full)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stars = patterns.bgp(graph, [("?obs", "agua:developmentIndex", "?i"), ("?obs", "agua:totalConsumption", "#c"), ("?obs", "agua:location", "?u")])
+        plan = stars._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert "PartitionFilters: [isnotnull(p" in plan and "Bucketed: true" in plan
+        assert plain(patterns.by_level(graph)) == plain(patterns.by_level(full))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 FAULTS = {
@@ -266,6 +318,14 @@ def test_each_fault_is_reported_once_by_its_check(reports, check):
     assert reports[check] == {c: int(c == check) for c in integrity.CHECKS}
 
 
+def test_stored_graphs_are_checked_alike(spark, full):
+    rows = [r for faults in FAULTS.values() for r in faults]
+    faulty = full.unionByName(spark.createDataFrame(rows, TRIPLE_SCHEMA))
+    graph = termstore.store_terms(faulty)
+    assert plain(integrity.check_integrity(graph)) == plain(integrity.check_integrity(faulty))
+    assert plain(integrity.sample_violations(graph)) == plain(integrity.sample_violations(faulty))
+
+
 def test_samples_are_cut_per_check(spark, full):
     rows = [ref(f"agua:obs/{i}", "qb:dataSet", "agua:climaCDMX") for i in range(1, 6)]
     faulty = full.unionByName(spark.createDataFrame(rows, TRIPLE_SCHEMA))
