@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubegraph.functions import dates, geo
@@ -62,6 +62,30 @@ def centroids(readings: DataFrame, box: geo.Box = geo.AREA) -> DataFrame:
     )
 
 
+def members(readings: DataFrame, box: geo.Box = geo.AREA) -> DataFrame:
+    """One pass over the readings: (borough, neighbourhood, level) with how many coordinates lie in the box, and their sums.
+
+    Units, levels and centroids all come from these rows, and rows of later readings add to them.
+    """
+    lat, lon = F.col("latitud"), F.col("longitud")
+    inside = geo.in_bbox(lat, lon, box)
+    return readings.groupBy("alcaldia", "colonia", "indice_des").agg(
+        F.count_if(inside).alias("n"),
+        F.sum(F.when(inside, lat.cast("decimal(9,6)"))).alias("latitud"),
+        F.sum(F.when(inside, lon.cast("decimal(9,6)"))).alias("longitud"),
+    )
+
+
+def centroids_of(state: DataFrame) -> DataFrame:
+    """The centroids that :func:`centroids` finds, from the rows of :func:`members`."""
+    sums = state.groupBy("alcaldia", "colonia").agg(*[F.sum(c).alias(c) for c in ("n", "latitud", "longitud")])
+
+    def point(column: str) -> Column:
+        return F.round(F.col(column) / F.col("n"), 6).cast("decimal(9,6)").alias(column)
+
+    return sums.filter("n > 0").select("alcaldia", "colonia", point("latitud"), point("longitud"))
+
+
 def attach_centroids(dim: DataFrame, points: DataFrame) -> DataFrame:
     """Give every unit its centroid; units without readings in the box keep nulls."""
     plain = dim.drop("latitud", "longitud")

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cubegraph.functions.numbers import pct
-from cubegraph.operators.ordering import page, top
+from cubegraph.operators import rollup
+from cubegraph.operators.ordering import top
 
 # Daily extremes that count as a hot and as a cold day.
 HOT = 28
@@ -71,64 +72,38 @@ def correlation(
     return table.orderBy("anio", "bimestre")
 
 
-def by_borough(fact: DataFrame, dim_location: DataFrame) -> DataFrame:
-    """Readings, total, mean, non-domestic total and share per borough, largest first."""
-    units = fact.groupBy("id_ubicacion").agg(
-        F.count("*").alias("registros"),
-        F.sum("consumo_total").alias("total"),
-        F.sum("consumo_prom").alias("_sum"),
-        F.count("consumo_prom").alias("_n"),
-        F.sum("consumo_total_no_dom").alias("no_dom"),
-    )
+def by_borough(units: DataFrame, dim_location: DataFrame) -> DataFrame:
+    """Readings, total, mean, non-domestic total and share per borough, largest first; from state by unit."""
     return (
-        units.join(dim_location.select("id_ubicacion", "alcaldia"), "id_ubicacion")
-        .groupBy("alcaldia")
-        .agg(
-            F.sum("registros").alias("registros"),
-            F.sum("total").alias("total"),
-            F.sum("_sum").alias("_sum"),
-            F.sum("_n").alias("_n"),
-            F.sum("no_dom").alias("no_dom"),
-        )
+        rollup.added(units.join(dim_location.select("id_ubicacion", "alcaldia"), "id_ubicacion"), ["alcaldia"])
         .select(
             "alcaldia",
             "registros",
-            "total",
-            _mean("_sum", "_n").alias("promedio"),
-            "no_dom",
-            pct(F.col("no_dom"), F.col("total")).alias("pct_no_dom"),
+            F.col("suma_consumo_total").alias("total"),
+            rollup.mean("consumo_prom").alias("promedio"),
+            F.col("suma_consumo_total_no_dom").alias("no_dom"),
+            pct(F.col("suma_consumo_total_no_dom"), F.col("suma_consumo_total")).alias("pct_no_dom"),
         )
         .orderBy(F.desc_nulls_last("total"), "alcaldia")
     )
 
 
-def by_neighbourhood_bimester(
-    fact: DataFrame, dim_location: DataFrame, dim_time: DataFrame
-) -> DataFrame:
-    periods = dim_time.select("id_tiempo", "anio", "bimestre")
-    reduced = (
-        fact.join(periods, "id_tiempo")
-        .groupBy("id_ubicacion", "anio", "bimestre")
-        .agg(
-            F.sum("consumo_total").alias("total"),
-            F.sum("consumo_prom").alias("_sum"),
-            F.count("consumo_prom").alias("_n"),
-        )
-    )
+def by_neighbourhood_bimester(periods: DataFrame, dim_location: DataFrame) -> DataFrame:
+    """Total and mean per unit and bimester, by name; from state by unit and bimester."""
     return (
-        reduced.join(dim_location.select("id_ubicacion", "alcaldia", "colonia"), "id_ubicacion")
-        .select("alcaldia", "colonia", "anio", "bimestre", "total", _mean("_sum", "_n").alias("promedio"))
+        periods.join(dim_location.select("id_ubicacion", "alcaldia", "colonia"), "id_ubicacion")
+        .select(
+            "alcaldia", "colonia", "anio", "bimestre",
+            F.col("suma_consumo_total").alias("total"), rollup.mean("consumo_prom").alias("promedio"),
+        )
         .orderBy(*[F.asc_nulls_last(c) for c in ("alcaldia", "colonia", "anio", "bimestre")])
-    )
-
-
-def totals_by_unit(fact: DataFrame) -> DataFrame:
-    return fact.groupBy("id_ubicacion").agg(F.sum("consumo_total").alias("total"))
+    )
 
 
-def top_neighbourhoods(fact: DataFrame, dim_location: DataFrame, n: int = 10) -> DataFrame:
-    """The ``n`` largest units; only those rows meet the dimension. Ties go to the smaller key."""
-    best = top(totals_by_unit(fact), [F.desc_nulls_last("total"), "id_ubicacion"], n)
+def top_neighbourhoods(units: DataFrame, dim_location: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` largest units, from state by unit; only those rows meet the dimension. Ties go to the smaller key."""
+    totals = units.groupBy("id_ubicacion").agg(F.sum("suma_consumo_total").alias("total"))
+    best = top(totals, [F.desc_nulls_last("total"), "id_ubicacion"], n)
     labels = dim_location.select("id_ubicacion", "alcaldia", "colonia")
     return (
         labels.join(best, "id_ubicacion")
@@ -208,29 +183,22 @@ def aggregate_observations(fact: DataFrame, dim_level: DataFrame) -> DataFrame:
     )
 
 
-def paged_retrieval(
-    fact: DataFrame,
-    dim_time: DataFrame,
-    dim_location: DataFrame,
-    dim_level: DataFrame,
-    limit: int = 100,
-    offset: int = 0,
-) -> DataFrame:
-    """One page of the star ordered by period, borough and neighbourhood.
+#: Columns of a retrieved page, in the order they are shown.
+PAGE_COLUMNS = ["anio", "bimestre", "fecha", "alcaldia", "colonia", "indice_des", "consumo_total", "consumo_prom"]
 
-    Ordered by the names themselves, so it holds whatever order keys were given in.
-    Each task keeps its best rows; only the page is gathered.
-    """
-    rows = (
+
+def retrieval_rows(fact: DataFrame, dim_time: DataFrame, dim_location: DataFrame, dim_level: DataFrame) -> DataFrame:
+    """The rows that are paged through, with the names they are shown and ordered by."""
+    return (
         fact.select("id_tiempo", "id_ubicacion", "id_indice_des", "consumo_total", "consumo_prom")
         .join(dim_time.select("id_tiempo", "anio", "bimestre", "fecha"), "id_tiempo")
         .join(dim_level, "id_indice_des")
         .join(dim_location.select("id_ubicacion", "alcaldia", "colonia"), "id_ubicacion")
+        .select(*PAGE_COLUMNS)
     )
-    order = [
-        F.asc_nulls_last(c)
-        for c in ("anio", "bimestre", "alcaldia", "colonia", "fecha", "indice_des", "consumo_total", "consumo_prom")
-    ]
-    return page(rows, order, limit, offset).select(
-        "anio", "bimestre", "fecha", "alcaldia", "colonia", "indice_des", "consumo_total", "consumo_prom"
-    )
+
+
+def retrieval_order() -> list[Column]:
+    """By period, borough and neighbourhood, then by all that is shown; so it holds whatever order keys were given in."""
+    shown = ("anio", "bimestre", "alcaldia", "colonia", "fecha", "indice_des", "consumo_total", "consumo_prom")
+    return [F.asc_nulls_last(c) for c in shown]

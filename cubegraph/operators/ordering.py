@@ -9,10 +9,13 @@ per range partition and key.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cubegraph.session import materialise_table
 
@@ -23,15 +26,16 @@ def _columns(order: Order) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
+def _stored_in_order(df: DataFrame, order: Order, label: str) -> DataFrame:
+    """``df`` sorted by range and stored, with the number of its range and its place there."""
+    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    numbered = df.orderBy(*_columns(order)).withColumn("_part", F.spark_partition_id()).withColumn("_local", local)
+    return materialise_table(numbered, label)
+
+
 def enumerate_rows(df: DataFrame, order: Order, name: str = "n", start: int = 1) -> DataFrame:
     """Dense numbering 1..n in ``order``, which must be unique over the rows."""
-    local = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    stored = materialise_table(
-        df.orderBy(*_columns(order))
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_local", local),
-        f"numbered-{name}",
-    )
+    stored = _stored_in_order(df, order, f"numbered-{name}")
     sizes = stored.groupBy("_part").agg((F.max("_local") + 1).alias("_size"))
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
@@ -124,6 +128,47 @@ def top_k_per_key(df: DataFrame, key: Sequence[str] | str, order: Order, k: int)
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
 
 
+@dataclass(frozen=True)
+class OrderedRows:
+    """A relation stored in an order, and an index of its files: how many rows come before each.
+
+    A page reads the index and the files it lies in, whatever its offset.
+    """
+
+    schema: StructType
+    files: DataFrame
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.files.sparkSession
+
+    def total(self) -> DataFrame:
+        """One row: how many rows there are."""
+        return self.files.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"))
+
+    def page(self, limit: int, offset: int = 0) -> DataFrame:
+        """Rows ``offset`` .. ``offset + limit``; the driver learns the few files they are in."""
+        last = offset + limit
+        inside = (F.col("before") < last) & (F.col("before") + F.col("size") > offset)
+        parts = []
+        for f in self.files.filter(inside).orderBy("before").collect():
+            rows = self.spark.read.schema(self.schema).parquet(f["file"])
+            wanted = F.col("_local").between(offset - f["before"], last - f["before"] - 1)
+            parts.append(rows.filter(wanted).withColumn("_row", F.col("_local") + F.lit(f["before"])))
+        if not parts:
+            return self.spark.createDataFrame([], self.schema).drop("_part", "_local")
+        return reduce(DataFrame.unionByName, parts).orderBy("_row").drop("_row", "_part", "_local")
+
+
+def store_ordered(df: DataFrame, order: Order, label: str) -> OrderedRows:
+    """``df`` sorted by range and stored, a file per range, with the index of its files."""
+    stored = _stored_in_order(df, order, label)
+    sizes = stored.groupBy("_part", F.input_file_name().alias("file")).agg(F.count("*").alias("size"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row per file
+    files = sizes.select("file", "size", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    return OrderedRows(stored.schema, materialise_table(files, f"{label}-files"))
+
+
 def page(df: DataFrame, order: Order, limit: int, offset: int = 0) -> DataFrame:
     """Rows ``offset`` .. ``offset + limit`` of the ordered relation, as a top-k: each task keeps its best rows."""
     return df.orderBy(*_columns(order)).offset(offset).limit(limit)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cubegraph.functions import dates
 from cubegraph.functions.geo import AREA, in_bbox
-from cubegraph.operators import marts, ordering, quality, relational, retrieval
+from cubegraph.operators import marts, ordering, quality, relational, retrieval, rollup
 from cubegraph.plans.registered.base import Query, registrar
 from cubegraph.session import shared_path
 from cubegraph.sources import readers, schemas, writers
@@ -19,26 +19,55 @@ def _doubles(df, *columns):
     return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
-@query("""
-WITH numerada AS (SELECT *, row_number() OVER (
-    ORDER BY anio, bimestre, alcaldia, colonia, fecha, indice_des, consumo_total, consumo_prom) AS lugar
+def _page(first: int, last: int) -> str:
+    """SQL for the rows first..last of the retrieval order, counted from 1."""
+    order = "anio, bimestre, alcaldia, colonia, fecha, indice_des, consumo_total, consumo_prom"
+    return f"""
+SELECT anio, bimestre, CAST(fecha AS VARCHAR) AS fecha, alcaldia, colonia, indice_des,
+  CAST(consumo_total AS DOUBLE) AS consumo_total, CAST(consumo_prom AS DOUBLE) AS consumo_prom
+FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS lugar
   FROM fact_consumo_agua NATURAL JOIN dim_tiempo NATURAL JOIN dim_ubicacion NATURAL JOIN dim_indice_des)
-SELECT CAST(fecha AS VARCHAR) AS fecha, CAST(consumo_prom AS DOUBLE) AS consumo_prom, CAST(consumo_total AS DOUBLE) AS consumo_total,
-  indice_des, colonia, alcaldia, bimestre, anio FROM numerada WHERE lugar > 200 AND lugar <= 300""")
+WHERE lugar BETWEEN {first} AND {last}"""
+
+
+@query(_page(201, 300))
 def paged_retrieval(c):
-    s = c.star
-    page = marts.paged_retrieval(s.fact, s.dim_time, s.dim_location, s.dim_level, limit=100, offset=200)
+    """The third page of a hundred, read from the files of the order index that hold it."""
+    page = c.ordered.page(limit=100, offset=200)
     return _doubles(page, "consumo_total", "consumo_prom").withColumn("fecha", dates.iso_date(F.col("fecha")))
 
 
-@query("""
+@query(_page(30_001, 30_100))
+def deep_page(c):
+    """A page far into the order costs what the first one does."""
+    page = c.ordered.page(limit=100, offset=30_000)
+    return _doubles(page, "consumo_total", "consumo_prom").withColumn("fecha", dates.iso_date(F.col("fecha")))
+
+
+_BY_BOROUGH = """
 WITH unidad AS (SELECT id_ubicacion, COUNT(*) AS r, SUM(consumo_total) AS t, SUM(consumo_prom) AS p, COUNT(consumo_prom) AS k,
     SUM(consumo_total_no_dom) AS d FROM fact_consumo_agua GROUP BY id_ubicacion),
 zona AS (SELECT alcaldia, CAST(SUM(r) AS BIGINT) AS registros, CAST(SUM(t) AS DOUBLE) AS total, CAST(SUM(d) AS DOUBLE) AS no_dom,
     CAST(SUM(p) AS DOUBLE) / CAST(SUM(k) AS DOUBLE) AS promedio FROM unidad NATURAL JOIN dim_ubicacion GROUP BY alcaldia)
-SELECT *, CASE WHEN total <> 0 THEN CAST(100 AS DOUBLE) * no_dom / total END AS pct_no_dom FROM zona""")
+SELECT *, CASE WHEN total <> 0 THEN CAST(100 AS DOUBLE) * no_dom / total END AS pct_no_dom FROM zona"""
+
+
+@query(_BY_BOROUGH)
 def by_borough(c):
-    return _doubles(marts.by_borough(c.star.fact, c.star.dim_location), "total", "no_dom")
+    return _doubles(marts.by_borough(c.rollup.units(), c.star.dim_location), "total", "no_dom")
+
+
+def _in_batches(c):
+    """The state after readings of even and odd days were appended as two batches, the second one twice."""
+    state, fact = rollup.RollupState(c.spark), c.star.fact
+    for batch in ("even", "odd", "odd"):
+        state.merge(fact.filter(F.col("id_tiempo") % 2 == ("even", "odd").index(batch)), c.star.dim_time, batch)
+    return state
+
+
+@query(_BY_BOROUGH)
+def by_borough_after_appends(c):
+    return _doubles(marts.by_borough(_in_batches(c).units(), c.star.dim_location), "total", "no_dom")
 
 
 @query("""
@@ -48,8 +77,7 @@ periodo AS (SELECT id_ubicacion, anio, bimestre, CAST(SUM(t) AS DOUBLE) AS total
   FROM dia NATURAL JOIN dim_tiempo GROUP BY id_ubicacion, anio, bimestre)
 SELECT alcaldia, colonia, anio, bimestre, total, promedio FROM periodo JOIN dim_ubicacion USING (id_ubicacion)""")
 def by_neighbourhood_bimester(c):
-    s = c.star
-    return _doubles(marts.by_neighbourhood_bimester(s.fact, s.dim_location, s.dim_time), "total")
+    return _doubles(marts.by_neighbourhood_bimester(c.rollup.periods(), c.star.dim_location), "total")
 
 
 @query("""
@@ -57,7 +85,7 @@ SELECT u.alcaldia, u.colonia, CAST(SUM(f.consumo_total) AS DOUBLE) AS total
 FROM fact_consumo_agua f JOIN dim_ubicacion u USING (id_ubicacion)
 GROUP BY u.id_ubicacion, u.alcaldia, u.colonia ORDER BY total DESC, u.id_ubicacion LIMIT 10""")
 def top10_neighbourhoods(c):
-    return _doubles(marts.top_neighbourhoods(c.star.fact, c.star.dim_location, 10), "total")
+    return _doubles(marts.top_neighbourhoods(c.rollup.units(), c.star.dim_location, 10), "total")
 
 
 _MEASURES = (

@@ -33,12 +33,14 @@ def build_star(readings: DataFrame, climate: DataFrame, box: Box = AREA) -> Star
     Guards stop the load when the unit dimension is empty or none of its units
     received a coordinate.
     """
-    staged = materialise_table(readings, "stg-consumo")
-    weather = materialise_table(climate, "stg-clima")
+    # Even files, however few the source has: what is derived from them is as parallel as they are.
+    staged = materialise_table(readings.hint("rebalance"), "stg-consumo")
+    weather = materialise_table(climate.hint("rebalance"), "stg-clima")
+    members = materialise_table(dims.members(staged, box), "members")
     dim_time = materialise_table(dims.build_dim_time(weather), "dim-tiempo")
-    dim_level = materialise_table(dims.build_dim_level(staged), "dim-indice")
-    units = require_non_empty(dims.build_dim_location(staged), "no unit has a name")
-    located = dims.attach_centroids(units, dims.centroids(staged, box))
+    dim_level = materialise_table(dims.build_dim_level(members), "dim-indice")
+    units = require_non_empty(dims.build_dim_location(members), "no unit has a name")
+    located = dims.attach_centroids(units, dims.centroids_of(members))
     dim_location = materialise_table(located, "dim-ubicacion")
     require_coordinates(dim_location)
     fact = facts.build_fact_consumption(staged, dim_time, dim_location, dim_level)

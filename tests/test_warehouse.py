@@ -6,7 +6,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from cubegraph.operators import dims, facts, marts, quality
+from cubegraph.operators import dims, facts, marts, ordering, quality, rollup
 from cubegraph.operators.facts import MEASURES
 from cubegraph.plans.warehouse import build_star
 
@@ -105,7 +105,35 @@ def test_correlation_needs_both_sides(small):
 
 def test_share_is_null_where_the_total_is_zero(spark, small):
     zero = small.fact.withColumn("consumo_total", F.lit(0).cast("decimal(18,6)"))
-    assert {r.pct_no_dom for r in marts.by_borough(zero, small.dim_location).collect()} == {None}
+    units = rollup.added(rollup.reduced(zero), rollup.UNITS)
+    assert {r.pct_no_dom for r in marts.by_borough(units, small.dim_location).collect()} == {None}
+
+
+def states(*kept):
+    return [sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=repr) for df in kept]
+
+
+def test_rollups_of_batches_equal_those_of_all_facts(spark, small):
+    """Also after a batch is loaded again, corrected or as it was."""
+    whole, parts = rollup.RollupState(spark), rollup.RollupState(spark)
+    whole.merge(small.fact, small.dim_time, "all")
+    first = F.col("id_fact") % 2 == 0
+    parts.merge(small.fact.limit(1), small.dim_time, "01")
+    for name, rows in (("01", small.fact.filter(first)), ("1", small.fact.filter(~first)), ("1", small.fact.filter(~first))):
+        parts.merge(rows, small.dim_time, name)
+    assert states(parts.days(), parts.periods()) == states(whole.days(), whole.periods())
+    by = lambda state: marts.by_borough(state.units(), small.dim_location).collect()
+    assert by(parts) == by(whole) and len(by(whole)) > 0
+    assert [float(r.total) for r in marts.top_neighbourhoods(parts.units(), small.dim_location, 1).collect()] == [40.0]
+    periods = marts.by_neighbourhood_bimester(parts.periods(), small.dim_location).collect()
+    assert sum(float(r.total) for r in periods) == 52.0
+
+
+def test_dimensions_come_from_one_pass(spark, small):
+    state = dims.members(small.readings)
+    assert states(dims.centroids_of(state)) == states(dims.centroids(small.readings))
+    again = dims.members(small.readings.filter("latitud > 19.4")).unionByName(dims.members(small.readings.filter("latitud <= 19.4 OR latitud IS NULL")))
+    assert states(dims.centroids_of(again)) == states(dims.centroids(small.readings))
 
 
 def test_mart_keeps_missing_means_null(small):
@@ -116,11 +144,27 @@ def test_mart_keeps_missing_means_null(small):
 
 
 def test_paged_retrieval_equals_sorting_everything(small):
-    args = (small.fact, small.dim_time, small.dim_location, small.dim_level)
-    everything = marts.paged_retrieval(*args, limit=100).collect()
-    assert len(everything) == 4
-    assert [marts.paged_retrieval(*args, limit=1, offset=i).first() for i in range(4)] == everything
-    assert marts.paged_retrieval(*args, limit=5, offset=9).count() == 0
+    rows = marts.retrieval_rows(small.fact, small.dim_time, small.dim_location, small.dim_level)
+    everything = rows.orderBy(*marts.retrieval_order()).collect()
+    ordered = ordering.store_ordered(rows, marts.retrieval_order(), "pages")
+    assert len(everything) == 4 == ordered.total().first()["total"]
+    assert [ordered.page(1, i).first() for i in range(4)] == everything
+    assert ordered.page(5, 9).count() == 0 and ordered.page(100).collect() == everything
+
+
+def test_a_page_reads_only_its_files(spark):
+    rows = spark.range(100_000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("k"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ordered = ordering.store_ordered(rows, ["k", "id"], "pages")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert ordered.files.count() > 3
+    everything = [r.id for r in rows.orderBy("k", "id").collect()]
+    for offset in (0, 33_333, 99_950):
+        page = ordered.page(100, offset)
+        assert len(page.inputFiles()) <= 2
+        assert [r.id for r in page.collect()] == everything[offset : offset + 100]
 
 
 def test_guards(spark, small):
