@@ -8,10 +8,11 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cubegraph.operators.ordering import enumerate_rows, hash_ranks, top
+from cubegraph.operators.ordering import enumerate_rows, hash_ranks, running_totals, top
 from cubegraph.session import materialise_table, sized
 
 EPS = 1e-9
@@ -95,10 +96,14 @@ def atypical_panel(
     return top(shown, [F.desc("score"), "alcaldia", "colonia"], n), summary
 
 
+def _whole_digest(*parts: Column) -> Column:
+    """Whole number below 2**32 from the digest of its parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long")
+
+
 def _uniform(*parts: Column) -> Column:
     """Number in [0, 1) from the digest of its parts."""
-    digits = F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8)
-    return F.conv(digits, 16, 10).cast("double") / F.lit(float(2**32))
+    return _whole_digest(*parts).cast("double") / F.lit(float(2**32))
 
 
 def choose_anomalies(
@@ -210,122 +215,88 @@ def lof(df: DataFrame, column: str, k: int = 20, by: Sequence[str] = (), bucket:
 
 # ---------------------------------------------------------------- isolation forest
 
+#: Path lengths are kept at so many places, so that sums of them do not depend on their order.
+PATH = "decimal(18,9)"
 
-def _average_path(n: int) -> float:
+
+def _average_path(n: Column) -> Column:
     """Mean depth of an unsuccessful search among ``n`` points."""
-    if n <= 1:
-        return 0.0
-    if n == 2:
-        return 1.0
-    return 2.0 * (math.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
+    many = 2.0 * (F.log(n - 1.0) + F.lit(float(np.euler_gamma))) - 2.0 * (n - 1.0) / n
+    return F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(many)
+
+
+def _draws(sizes: DataFrame, by: Sequence[str], n_trees: int, sample: int, seed: int) -> DataFrame:
+    """(keys, _tree, _rank): the ranks each tree draws, one at a digest's place in each of ``sample`` even stretches.
+
+    Ranks follow digests themselves, so a stretch is a random part of the points, and no rank is drawn twice.
+    """
+    trees = sizes.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+    slots = trees.withColumn("_m", F.least(F.lit(sample), F.col("_n"))).withColumn(
+        "_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1))
+    )
+    low, high = F.expr("_slot * _n div _m"), F.expr("(_slot + 1) * _n div _m")
+    place = _whole_digest(F.lit(seed), *[F.col(b) for b in by], F.col("_tree"), F.lit("slot"), F.col("_slot"))
+    return slots.select(*by, "_tree", "_m", (low + F.pmod(place, high - low) + 1).alias("_rank"))
 
 
-def _grow(values: np.ndarray, rng: np.random.Generator) -> list[tuple[float, float]]:
-    """Leaves of a random tree over sorted values as (lower bound, path length).
+def grown_leaves(drawn: DataFrame, by: Sequence[str], sample: int, seed: int) -> DataFrame:
+    """(keys, _tree, _low, _path): the leaves of all trees, grown level by level from the rows (keys, _tree, _m, _x).
 
-    A leaf covers values above its bound, up to and including the next bound.
+    A node is numbered as in a heap; on every level each node that is not pure is cut at a digest's place between its least
+    and greatest value. All levels partition by the tree, so the rows are exchanged once. A leaf covers the values above
+    ``_low``, the last cut it lies above.
     """
-    deepest = math.ceil(math.log2(max(len(values), 2)))
-    leaves, stack = [], [(values, 0, -math.inf)]
-    while stack:
-        part, depth, low = stack.pop()
-        if len(part) <= 1 or depth >= deepest or part[0] == part[-1]:
-            leaves.append((low, depth + _average_path(len(part))))
-            continue
-        cut = rng.uniform(part[0], part[-1])
-        split = int(np.searchsorted(part, cut, side="right"))
-        if split == len(part):  # the draw rounded up to the maximum
-            cut, split = part[0], int(np.searchsorted(part, part[0], side="right"))
-        stack.append((part[split:], depth + 1, cut))
-        stack.append((part[:split], depth + 1, low))
-    return sorted(leaves)
+    node = W.partitionBy(*by, "_tree", "_node")
+    rows = drawn.withColumn("_node", F.lit(1).cast("long")).withColumn("_low", F.lit(-math.inf))
+    rows = rows.repartition(*by, "_tree")
+    deepest = F.length(F.bin(F.greatest(F.col("_m"), F.lit(2)) - 1))
+    for depth in range((max(sample, 2) - 1).bit_length()):
+        u = _uniform(F.lit(seed), *[F.col(b) for b in by], F.col("_tree"), F.lit("cut"), F.col("_node"))
+        least, most = F.min("_x").over(node), F.max("_x").over(node)
+        measured = rows.withColumns({"_least": least, "_most": most})
+        drawn_cut = F.col("_least") + u * (F.col("_most") - F.col("_least"))
+        cut = F.when(drawn_cut >= F.col("_most"), F.col("_least")).otherwise(drawn_cut)
+        # A node of one value stays as it is; so does one that an earlier level left.
+        splits = (F.col("_least") < F.col("_most")) & (deepest > depth)
+        above = F.col("_x") > F.col("_cut")
+        rows = measured.withColumn("_cut", F.when(splits, cut)).select(
+            *by, "_tree", "_m", "_x",
+            F.when(F.col("_cut").isNull(), F.col("_node")).otherwise(2 * F.col("_node") + above.cast("long")).alias("_node"),
+            F.when(F.col("_cut").isNotNull() & above, F.col("_cut")).otherwise(F.col("_low")).alias("_low"),
+        )
+    leaves = rows.groupBy(*by, "_tree", "_node").agg(F.first("_low").alias("_low"), F.count("*").alias("_size"))
+    depth = F.length(F.bin("_node")) - 1
+    return leaves.select(*by, "_tree", "_low", (depth + F.round(_average_path(F.col("_size")), 9)).cast(PATH).alias("_path"))
 
 
 def isolation_scores(
-    df: DataFrame,
-    column: str,
-    unit: str,
-    by: Sequence[str],
-    n_trees: int = 300,
-    sample: int = 256,
-    seed: int = 0,
-    chunk: int = 500_000,
+    df: DataFrame, column: str, unit: str, by: Sequence[str], n_trees: int = 300, sample: int = 256, seed: int = 0
 ) -> DataFrame:
     """Isolation-forest score of each unit on one dimension, per key ``by``.
 
-    Trees draw ``sample`` rows each by position in a hash order and grow in
-    parallel. On one dimension a tree is a step function, so a forest is one
-    too, of at most ``n_trees · sample`` steps; points look their step up in
-    chunks that never hold one whole key.
+    Trees draw ``sample`` units each by their ranks in a digest's order and grow as relations, all at once. On one
+    dimension a tree is a step function, so a forest is one too; its steps and the points are
+    put in one order, where a point's depth is the running total of the steps below it. Points without a value are left out.
     """
     by = list(by)
     digest = F.md5(F.concat_ws(":", F.lit(seed), *by, unit))
-    points = df.select(*by, unit, F.col(column).cast("double").alias("_x"), digest.alias("_d"))
+    points = df.select(*by, unit, F.col(column).cast("double").alias("_x"), digest.alias("_d")).filter(F.col("_x").isNotNull())
     # Stored, as the draws and the scores both read the ranks.
-    ranked = materialise_table(
-        hash_ranks(points, by, "_d", "_rank", tie=[unit]).drop("_d"), "forest-points"
-    )
+    ranked = materialise_table(hash_ranks(points, by, "_d", "_rank", tie=[unit]).drop("_d"), "forest-points")
     sizes = sized(ranked.groupBy(*by).agg(F.count("*").alias("_n")), "forest-keys")
-    keys = [f for f in sizes.schema.fields if f.name in by]
-    tree = T.StructField("_tree", T.IntegerType())
-
-    def draw(frames):
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                n, t = int(row[-2]), int(row[-1])
-                rng = np.random.default_rng([seed, t, n])
-                picks = rng.choice(n, size=min(sample, n), replace=False) + 1
-                out = pd.DataFrame({"_tree": t, "_rank": picks})
-                for name, value in zip(by, row):
-                    out[name] = value
-                yield out[[*by, "_tree", "_rank"]]
-
-    trees = sizes.withColumn("_tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
-    drawn = T.StructType([*keys, tree, T.StructField("_rank", T.LongType())])
-    draws = sized(trees.mapInPandas(draw, drawn), "forest-draws")
-    grown = T.StructType(
-        [*keys, T.StructField("_low", T.DoubleType()), T.StructField("_step", T.DoubleType())]
-    )
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.sort(pdf["_x"].to_numpy())
-        leaves = _grow(values, np.random.default_rng([seed, int(pdf["_tree"].iloc[0]), 1]))
-        low = [b for b, _ in leaves]
-        steps = np.diff([0.0, *[p for _, p in leaves]])
-        out = pd.DataFrame({"_low": low, "_step": steps})
-        for name in by:
-            out[name] = pdf[name].iloc[0]
-        return out[[*by, "_low", "_step"]]
-
+    drawn = _draws(sizes, by, n_trees, sample, seed).join(ranked.select(*by, "_rank", "_x"), [*by, "_rank"]).drop("_rank")
+    leaves = grown_leaves(drawn, by, sample, seed)
+    before = F.lag("_path").over(W.partitionBy(*by, "_tree").orderBy("_low"))
     steps = (
-        draws.join(ranked, [*by, "_rank"])
-        .select(*by, "_tree", "_x")
-        .groupBy(*by, "_tree")
-        .applyInPandas(grow, grown)
-        .groupBy(*by, "_low")
+        leaves.select(*by, "_low", (F.col("_path") - F.coalesce(before, F.lit(0).cast(PATH))).alias("_step"))
+        .groupBy(*by, F.col("_low").alias("_x"))
         .agg(F.sum("_step").alias("_step"))
     )
-    chunks = sizes.withColumn("_chunks", F.ceil(F.col("_n") / F.lit(chunk)).cast("long"))
-    spread_steps = steps.join(chunks, by).withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))
-    )
-    parts = chunks.select(*by, F.col("_n").alias("_size"), F.col("_chunks").alias("_parts"))
-    spread_points = ranked.join(parts, by).withColumn("_chunk", F.pmod("_rank", F.col("_parts")))
-
-    def score(point: pd.DataFrame, step: pd.DataFrame) -> pd.DataFrame:
-        step = step.sort_values("_low")
-        total = step["_step"].to_numpy().cumsum()
-        at = np.searchsorted(step["_low"].to_numpy(), point["_x"].to_numpy(), side="left") - 1
-        depth = total[np.clip(at, 0, None)] / n_trees
-        size = min(sample, int(point["_size"].iloc[0]))
-        out = point[[*by, unit]].copy()
-        out["score"] = 2.0 ** (-depth / max(_average_path(size), 1e-12))
-        return out
-
-    unit_field = next(f for f in points.schema.fields if f.name == unit)
-    scored = T.StructType([*keys, unit_field, T.StructField("score", T.DoubleType())])
-    return (
-        spread_points.groupBy(*by, "_chunk")
-        .cogroup(spread_steps.groupBy(*by, "_chunk"))
-        .applyInPandas(score, scored)
+    # A step counts for the points above it: at one value points come first.
+    events = ranked.select(*by, unit, "_x", F.lit(0).alias("_kind"), F.lit(0).cast("decimal(28,9)").alias("_step")).unionByName(
+        steps.select(*by, F.lit(None).cast(ranked.schema[unit].dataType).alias(unit), "_x", F.lit(1).alias("_kind"), "_step")
     )
+    depths = running_totals(events, by, ["_x", "_kind", unit], {"_depth": "_step"}).filter("_kind = 0")
+    expected = F.greatest(_average_path(F.least(F.lit(sample), F.col("_n")).cast("double")), F.lit(1e-12))
+    mean = F.col("_depth").cast("double") / F.lit(float(n_trees))
+    return depths.join(sizes, by).select(*by, unit, F.pow(F.lit(2.0), -mean / expected).alias("score"))

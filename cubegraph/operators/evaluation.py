@@ -162,7 +162,8 @@ def sweep_scores(
     """Scores of every unit per seed and method, with the injected label.
 
     Seeds and methods are key columns: one job serves them all. The standardised
-    totals are stored once, as each method reads them.
+    totals are stored once, as each method reads them. They are rounded at six places, and the scores of the
+    forest and the outlier factor at nine, so that the order in which totals were summed shows nowhere.
     """
     shaken = inject_anomalies(panel, rate=rate, spike_share=spike_share, seeds=seeds)
     labelled = atypicality(
@@ -170,7 +171,7 @@ def sweep_scores(
     )
     base = materialise_table(
         with_signed_score(labelled).select(
-            "seed", "unit_id", F.col("is_anomaly").cast("int").alias("label"), "score", "z"
+            "seed", "unit_id", F.col("is_anomaly").cast("int").alias("label"), "score", F.round("z", 6).alias("z")
         ),
         "standardised",
     )
@@ -181,13 +182,13 @@ def sweep_scores(
         forest = isolation_scores(base, "z", "unit_id", ["seed"], n_trees=n_trees)
         parts.append(
             forest.join(base.select("seed", "unit_id", "label"), ["seed", "unit_id"]).select(
-                "seed", F.lit(FOREST).alias("method"), "unit_id", "score", "label"
+                "seed", F.lit(FOREST).alias("method"), "unit_id", F.round("score", 9).alias("score"), "label"
             )
         )
     if LOCAL in methods:
         parts.append(
             lof(base.drop("score"), "z", k, by=["seed"]).select(
-                "seed", F.lit(LOCAL).alias("method"), "unit_id", F.col("lof").alias("score"), "label"
+                "seed", F.lit(LOCAL).alias("method"), "unit_id", F.round("lof", 9).alias("score"), "label"
             )
         )
     out = parts[0]

@@ -118,12 +118,74 @@ medidas AS (
     COALESCE(CAST(2 * tp AS DOUBLE) / NULLIF(CAST(alerts + p AS DOUBLE), 0), 0.0) AS f1, roc_auc, pr_auc
   FROM avisos JOIN areas USING (clave))"""
 
-_SWEPT = f"""WITH {_INJECTED},
+def _average_path(n: str) -> str:
+    """Mean depth of an unsuccessful search among n points."""
+    return f"CASE WHEN {n} <= 1 THEN 0e0 WHEN {n} = 2 THEN 1e0 ELSE 2e0 * (ln({n} - 1e0) + 0.5772156649015329e0) - 2e0 * ({n} - 1e0) / {n} END"
+
+
+def _low_bits(text: str) -> str:
+    """Whole number below 2**32 from a text's digest."""
+    return f"CAST('0x' || SUBSTR(md5({text}), 1, 8) AS BIGINT)"
+
+
+def _forest(points: str, trees: int = 300, sample: int = 256) -> str:
+    """CTEs up to ``bosque`` (clave, unidad, score): a forest grown level by level over ``points`` (clave, unidad, x)."""
+    slot, cut = _low_bits("'0:' || clave || ':' || t || ':slot:' || j"), _low_bits("'0:' || clave || ':' || t || ':cut:' || nodo")
+    levels = "".join(f"""
+nivel{d + 1} AS MATERIALIZED (SELECT clave, t, m, x, CASE WHEN c IS NULL THEN nodo ELSE 2 * nodo + CAST(x > c AS BIGINT) END AS nodo,
+    CASE WHEN c IS NOT NULL AND x > c THEN c ELSE bajo END AS bajo
+  FROM nivel{d} JOIN (SELECT clave, t, nodo, CASE WHEN a < b AND length(bin(GREATEST(m, 2) - 1)) > {d} THEN CASE WHEN w >= b THEN a ELSE w END END AS c
+    FROM (SELECT *, a + CAST({cut} AS DOUBLE) / 4294967296e0 * (b - a) AS w
+      FROM (SELECT clave, t, nodo, MAX(m) AS m, MIN(x) AS a, MAX(x) AS b FROM nivel{d} GROUP BY clave, t, nodo))) USING (clave, t, nodo)),"""
+        for d in range((sample - 1).bit_length()))
+    return f"""
+orden AS MATERIALIZED (SELECT clave, unidad, x, COUNT(*) OVER (PARTITION BY clave) AS n,
+    row_number() OVER (PARTITION BY clave ORDER BY md5('0:' || clave || ':' || unidad), unidad) AS r FROM {points}),
+tallas AS (SELECT clave, MAX(n) AS n, LEAST({sample}, MAX(n)) AS m FROM orden GROUP BY clave),
+nivel0 AS MATERIALIZED (SELECT clave, t, m, x, CAST(1 AS BIGINT) AS nodo, CAST('-inf' AS DOUBLE) AS bajo
+  FROM (SELECT clave, t, m, (j * n) // m + {slot} % (((j + 1) * n) // m - (j * n) // m) + 1 AS r
+    FROM tallas, (SELECT UNNEST(range({trees})) AS t), (SELECT UNNEST(range({sample})) AS j) WHERE j < m) JOIN orden USING (clave, r)),{levels}
+hojas AS (SELECT clave, t, bajo, CAST(length(bin(nodo)) - 1 + ROUND({_average_path("k")}, 9) AS DECIMAL(18,9)) AS camino
+  FROM (SELECT clave, t, nodo, MIN(bajo) AS bajo, COUNT(*) AS k FROM nivel{(sample - 1).bit_length()} GROUP BY clave, t, nodo)),
+escalera AS MATERIALIZED (SELECT clave, bajo, SUM(paso) OVER (PARTITION BY clave ORDER BY bajo) AS hondo
+  FROM (SELECT clave, bajo, SUM(paso) AS paso FROM (SELECT clave, bajo, camino - COALESCE(LAG(camino) OVER (PARTITION BY clave, t ORDER BY bajo), 0) AS paso FROM hojas)
+    GROUP BY clave, bajo)),
+bosque AS MATERIALIZED (SELECT o.clave, o.unidad, POW(2e0, -(CAST(e.hondo AS DOUBLE) / {trees}e0) / GREATEST({_average_path("m")}, 1e-12)) AS score
+  FROM orden o ASOF JOIN escalera e ON o.clave = e.clave AND o.x > e.bajo JOIN tallas g ON g.clave = o.clave)"""
+
+
+def _outliers(points: str, k: int = 20) -> str:
+    """CTEs up to ``factores`` (clave, unidad, score): the k nearest of a value are among the k before and the k after it."""
+    return f"""
+fila AS MATERIALIZED (SELECT clave, unidad, x, row_number() OVER (PARTITION BY clave ORDER BY x, unidad) AS pos FROM {points}),
+cerca AS MATERIALIZED (SELECT * FROM (
+  SELECT a.clave, a.unidad, b.unidad AS otra, ABS(b.x - a.x) AS d, row_number() OVER (PARTITION BY a.clave, a.unidad ORDER BY ABS(b.x - a.x), b.x, b.unidad) AS r
+  FROM (SELECT *, UNNEST(range(-{k}, {k + 1})) AS salto FROM fila) a JOIN fila b ON a.clave = b.clave AND b.pos = a.pos + a.salto AND a.salto <> 0) WHERE r <= {k}),
+alcance AS (SELECT clave, unidad, MAX(d) AS kd FROM cerca GROUP BY clave, unidad),
+densidad AS MATERIALIZED (SELECT c.clave, c.unidad, 1e0 / (SUM(GREATEST(a.kd, c.d)) / {k} + 1e-10) AS lrd
+  FROM cerca c JOIN alcance a ON a.clave = c.clave AND a.unidad = c.otra GROUP BY c.clave, c.unidad),
+factores AS MATERIALIZED (SELECT c.clave, c.unidad, SUM(o.lrd) / {k} / MAX(l.lrd) AS score
+  FROM cerca c JOIN densidad o ON o.clave = c.clave AND o.unidad = c.otra JOIN densidad l ON l.clave = c.clave AND l.unidad = c.unidad GROUP BY c.clave, c.unidad)"""
+
+
+_STANDARD = f"""WITH {_INJECTED},
 agitado AS (SELECT e.seed, p.alcaldia, p.unit_id, e.is_anomaly, SUM(CAST(p.consumo AS DOUBLE) * e.factor) AS total
   FROM panel p JOIN etiquetas e USING (unit_id) GROUP BY e.seed, p.alcaldia, p.unit_id, e.is_anomaly),
-puntos AS MATERIALIZED (SELECT seed AS clave, unit_id AS unidad, ABS(total - mu) / (sigma + 1e-9) AS score, CAST(is_anomaly AS INT) AS label
-  FROM agitado JOIN (SELECT seed, alcaldia, AVG(total) AS mu, STDDEV_POP(total) AS sigma FROM agitado GROUP BY seed, alcaldia) USING (seed, alcaldia)),
+normal AS MATERIALIZED (SELECT seed AS clave, unit_id AS unidad, (total - mu) / (sigma + 1e-9) AS z, CAST(is_anomaly AS INT) AS label
+  FROM agitado JOIN (SELECT seed, alcaldia, AVG(total) AS mu, STDDEV_POP(total) AS sigma FROM agitado GROUP BY seed, alcaldia) USING (seed, alcaldia))"""
+
+_SWEPT = f"""{_STANDARD},
+puntos AS MATERIALIZED (SELECT clave, unidad, ABS(z) AS score, label FROM normal),
+{_METRICS}"""
+
+_SWEPT_ALL = f"""{_STANDARD},
+valores AS MATERIALIZED (SELECT clave, unidad, ROUND(z, 6) AS x FROM normal),{_forest("valores")},{_outliers("valores")},
+puntos AS MATERIALIZED (
+  SELECT clave || ':{evaluation.DEPLOYED}' AS clave, unidad, ABS(z) AS score, label FROM normal
+  UNION ALL SELECT clave || ':{evaluation.FOREST}', unidad, ROUND(score, 9), label FROM bosque JOIN normal USING (clave, unidad)
+  UNION ALL SELECT clave || ':{evaluation.LOCAL}', unidad, ROUND(score, 9), label FROM factores JOIN normal USING (clave, unidad)),
 {_METRICS}"""
+_SEED, _METHOD = "CAST(split_part(clave, ':', 1) AS INTEGER) AS seed", "split_part(clave, ':', 2) AS method"
 
 
 @query(_SWEPT + """
@@ -148,28 +210,30 @@ def _rounded(df):
     return df.withColumns({m: F.round(m, 6) for m in evaluation.METRICS})
 
 
-@query()
+@query(_SWEPT_ALL + f"""
+SELECT {_SEED}, {_METHOD}, alerts, ROUND(precision, 6) AS precision, ROUND(recall, 6) AS recall, ROUND(f1, 6) AS f1,
+  ROUND(roc_auc, 6) AS roc_auc, ROUND(pr_auc, 6) AS pr_auc FROM medidas""")
 def sweep_metrics(c):
-    """All three methods over all seeds; hash-drawn trees have no SQL counterpart."""
+    """All three methods over all seeds."""
     return _rounded(evaluation.sweep(_panel(c), SEEDS))
 
 
-@query(_SWEPT + f"""
-SELECT clave AS seed, '{evaluation.DEPLOYED}' AS method, CAST(MAX(orden) OVER (PARTITION BY clave) - orden AS BIGINT) AS point,
+@query(_SWEPT_ALL + f"""
+SELECT {_SEED}, {_METHOD}, CAST(MAX(orden) OVER (PARTITION BY clave) - orden AS BIGINT) AS point,
   ROUND(CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE), 9) AS precision, ROUND(CAST(tp AS DOUBLE) / CAST(p AS DOUBLE), 9) AS recall, ROUND(score, 6) AS threshold FROM curva
-UNION ALL SELECT clave, '{evaluation.DEPLOYED}', CAST(MAX(orden) AS BIGINT), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(NULL AS DOUBLE) FROM curva GROUP BY clave""")
+UNION ALL SELECT {_SEED}, {_METHOD}, CAST(MAX(orden) AS BIGINT), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(NULL AS DOUBLE) FROM curva GROUP BY clave""")
 def sweep_curves(c):
-    """Precision and recall at every threshold, per seed of the deployed ranking."""
-    scores = evaluation.sweep_scores(_panel(c), SEEDS, methods=[evaluation.DEPLOYED])
-    curves = evaluation.pr_curve(scores, ["seed", "method"])
+    """Precision and recall at every threshold, per seed and method."""
+    curves = evaluation.pr_curve(evaluation.sweep_scores(_panel(c), SEEDS), ["seed", "method"])
     return curves.select(
         "seed", "method", "point", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round("threshold", 6).alias("threshold")
     )
 
 
-@query()
+@query(f"""WITH valores AS MATERIALIZED (SELECT 42 AS clave, alcaldia || '|' || colonia AS unidad, ROUND(z, 6) AS x FROM totales),{_forest("valores")}
+SELECT unidad, ROUND(score, 6) AS score FROM bosque""")
 def isolation_scores(c):
-    scores = _scores(c).select(F.lit(42).alias("seed"), "alcaldia", "colonia", "z")
+    scores = _scores(c).select(F.lit(42).alias("seed"), "alcaldia", "colonia", F.round("z", 6).alias("z"))
     named = scores.withColumn("unidad", F.concat_ws("|", "alcaldia", "colonia"))
     return anomaly.isolation_scores(named, "z", "unidad", ["seed"]).select(
         "unidad", F.round("score", 6).alias("score")

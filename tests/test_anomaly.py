@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import hashlib
 import random
 import statistics
 from collections import defaultdict
@@ -97,13 +98,13 @@ def test_isolation_ranks_outliers_first(spark):
     rng = random.Random(5)
     values = [rng.gauss(0, 1) for _ in range(600)] + [12.0, -11.0, 15.0]
     df = spark.createDataFrame([(42, i, v) for i, v in enumerate(values)], "seed int, i int, v double")
-    scores = {r.i: r.score for r in anomaly.isolation_scores(df, "v", "i", ["seed"], n_trees=100, chunk=50).collect()}
+    scores = {r.i: r.score for r in anomaly.isolation_scores(df, "v", "i", ["seed"], n_trees=100).collect()}
     assert len(scores) == len(values)
     assert sorted(scores, key=scores.get)[-3:] and set(sorted(scores, key=scores.get)[-3:]) == {600, 601, 602}
     assert all(0 < s < 1 for s in scores.values())
     middle = statistics.mean(scores[i] for i in range(600) if abs(values[i]) < 0.5)
     assert 0.35 < middle < 0.5  # typical points score below one half
-    again = {r.i: r.score for r in anomaly.isolation_scores(df.repartition(3), "v", "i", ["seed"], n_trees=100, chunk=700).collect()}
+    again = {r.i: r.score for r in anomaly.isolation_scores(df.repartition(3), "v", "i", ["seed"], n_trees=100).collect()}
     assert again == pytest.approx(scores)
 
 
@@ -113,6 +114,46 @@ def test_a_tree_of_two_points_has_the_known_depth(spark):
     assert [r.score for r in got] == pytest.approx([0.5, 0.5])  # depth 1 of an expected 1
 
 
+def brute_forest(values, n_trees, sample, seed, key):
+    """The same draws and cuts, tree by tree over plain lists."""
+    digest = lambda *p: int(hashlib.md5(":".join(map(str, p)).encode()).hexdigest()[:8], 16)
+    order = sorted(values, key=lambda u: (hashlib.md5(f"{seed}:{key}:{u}".encode()).hexdigest(), u))
+    n = len(order)
+    m = min(sample, n)
+    average = lambda n: 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    total = dict.fromkeys(values, 0.0)
+    for t in range(n_trees):
+        drawn = []
+        for j in range(m):
+            low, high = j * n // m, (j + 1) * n // m
+            drawn.append(values[order[low + digest(seed, key, t, "slot", j) % (high - low)]])
+        leaves, todo = [], [(drawn, 1, 0, -math.inf)]
+        while todo:
+            part, node, depth, low = todo.pop()
+            if min(part) == max(part) or depth == max((max(m, 2) - 1).bit_length(), 0):
+                leaves.append((low, depth + round(average(len(part)), 9)))
+                continue
+            cut = min(part) + digest(seed, key, t, "cut", node) / 2**32 * (max(part) - min(part))
+            cut = min(part) if cut >= max(part) else cut
+            todo.append(([x for x in part if x <= cut], 2 * node, depth + 1, low))
+            todo.append(([x for x in part if x > cut], 2 * node + 1, depth + 1, cut))
+        leaves.sort()
+        for u, x in values.items():
+            total[u] += [p for low, p in leaves if low < x][-1]
+    return {u: 2 ** -(d / n_trees / max(average(m), 1e-12)) for u, d in total.items()}
+
+
+@pytest.mark.parametrize("sample", [256, 16])
+def test_forest_against_trees_of_lists(spark, sample):
+    rng = random.Random(sample)
+    values = {i: round(rng.choice([rng.gauss(0, 1), 0.5, -2.0]), 3) for i in range(90)}
+    rows = [(7, i, v) for i, v in values.items()] + [(8, 0, 1.0), (9, 0, 3.0), (9, 1, 3.0), (7, 1000, None)]
+    df = spark.createDataFrame(rows, "seed int, i int, v double")
+    got = {(r.seed, r.i): r.score for r in anomaly.isolation_scores(df, "v", "i", ["seed"], 12, sample, 3).collect()}
+    expect = {(k, u): s for k, v in ((7, values), (8, {0: 1.0}), (9, {0: 3.0, 1: 3.0})) for u, s in brute_forest(v, 12, sample, 3, k).items()}
+    assert got == pytest.approx(expect, abs=1e-9)
+
+
 def curve(points):
     """Reference curve by walking distinct scores downwards."""
     total = sum(l for _, l in points)
