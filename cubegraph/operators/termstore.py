@@ -21,7 +21,7 @@ NUMERIC = [iri(t) for t in ("xsd:decimal", "xsd:integer", "xsd:gYear")]
 #: What a term is made of; ``form`` is node, text or number.
 TERM = ["form", "text", "datatype", "lang"]
 #: Terms per bucket, and the most buckets of a graph.
-BUCKET_TERMS, MOST_BUCKETS = 200_000, 4096
+BUCKET_TERMS, MOST_BUCKETS = 100_000, 4096
 
 
 def _form(kind: Column, datatype: Column) -> Column:
@@ -179,6 +179,7 @@ def _encoded(triples: DataFrame, moved: DataFrame | None) -> DataFrame:
 
 def store_terms(graph: DataFrame, label: str = "graph") -> StoredGraph:
     """A graph of texts as numbers, stored by predicate and bucketed by subject."""
+    graph = materialise_table(graph, f"{label}-texts")  # texts are made once, for the dictionary and for the triples
     subjects, objects = _subject_and_object(graph)
     terms, moved = numbered_terms(subjects.unionByName(objects).distinct())
     buckets = min(max(-(-terms.count() // BUCKET_TERMS), 1), MOST_BUCKETS)
