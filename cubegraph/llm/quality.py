@@ -158,17 +158,23 @@ def judged(docs: DataFrame) -> DataFrame:
     """
     rules = ordered(estimates(docs))
     text = docs.select("doc_id", text_of(docs).alias("text"))
-    lists = text.select("doc_id", "text", words_of(F.col("text")).alias("words"), lines_of(F.col("text")).alias("lines"))
-    measures = lists.select(
-        "doc_id",
-        "text",
-        F.size("words").cast("long").alias("n_words"),
-        MEASURES["word_chars"](F.col("text")).alias("word_chars"),
-        MEASURES["n_symbols"](F.col("text")).alias("n_symbols"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("words")).alias("n_repeat_words"),
+    # Both lists are bound to the measures made of them: a caller's filter that is pushed down here repeats a
+    # measure, but never splits the text again inside it.
+    of_words = bound(
+        words_of(F.col("text")),
+        lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")),
+    )
+    of_lines = bound(
+        lines_of(F.col("text")),
+        lambda x: F.struct(
+            F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")
+        ),
     )
+    lists = text.select("doc_id", "text", of_words.alias("w"), of_lines.alias("l"))
+    measures = lists.select(
+        "doc_id", "text", "w.*", "l.*",
+        MEASURES["word_chars"](F.col("text")).alias("word_chars"), MEASURES["n_symbols"](F.col("text")).alias("n_symbols"),
+    )
     known = lambda m: F.col(m) if m in measures.columns else MEASURES[m](F.col("text"))
     failed = F.lit(False)
     for rule in BASE_RULES:
