@@ -1,10 +1,11 @@
 """WARC archives as a Spark data source, written and read in Python.
 
 Writing makes one archive per task under a name of its own attempt; the commit lists the archives
-of the attempts that count in a manifest, so what a lost or repeated task left is never read. Every record is
+of the attempts that count in a manifest, so what a lost or repeated task left is never read. Every commit adds a
+manifest of its own, and an overwriting one takes the earlier ones and their archives away. Every record is
 a gzip member whose extra field states its compressed size.
 
-Reading plans partitions from the manifest: a file is cut at record boundaries noted while
+Reading plans partitions from the manifests: a file is cut at record boundaries noted while
 writing (archives without a manifest are one partition each). Predicates on record type and header
 fields are pushed down. A record's headers are inflated first; if the predicates
 refuse it, or payloads are not asked for, the reader seeks past the rest of the member without inflating it.
@@ -60,7 +61,8 @@ FIELDS = {
     "refers_to": "WARC-Refers-To",
     "payload_digest": "WARC-Payload-Digest",
 }
-MANIFEST = "_manifest.json"
+#: Every commit leaves a manifest of its own, so archives written before stay known.
+MANIFEST = "_manifest-{}.json"
 SPLIT_BYTES = 8 << 20
 ROTATE_BYTES = 1 << 30
 HEAD_BYTES = 2048
@@ -126,8 +128,8 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, root = open_fs(self.path)
@@ -159,8 +161,14 @@ class WarcWriter(DataSourceArrowWriter):
         fs, root = open_fs(self.path)
         fs.create_dir(root, recursive=True)
         files = [f for m in messages if m for f in m.files]
-        with fs.open_output_stream(f"{root}/{MANIFEST}", compression=None) as out:
+        before = [f.path for f in manifests(fs, root)] if self.overwrite else []
+        with fs.open_output_stream(f"{root}/{MANIFEST.format(uuid.uuid4().hex)}", compression=None) as out:
             out.write(json.dumps(files).encode())
+        for old in before:
+            names = listed(fs, old)
+            fs.delete_file(old)
+            for name, _, _ in names:
+                fs.delete_file(f"{root}/{name}")
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, root = open_fs(self.path)
@@ -169,6 +177,17 @@ class WarcWriter(DataSourceArrowWriter):
                 fs.delete_file(f"{root}/{name}")
 
 
+def manifests(fs: pafs.FileSystem, root: str) -> list[pafs.FileInfo]:
+    """The manifests of all commits to a folder, in the order of their names."""
+    found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted((f for f in found if re.fullmatch(r"_manifest-\w+\.json", f.base_name)), key=lambda f: f.path)
+
+
+def listed(fs: pafs.FileSystem, manifest: str) -> list[tuple[str, list[int], int]]:
+    with fs.open_input_stream(manifest, compression=None) as f:
+        return json.loads(f.read())
+
+
 class Source:
     """A buffered file that can pass over bytes without reading them."""
 
@@ -334,12 +353,12 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Part]:
         fs, root = open_fs(self.path)
-        if fs.get_file_info(f"{root}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{root}/{MANIFEST}", compression=None) as f:
-                files = json.loads(f.read())
+        known = manifests(fs, root)
+        if known:
             return [
                 Part(name, begin, end)
-                for name, starts, size in files
+                for manifest in known
+                for name, starts, size in listed(fs, manifest.path)
                 for begin, end in zip(starts, [*starts[1:], size])
             ]
         found = fs.get_file_info(pafs.FileSelector(root, recursive=True))
@@ -384,7 +403,7 @@ class WarcDataSource(DataSource):
         return WarcReader(self.options["path"], self.options.get("payloads", "true").lower() == "true")
 
     def writer(self, schema, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def use(spark: SparkSession) -> SparkSession:

@@ -37,6 +37,19 @@ def test_round_trip(spark, tmp_path):
         assert gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1\r\n")
 
 
+def test_appends_add_and_overwrites_replace(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    ids = lambda: sorted(r["record_id"] for r in spark.read.format("warc").option("path", path).load().select("record_id").collect())
+    w.archived(frame(spark, ROWS[3:5]), path)
+    w.archived(frame(spark, ROWS[5:7]), path)
+    assert ids() == [f"urn:page:{i}" for i in (4, 5, 6, 7)]
+    rows = spark.read.format("warc").option("path", path).load().filter("record_id = 'urn:page:4'").cache()
+    rows.count()
+    rows.write.format("warc").option("path", path).mode("overwrite").save()
+    assert ids() == ["urn:page:4"]
+    assert len(list((tmp_path / "archive").glob("_manifest-*.json"))) == 1
+
+
 def test_predicates_skip_records_and_payloads(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "archive")
     w.archived(frame(spark), path)
