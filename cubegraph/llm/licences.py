@@ -94,11 +94,8 @@ def heavy_terms(idf: dict[str, float], least: float = LEAST) -> list[str]:
     return sorted(needed)
 
 
-def own_licences(docs: DataFrame, least: float = LEAST, all_terms: bool = True) -> DataFrame:
-    """(doc_id, place, licence, similarity) of the texts with a similar unit; ``place`` is a hash of the text.
-
-    Unless ``all_terms``, a term of no template weighs as one that no document holds, however common it is.
-    """
+def own_licences(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """(doc_id, place, licence, similarity) of the texts with a similar unit; ``place`` is a hash of the text."""
     spark = docs.sparkSession
     total, idf = rarity(docs)
     pattern = "(?i)(?<![A-Za-z0-9])(" + "|".join(heavy_terms(idf, least)) + ")(?![A-Za-z0-9])"
@@ -115,16 +112,9 @@ def own_licences(docs: DataFrame, least: float = LEAST, all_terms: bool = True)
     templates = spark.createDataFrame(template_terms(), "template int, licence string, term string, t_times int").join(F.broadcast(rare), "term").select(
         "template", "licence", "term", (F.col("t_times") * F.col("idf")).alias("t_weight")
     )
-    unseen = math.log(1 + total) + 1
-    if all_terms:
-        weighted = store(weighted, "licence-terms")
-        known = store(term_rarity(docs, weighted.select("term").distinct(), total), "licence-rarity")
-    else:
-        known = F.broadcast(rare)
-    weighted = weighted.join(known, "term", "left").select(
-        "key", "term", (F.col("times") * F.coalesce("idf", F.lit(unseen))).alias("weight")
-    )
-    weighted = store(weighted, "licence-weights")
+    weighted = store(weighted, "licence-terms")
+    known = store(term_rarity(docs, weighted.select("term").distinct(), total), "licence-rarity")
+    weighted = store(weighted.join(known, "term").select("key", "term", (F.col("times") * F.col("idf")).alias("weight")), "licence-weights")
     norms = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     t_norms = templates.groupBy("template").agg(F.sqrt(F.sum(F.col("t_weight") * F.col("t_weight"))).alias("t_norm"))
     dots = weighted.join(F.broadcast(templates), "term").groupBy("key", "template", "licence").agg(
@@ -156,15 +146,15 @@ def ancestors(directory: Column) -> Column:
     )
 
 
-def licensed(docs: DataFrame, least: float = LEAST, all_terms: bool = True) -> DataFrame:
+def licensed(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """doc_id, path, licence, similarity, origin, licence_doc of documents (doc_id, text, path).
 
     ``origin`` is "own" where a unit of the text matches, "directory" where the nearest ancestor directory with a licence file gives
     its licence (``licence_doc`` is that file's doc_id), else null. Of several licence files in a directory, the first by path, then
     by doc_id speaks. A null or empty text has no licence of its own; a null path inherits nothing. Repeated
-    rows give repeated results, an empty table an empty result. Only doc_id, text and path are read. ``all_terms`` is that of ``own_licences``.
+    rows give repeated results, an empty table an empty result. Only doc_id, text and path are read.
     """
-    own = own_licences(docs, least, all_terms)
+    own = own_licences(docs, least)
     rows = docs.select("doc_id", F.xxhash64(text_of(docs)).alias("place"), "path")
     found = store(join_on(rows, own, ["doc_id", "place"], "left").withColumn("directory", parent(F.col("path"))), "licence-rows")
     files = found.filter(F.col("licence").isNotNull() & F.col("path").rlike(LICENCE_FILE)).groupBy(F.col("directory").alias("above")).agg(
@@ -203,8 +193,8 @@ WITH p AS MATERIALIZED (SELECT doc_id, COALESCE(text, '') AS t, CASE WHEN doc_id
 tt(template, licence, term, times) AS (VALUES {rows}),
 u AS MATERIALIZED (SELECT doc_id, k, UNNEST(regexp_split_to_array(lower(unit), '[^a-z0-9]+')) AS term
   FROM (SELECT doc_id, unit, row_number() OVER () AS k FROM (SELECT doc_id, UNNEST(regexp_split_to_array(t, '\n|[.!?;]+[ \t]+')) AS unit FROM p))),
-f AS MATERIALIZED (SELECT term, ln((1 + (SELECT COUNT(*) FROM p)) / (1 + COUNT(DISTINCT doc_id))) + 1 AS idf FROM (SELECT DISTINCT term FROM tt) LEFT JOIN u USING (term) GROUP BY term),
-w AS MATERIALIZED (SELECT doc_id, k, term, COUNT(*) * COALESCE(MAX(idf), ln(1 + (SELECT COUNT(*) FROM p)) + 1) AS weight FROM u LEFT JOIN f USING (term) WHERE term <> '' GROUP BY doc_id, k, term),
+f AS MATERIALIZED (SELECT term, ln((1 + (SELECT COUNT(*) FROM p)) / (1 + COUNT(DISTINCT doc_id))) + 1 AS idf FROM (SELECT term FROM tt UNION SELECT term FROM u) LEFT JOIN u USING (term) GROUP BY term),
+w AS MATERIALIZED (SELECT doc_id, k, term, COUNT(*) * MAX(idf) AS weight FROM u JOIN f USING (term) WHERE term <> '' GROUP BY doc_id, k, term),
 n AS MATERIALIZED (SELECT k, SQRT(SUM(weight * weight)) AS norm FROM w GROUP BY k),
 tw AS MATERIALIZED (SELECT template, licence, term, times * idf AS weight FROM tt JOIN f USING (term)),
 tn AS (SELECT template, SQRT(SUM(weight * weight)) AS norm FROM tw GROUP BY template),
@@ -221,4 +211,4 @@ FROM p LEFT JOIN o USING (doc_id) LEFT JOIN l l1 ON l1.above = p.dir LEFT JOIN l
 
 @register(_sql())
 def op6_licence_scan(spark, sf_dir):
-    return licensed(with_paths(read(spark, sf_dir, "documents")), all_terms=False)  # the weights that its SQL states
+    return licensed(with_paths(read(spark, sf_dir, "documents")))
