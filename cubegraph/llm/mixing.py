@@ -20,6 +20,7 @@ from cubegraph.llm.base import join_on, read, register, store, text_of
 MARGINS = ("source", "lang", "topic")
 ROUNDS = 12
 SHARE = 0.5
+NEARLY = 1e-9
 WORD = r"[^\x20\x09-\x0D]+"
 DRAW_BITS = 32
 
@@ -88,8 +89,9 @@ def raking_ratio(share: Column, bounded: bool) -> Column:
     """What scales a category to its ``share``; where cells keep at most their mass, those that do are left out."""
     if not bounded:
         return share / F.sum("fitted")
-    full = F.coalesce(F.sum(F.when(F.col("fitted") >= F.col("mass"), F.col("mass"))), F.lit(0.0))
-    rest = F.coalesce(F.sum(F.when(F.col("fitted") < F.col("mass"), F.col("fitted"))), F.lit(0.0))
+    is_full = F.col("fitted") >= F.col("mass") * (1 - NEARLY)  # a cell filled up to rounding is full
+    full = F.coalesce(F.sum(F.when(is_full, F.col("mass"))), F.lit(0.0))
+    rest = F.coalesce(F.sum(F.when(~is_full, F.col("fitted"))), F.lit(0.0))
     return F.when((share > full) & (rest > 0), (share - full) / rest).otherwise(share / (full + rest))
 
 
@@ -209,25 +211,37 @@ def _sql() -> str:
         steps.append(
             f"t_{m} AS MATERIALIZED (SELECT {m}, r * SQRT(r) / SUM(r * SQRT(r)) OVER () AS share FROM (SELECT {m}, SQRT(SUM(mass)) AS r FROM c GROUP BY {m}))"
         )
+    steps.append(f"b AS MATERIALIZED (SELECT {SHARE} * SUM(mass) AS budget FROM c)")
+    for m in MARGINS:
+        # The k for which the least of room and k * share adds up to the budget: categories fill up in the order of room / share.
+        steps.append(f"""r_{m} AS MATERIALIZED (SELECT {m}, room, share, COALESCE(SUM(room) OVER (ORDER BY room / share, {m} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+    SUM(share) OVER (ORDER BY room / share DESC, {m} DESC) AS open_from FROM (SELECT x.{m}, room, share FROM (SELECT {m}, SUM(mass) AS room FROM c GROUP BY {m}) x JOIN t_{m} t ON x.{m} IS NOT DISTINCT FROM t.{m})),
+k_{m} AS MATERIALIZED (SELECT MAX((budget - full_before) / open_from) AS k FROM r_{m}, b),
+s_{m} AS MATERIALIZED (SELECT {m}, LEAST(room, share * k) AS share FROM r_{m}, k_{m})""")
     steps.append("w0 AS MATERIALIZED (SELECT *, mass AS fitted FROM c)")
     n = 0
     for _ in range(ROUNDS):
         for m in MARGINS:
             steps.append(
-                f"w{n + 1} AS MATERIALIZED (SELECT w.* REPLACE (fitted * share / SUM(fitted) OVER (PARTITION BY w.{m}) AS fitted)"
-                f" FROM w{n} w JOIN t_{m} t ON w.{m} IS NOT DISTINCT FROM t.{m})"
+                f"w{n + 1} AS MATERIALIZED (SELECT source, lang, topic, mass, fitted * CASE WHEN share > f AND r > 0 THEN (share - f) / r ELSE share / (f + r) END AS fitted"
+                f" FROM (SELECT w.*, share, COALESCE(SUM(CASE WHEN fitted >= mass * (1 - {NEARLY}) THEN mass END) OVER (PARTITION BY w.{m}), 0) AS f,"
+                f" COALESCE(SUM(CASE WHEN fitted < mass * (1 - {NEARLY}) THEN fitted END) OVER (PARTITION BY w.{m}), 0) AS r"
+                f" FROM w{n} w JOIN s_{m} t ON w.{m} IS NOT DISTINCT FROM t.{m}))"
             )
             n += 1
+    steps.append(f"""rw AS MATERIALIZED (SELECT *, COALESCE(SUM(mass) OVER (ORDER BY mass / fitted, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_before,
+    SUM(fitted) OVER (ORDER BY mass / fitted DESC, source DESC, lang DESC, topic DESC) AS open_from FROM w{n}),
+kw AS MATERIALIZED (SELECT MAX((budget - full_before) / open_from) AS k FROM rw, b),
+pr AS MATERIALIZED (SELECT source, lang, topic, mass, LEAST(1, fitted * k / mass) AS probability FROM w{n}, kw)""")
     return (
-        "WITH " + ",\n".join(steps) + f"""
-SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, weight, probability,
-  CAST(('0x' || substr(md5(COALESCE(CAST(d.doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) / 4294967296.0 < probability AS sampled
-FROM d JOIN (SELECT source, lang, topic, ROUND(fitted / mass * (SELECT SUM(mass) FROM c), 6) AS weight,
-    ROUND(fitted / mass / (SELECT MAX(fitted / mass) FROM w{n}), 9) AS probability FROM w{n}) p
+        "WITH " + ",\n".join(steps) + """
+SELECT d.doc_id, d.source, d.lang, d.topic, d.n_tokens, weight, ROUND(p.probability, 9) AS probability,
+  CAST(('0x' || substr(md5(COALESCE(CAST(d.doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) / 4294967296.0 < ROUND(p.probability, 9) AS sampled
+FROM d JOIN (SELECT source, lang, topic, probability, ROUND(probability / (SELECT SUM(mass * probability) FROM pr) * (SELECT SUM(mass) FROM c), 6) AS weight FROM pr) p
   ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic = p.topic"""
     )
 
 
 @register(_sql())
 def op9_mixing_weights(spark, sf_dir):
-    return mixed(read(spark, sf_dir, "documents"), share=None)  # the scale that its SQL states
+    return mixed(read(spark, sf_dir, "documents"))
