@@ -22,6 +22,15 @@ def store(df: DataFrame, label: str, partition_by: str | None = None) -> DataFra
     return materialise_table(df, f"llm-{label}", partition_by)
 
 
+#: Rows of a few fixed-width columns that may be broadcast: some tens of MB.
+MOST_BROADCAST = 300_000
+
+
+def bounded(stored: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A stored table of fixed-width rows, to be broadcast if it has at most ``most``; a larger one is joined by an exchange."""
+    return F.broadcast(stored) if stored.count() <= most else stored
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.isEmpty()
 

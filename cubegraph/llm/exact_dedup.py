@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubegraph.llm.base import join_on, keyed, read, register, store
+from cubegraph.llm.base import bounded, join_on, keyed, read, register, store
 
 CHUNK_BYTES = 1 << 18
 MODULI = (2147483647, 2147483629)
@@ -115,7 +115,8 @@ def compared(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
     """doc_id, sha and whether every chunk equals the representative's."""
     k = keyed(docs)
     wanted = members.select("doc_id", "sha", *GROUP, "members", "rep_id", "rep_sha")
-    rows = store(join_on(k, wanted, ["doc_id", "sha"]), "member-texts")  # read for members and for representatives
+    # Few members find their texts without an exchange of all others. Read for members and for representatives.
+    rows = store(join_on(k, bounded(wanted), ["doc_id", "sha"]), "member-texts")
     is_rep = F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("sha") == F.col("rep_sha"))
     salts = F.ceil(F.col("members") / SALT_ROWS).cast("int")
     mine = chunked(
@@ -197,6 +198,7 @@ def without_duplicates(
     )
     cols = docs.columns
     rows = docs.withColumn("__key", F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
+    dropped, repeated = bounded(dropped), bounded(repeated)
     match = lambda other: rows["doc_id"].eqNullSafe(other["__id"]) & (rows["__key"] == other["__sha"])
     stay = rows.join(dropped, match(dropped), "left_anti")
     if repeated.isEmpty():
