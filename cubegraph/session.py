@@ -74,12 +74,16 @@ def drop_stored(spark: SparkSession) -> int:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     paths = _STORED.pop(spark.sparkContext.applicationId, [])
     for path in paths:
-        fs, place = FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
-        if fs.get_file_info(place).type == FileType.Directory:
-            fs.delete_dir(place)
+        _delete(path)
     return len(paths)
 
 
+def _delete(path: str) -> None:
+    fs, place = FileSystem.from_uri(re.sub(r"^file:/+", "/", path))
+    if fs.get_file_info(place).type == FileType.Directory:
+        fs.delete_dir(place)
+
+
 def materialise_table(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the stored table.
 
@@ -91,7 +95,28 @@ def materialise_table(df: DataFrame, label: str, partition_by: str | None = None
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def stored_paths(spark: SparkSession) -> list[str]:
+    """Where this application's stored tables lie, in the order in which they were stored."""
+    return list(_STORED.get(spark.sparkContext.applicationId, []))
+
+
+def end_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete some stored tables; frames that read them are void afterwards."""
+    known = _STORED.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path in known:
+            known.remove(path)
+            _delete(path)
+
+
+def end_table(table: DataFrame) -> None:
+    """Delete a table that ``materialise_table`` returned, once all that read it are stored."""
+    end_paths(table.sparkSession, [table.stored_at])
 
 
 def materialise_buckets(df: DataFrame, label: str, key: str, buckets: int, partition_by: str | None = None) -> DataFrame:
