@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubegraph.session import materialise_table, tune
+from cubegraph.session import end_table, materialise_table, tune
 
 WORD_BREAKS = " \t\n\x0b\f\r"
 
@@ -22,6 +22,13 @@ def store(df: DataFrame, label: str, partition_by: str | None = None) -> DataFra
     return materialise_table(df, f"llm-{label}", partition_by)
 
 
+def superseded(new: DataFrame, *old: DataFrame) -> DataFrame:
+    """A stored table, after the stored ones it was made of have been deleted."""
+    for table in old:
+        end_table(table)
+    return new
+
+
 #: Rows of a few fixed-width columns that may be broadcast: some tens of MB.
 MOST_BROADCAST = 300_000
 

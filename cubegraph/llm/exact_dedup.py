@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubegraph.llm.base import bounded, join_on, keyed, read, register, store
+from cubegraph.llm.base import bounded, join_on, keyed, read, register, store, superseded
 
 CHUNK_BYTES = 1 << 18
 MODULI = (2147483647, 2147483629)
@@ -112,7 +112,7 @@ def nominated(prints: DataFrame) -> DataFrame:
 
 
 def compared(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """doc_id, sha and whether every chunk equals the representative's."""
+    """The stored doc_id, sha and whether every chunk equals the representative's."""
     k = keyed(docs)
     wanted = members.select("doc_id", "sha", *GROUP, "members", "rep_id", "rep_sha")
     # Few members find their texts without an exchange of all others. Read for members and for representatives.
@@ -127,9 +127,8 @@ def compared(docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
         *GROUP, "chunk_no", F.col("chunk").alias("rep_chunk"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")
     )
     pairs = mine.join(theirs, [*GROUP, "chunk_no", "salt"])
-    return pairs.groupBy("doc_id", "sha").agg(
-        F.bool_and(F.col("chunk") == F.col("rep_chunk")).alias("equal")
-    )
+    equal = pairs.groupBy("doc_id", "sha").agg(F.bool_and(F.col("chunk") == F.col("rep_chunk")).alias("equal"))
+    return superseded(store(equal, "compared"), rows)
 
 
 def duplicate_classes(
@@ -141,7 +140,7 @@ def duplicate_classes(
         members = nominated(todo)
         if found is not None and members.isEmpty():
             return found
-        verdict = store(compared(docs, members, size), "compared")
+        verdict = compared(docs, members, size)
         judged = join_on(members, verdict, ["doc_id", "sha"])
         classes = judged.filter("equal").select("doc_id", "sha", "rep_id", "rep_sha", "n_rows")
         found = classes if found is None else found.unionByName(classes)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubegraph.llm.base import join_on, read, register, store, text_of
+from cubegraph.llm.base import join_on, read, register, store, superseded, text_of
 
 MARGINS = ("source", "lang", "topic")
 ROUNDS = 12
@@ -101,7 +101,7 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
     A category without a target, or without cells, takes no part; the shares that do are scaled to one. If ``bounded``,
     targets are tokens and match the sums of least(fitted, mass).
     """
-    fitted = cells.withColumn("fitted", F.col("mass").cast("double"))
+    fitted, last = cells.withColumn("fitted", F.col("mass").cast("double")), []
     for margin, target in targets.items():
         fitted = join_on(fitted, target.withColumnRenamed("share", f"share_{margin}"), [margin])
     for _ in range(rounds):
@@ -109,7 +109,8 @@ def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
             share = F.first(f"share_{margin}")  # one value for each category
             ratio = fitted.groupBy(margin).agg(raking_ratio(share, bounded).alias("ratio"))
             fitted = join_on(fitted, ratio, [margin]).withColumn("fitted", F.col("fitted") * F.col("ratio")).drop("ratio")
-            fitted = store(fitted, "raked")  # read twice by the next step
+            fitted = superseded(store(fitted, "raked"), *last)  # read twice by the next step
+            last = [fitted]
     return fitted.select(*cells.columns, "fitted")
 
 
