@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cubegraph.functions.numbers import choropleth_class
 from cubegraph.functions.text import contains_folded, fold, is_present, rlike
+from cubegraph.operators.names import NameIndex
 from cubegraph.operators.ordering import minmax_scale, top
 
 
@@ -145,11 +146,12 @@ def search(
     limit: int = 40,
     name: str = "colonia",
     tie: str = "id_ubicacion",
+    index: NameIndex | None = None,
 ) -> DataFrame:
-    """First ``limit`` units by Spanish order whose name holds the text, folded."""
+    """First ``limit`` units by Spanish order whose name holds the text, folded; found by ``index`` where there is one."""
     if len(text.strip()) < min_chars:
         return dim.limit(0)
-    hits = dim.filter(contains_folded(F.col(name), text))
+    hits = index.search(text) if index else dim.filter(contains_folded(F.col(name), text))
     if alcaldia:
         hits = hits.filter(fold(F.col("alcaldia")) == fold(F.lit(alcaldia)))
     return top(hits, [F.collate(F.col(name), "es"), tie], limit)

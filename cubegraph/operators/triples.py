@@ -326,7 +326,7 @@ def borough_map(dim_location: DataFrame) -> TriplesMap:
     return TriplesMap(boroughs, BOROUGH, None, (text("rdfs:label", "alcaldia", "es"),))
 
 
-def _demo_feature_map(dim_location: DataFrame) -> TriplesMap:
+def place_map(dim_location: DataFrame) -> TriplesMap:
     flagged = flag_no_geometry(dim_location)
     located = flagged.withColumns(
         {
@@ -426,7 +426,7 @@ def demo_graph(
     """
     maps = [
         borough_map(dim_location),
-        _demo_feature_map(dim_location),
+        place_map(dim_location),
         geometry_map(
             dim_location.filter(F.col("latitud").isNotNull() & F.col("longitud").isNotNull()).withColumn(
                 "wkt", geo.wkt_point(F.col("longitud"), F.col("latitud"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from cubegraph.plans.registered import analytics, anomalies, graph, load, territory, texts
+from cubegraph.plans.registered import analytics, anomalies, exchange, graph, load, territory, texts
 from cubegraph.plans.registered.base import Query
 
-MODULES = (load, analytics, territory, graph, anomalies, texts)
+MODULES = (load, analytics, territory, graph, anomalies, texts, exchange)
 
 
 def all_queries() -> dict[str, Query]:

@@ -283,7 +283,7 @@ def reconcile_names(c):
 SELECT id_ubicacion, alcaldia, colonia FROM dim_ubicacion
 WHERE CONTAINS(LOWER(colonia), 'r#00000') AND LOWER(alcaldia) = 'nation_3' ORDER BY colonia, id_ubicacion LIMIT 40""")
 def search_units(c):
-    return retrieval.search(c.star.dim_location, "R#00000", alcaldia="Nation_3").select(
+    return retrieval.search(c.star.dim_location, "R#00000", alcaldia="Nation_3", index=c.names).select(
         "id_ubicacion", "alcaldia", "colonia"
     )
 

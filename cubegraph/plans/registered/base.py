@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cubegraph.functions.geo import KM_PER_DEGREE, RADIUS_KM
 from cubegraph.operators import marts
 from cubegraph.operators.facts import MEASURES
+from cubegraph.operators.names import NameIndex, index_names
 from cubegraph.operators.ordering import OrderedRows, store_ordered
 from cubegraph.operators.rollup import RollupState
 from cubegraph.operators.termstore import StoredGraph, store_terms
@@ -69,6 +70,10 @@ class Context:
         rows = marts.retrieval_rows(s.fact, s.dim_time, s.dim_location, s.dim_level)
         return store_ordered(rows, marts.retrieval_order(), "retrieval")
 
+    @loaded
+    def names(self) -> NameIndex:
+        return index_names(self.star.dim_location, "id_ubicacion", "colonia", "unit-names")
+
     @loaded
     def edges(self) -> DataFrame:
         return graphs.radius_edges(self.star)

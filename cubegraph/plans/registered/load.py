@@ -323,3 +323,19 @@ def append_fact(c):
     both = writers.load_fact(rows.filter("id_tiempo % 2 = 1"), path, "id_fact")
     keyed = both.groupBy("id_fact").agg(F.count("*").alias("n"), F.sum("consumo_total").alias("total"))
     return keyed.agg(F.sum("n").alias("n"), F.count("*").alias("claves"), F.sum("total").cast("double").alias("total"))
+
+
+@query("""
+SELECT CASE WHEN id_tiempo % 2 = 0 THEN 'even' ELSE 'odd' END AS batch, COUNT(*) AS n, COUNT(*) AS claves, CAST(SUM(consumo_total) AS DOUBLE) AS total
+FROM fact_consumo_agua GROUP BY 1""")
+def repeated_batch(c):
+    """Two named batches, the first half written at first and the second loaded twice: every reading once, under a key of its own."""
+    path = shared_path(c.spark, "batched-fact")
+    rows = c.star.fact.drop("id_fact")
+    even, odd = rows.filter("id_tiempo % 2 = 0"), rows.filter("id_tiempo % 2 = 1")
+    for batch, part in (("even", even.filter("id_ubicacion % 2 = 0")), ("odd", odd), ("even", even), ("odd", odd)):
+        stored = writers.load_fact(part, path, "id_fact", batch)
+    keyed = stored.groupBy("batch", "id_fact").agg(F.count("*").alias("n"), F.sum("consumo_total").alias("total"))
+    return keyed.groupBy("batch").agg(
+        F.sum("n").alias("n"), F.count("*").alias("claves"), F.sum("total").cast("double").alias("total")
+    )

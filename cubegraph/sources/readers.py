@@ -29,8 +29,8 @@ def read_csv(
     """Delimited text with a header, columns by position, one null token.
 
     Values are read as text and cast, so that the token, and only the token or a
-    bare empty field, becomes null; a malformed number or a row with too few or too many fields
-    fails the load. With ``multiline`` quoted fields may hold line breaks; a file
+    bare empty field, becomes null; a malformed number fails the load, and so does a row with too few or too many fields,
+    whatever columns are read. With ``multiline`` quoted fields may hold line breaks; a file
     is then read by one task.
     """
     raw = (
@@ -39,6 +39,7 @@ def read_csv(
         .option("nullValue", _NEVER)
         .option("enforceSchema", True)
         .option("mode", "FAILFAST")
+        .option("columnPruning", False)  # every field is parsed, so a ragged row fails whatever columns are asked for
         .option("multiLine", multiline)
         .options(**DIALECT)
         .csv(path)

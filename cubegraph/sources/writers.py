@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cubegraph.functions.dates import iso_date
 from cubegraph.functions.text import escape_literal
@@ -46,12 +47,22 @@ def load_dim(df: DataFrame, path: str, order: Sequence[str], key: str) -> DataFr
     return spark.read.parquet(path)
 
 
-def load_fact(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Append a batch of facts; keys are unique over all batches, as each begins above the largest stored one."""
+def load_fact(df: DataFrame, path: str, key: str, batch: str | None = None) -> DataFrame:
+    """Append a batch of facts; keys are unique over all batches, as each begins above the largest stored one.
+
+    A named batch is stored under its name, in a column ``batch``: loading it again replaces its rows and no others, and a load that
+    fails leaves none, as its files only move into place once all are written. A table takes named batches or none.
+    """
     spark = df.sparkSession
     largest = _largest(_stored(spark, path), key)
-    with_serial(df, key).withColumn(key, F.col(key) + F.lit(largest)).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    numbered = with_serial(df, key).withColumn(key, F.col(key) + F.lit(largest))
+    if batch is None:
+        numbered.write.mode("append").parquet(path)
+        return spark.read.parquet(path)
+    writer = numbered.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("batch").parquet(path)
+    fields = [f for f in spark.read.parquet(path).schema if f.name != "batch"]
+    return spark.read.schema(StructType([*fields, StructField("batch", StringType())])).parquet(path)
 
 
 def drop_staging(spark: SparkSession, names: Sequence[str]) -> None:

@@ -8,7 +8,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from cubegraph.operators import marts, quality, retrieval
+from cubegraph.functions.text import contains_folded
+from cubegraph.operators import marts, names, quality, retrieval
 from cubegraph.sources import readers, writers
 from cubegraph.sources.schemas import CORRELATION_ROW, MART_ROW
 
@@ -158,3 +159,15 @@ def test_correlation_of_a_chosen_year(spark, mart):
     corr = spark.createDataFrame(CORR, CORR_SCHEMA)
     panel = retrieval.correlation_panel(corr, retrieval.retrieve(mart, alcaldia="A", anio=2019), anio=2019)
     assert {(r.anio, r.total_agua) for r in panel.collect()} == {(2019, 30.0)}
+
+
+def test_name_index_finds_what_a_scan_finds(spark):
+    """Accents, case, padding, short names and texts, repeated grams and letters beyond the basic plane."""
+    listed = ["CENTRO", "Ampliación San Ángel", " san angel ", "SAN", "SA", "", None, "aaaa", "aaab", "banana", "ROMA 🙂🙂🙂", "R.O.M.A"]
+    dim = spark.createDataFrame(list(enumerate(listed)), "id_ubicacion int, colonia string")
+    index = names.index_names(dim, "id_ubicacion", "colonia")
+    for text in ("san", "ÁNGEL", " san angel", "aaa", "anana", "🙂🙂🙂", "a", "sa", "zzz", "n ang", "o.m"):
+        expect = dim.filter(contains_folded(F.col("colonia"), text))
+        assert sorted(r.id_ubicacion for r in index.search(text).collect()) == sorted(r.id_ubicacion for r in expect.collect())
+    plan = index.search("angel")._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(gram" in plan

@@ -5,6 +5,7 @@ import json
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from cubegraph.sources import readers, schemas, writers
 
@@ -47,8 +48,24 @@ def test_quoted_fields(spark, tmp_path, field, value):
 def test_ragged_rows_fail_the_load(spark, tmp_path, ragged):
     path = tmp_path / "r.csv"
     path.write_text("\n".join([HEADER, line(), ragged]) + "\n")
-    with pytest.raises(Exception, match="MALFORMED"):
-        readers.read_csv(spark, str(path), schemas.CONSUMPTION).collect()
+    rows = readers.read_csv(spark, str(path), schemas.CONSUMPTION)
+    for asked in (rows.collect, rows.count, rows.select("consumo_total").collect, rows.select("latitud").distinct().collect):
+        with pytest.raises(Exception, match="MALFORMED"):
+            asked()
+
+
+def test_a_named_batch_is_loaded_once(spark, tmp_path):
+    """Again, corrected, after a failure, and beside others; names of batches are texts."""
+    path = str(tmp_path / "f")
+    rows = lambda *v: spark.createDataFrame([(x,) for x in v], "v int")
+    writers.load_fact(rows(1, 2, 3), path, "id", "01")
+    writers.load_fact(rows(10), path, "id", "1")
+    broken = rows(4, 5).withColumn("v", F.when(F.col("v") == 5, F.raise_error(F.lit("no")).cast("int")).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="no"):
+        writers.load_fact(broken, path, "id", "2")
+    got = writers.load_fact(rows(1, 2, 4), path, "id", "01")
+    assert sorted((r.batch, r.v) for r in got.collect()) == [("01", 1), ("01", 2), ("01", 4), ("1", 10)]
+    assert got.select("id").distinct().count() == 4
 
 
 def test_written_text_is_read_back(spark, tmp_path):
