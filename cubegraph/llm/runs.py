@@ -314,6 +314,26 @@ def digest(words: list[bytes], found: Runs) -> tuple:
 DIGEST = "n_runs long, start long, length long, period long, exponent_milli long, runs_sha256 string, collapsed_sha256 string"
 
 
-@register()
+@register(
+    r"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps),
+d AS MATERIALIZED (SELECT doc_id, w, len(w) AS n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda c, b: xor(steps[xor(c, b) % 256 + 1], c // 256)), CAST(4294967295 AS BIGINT)) AS h
+  FROM (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents), crc),
+e AS MATERIALIZED (SELECT doc_id, w, n, h % 10 = 0 AND n > 0 AS rewritten, (h // 10) % GREATEST(n, 1) AS a, 1 + (n - (h // 10) % GREATEST(n, 1)) // (3 + (h // 10) % 8) AS p FROM d),
+words AS MATERIALIZED (SELECT doc_id, n, i, w[CASE WHEN rewritten AND i >= a THEN a + (i - a) % p ELSE i END + 1] AS x FROM (SELECT *, UNNEST(range(n)) AS i FROM e)),
+alike AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.x = y.x AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+found AS (SELECT doc_id, q, MIN(i) AS s, COUNT(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM alike)
+  GROUP BY doc_id, q, k HAVING COUNT(*) + q >= GREATEST(24, 3 * q)),
+runs AS MATERIALIZED (SELECT doc_id, s, len, MIN(q) AS q FROM found GROUP BY doc_id, s, len),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(len AS DOUBLE) / q DESC, s, q) = 1),
+listed AS (SELECT doc_id, COUNT(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS t FROM runs GROUP BY doc_id),
+dropped AS (SELECT DISTINCT doc_id, UNNEST(range(s + q, s + len)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, COALESCE(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period, 1000 * len // q AS exponent_milli,
+  sha256(COALESCE(listed.t, '')) AS runs_sha256, sha256(COALESCE(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+)
 def op11_periodic_runs(spark, sf_dir):
     return searched(read(spark, sf_dir, "documents"), DIGEST, digest, planted)
