@@ -30,25 +30,16 @@ def _degrees(micros: Column) -> Column:
     return micros / F.lit(1_000_000.0)
 
 
-def _lat_range(located: DataFrame) -> tuple[float, float]:
-    """Smallest and largest absolute latitude; one row on the driver."""
-    row = located.agg(F.min(F.abs("y")).alias("lo"), F.max(F.abs("y")).alias("hi")).first()
-    return ((row.lo or 0) / 1e6, (row.hi or 0) / 1e6)
-
-
-def _cell(micros: Column, size: float) -> Column:
-    return F.floor(_degrees(micros) / F.lit(size))
-
-
 def _around(column: str, reach: int) -> Column:
     return F.explode(F.array(*[F.col(column) + d for d in range(-reach, reach + 1)]))
 
 
-def _band_width(band: Column, lat_size: float) -> Column:
+def _band_width(band: Column, lat_size: float | Column) -> Column:
     """Width in degrees of longitude of the cells of a latitude band: the reach at its edge nearer a pole."""
-    edge = F.greatest(F.abs(band), F.abs(band + 1)) * F.lit(lat_size)
+    size = F.lit(lat_size)
+    edge = F.greatest(F.abs(band), F.abs(band + 1)) * size
     narrowest = F.cos(F.radians(F.least(edge, F.lit(90.0))))
-    return F.least(F.lit(lat_size) / F.greatest(narrowest, F.lit(1e-9)), F.lit(400.0))
+    return F.least(size / F.greatest(narrowest, F.lit(1e-9)), F.lit(400.0))
 
 
 def proximity_pairs(
@@ -120,20 +111,31 @@ def build_proximity(points: DataFrame, radius_km: float = RADIUS_KM) -> DataFram
     )
 
 
-def _grid_levels(cells: DataFrame, wanted: int, max_level: int) -> int:
-    """How often a radius-sized cell must be halved to hold about ``wanted`` points."""
-    fullest = (
-        cells.groupBy(F.shiftright("gy", max_level), F.shiftright("gx", max_level))
-        .agg(F.count("*").alias("n"))
-        .agg(F.max("n").alias("n"))
-        .first()
-        .n
+def _at_level(df: DataFrame, lat_size: float) -> DataFrame:
+    """``df`` (y, x, level) with its cell: a latitude band, halved ``level`` times, and a column of that band's own width."""
+    size = F.lit(lat_size) / F.pow(F.lit(2.0), F.col("level"))
+    return df.withColumn("cy", F.floor(_degrees(F.col("y")) / size)).withColumn(
+        "cx", F.floor(_degrees(F.col("x")) / _band_width(F.col("cy"), size))
     )
+
+
+def _grid_levels(points: DataFrame, lat_size: float, wanted: int, max_level: int) -> int:
+    """How often a radius-sized cell must be halved to hold about ``wanted`` points."""
+    cells = _at_level(points.withColumn("level", F.lit(0)), lat_size).groupBy("cy", "cx").agg(F.count("*").alias("n"))
+    fullest = cells.agg(F.max("n").alias("n")).first().n
     if not fullest or fullest <= wanted:
         return 0
     return min(max_level, math.ceil(math.log(fullest / wanted, 4)) + 1)
 
 
+def _reach(band: Column, size: Column) -> Column:
+    """Diagonal in kilometres of the cells of a latitude band, widest at its edge nearer the equator."""
+    nearer = F.least(F.abs(band), F.abs(band + 1)) * size
+    widest = F.when((band < 0) & (band + 1 > 0), F.lit(1.0)).otherwise(F.cos(F.radians(F.least(nearer, F.lit(90.0)))))
+    width = _band_width(band, size) * widest
+    return F.sqrt(size * size + width * width) * F.lit(KM_PER_DEGREE * _MARGIN)
+
+
 def knn_pairs(
     points: DataFrame,
     k: int = 6,
@@ -148,55 +150,29 @@ def knn_pairs(
     result is handed to all its units. Each coordinate searches on the finest
     grid whose own cell already holds ``k + 1`` candidates, which bounds the
     distance of the k-th neighbour by the cell's diagonal; sparse places search
-    the full radius. Dense places therefore never list all pairs in the radius.
+    the full radius. Dense places therefore never list all pairs in the radius. At every level each latitude band has
+    cells of its own width, so no unit's cells depend on where others lie.
     """
     located = _located(points)
-    low, high = _lat_range(located)
     lat_size = radius_km / KM_PER_DEGREE * _MARGIN
-    lon_size = lat_size / math.cos(math.radians(high))
-    # Cells are as wide as the radius at the highest latitude and wider below it.
-    ratio = math.cos(math.radians(low)) / math.cos(math.radians(high))
-    diagonal = math.sqrt(1 + ratio * ratio)
-    reach = math.ceil(diagonal)
-
-    fine = 2**max_level
     offered = materialise_table(
-        top_k_per_key(located, ["y", "x"], ["id_ubicacion"], k + 1).select(
-            "*",
-            _cell(F.col("y"), lat_size / fine).alias("gy"),
-            _cell(F.col("x"), lon_size / fine).alias("gx"),
-        ),
-        "knn-candidates",
-    )
-    levels = _grid_levels(offered, k + 1, max_level)
-    halvings = F.explode(F.sequence(F.lit(0), F.lit(levels)))
-
-    def at_level(df: DataFrame) -> DataFrame:
-        shift = F.lit(max_level) - F.col("level")
-        return df.withColumn("cy", F.call_function("shiftright", "gy", shift)).withColumn(
-            "cx", F.call_function("shiftright", "gx", shift)
-        )
-
-    leveled = at_level(offered.withColumn("level", halvings))
+        top_k_per_key(located, ["y", "x"], ["id_ubicacion"], k + 1), "knn-candidates"
+    )
+    levels = _grid_levels(offered, lat_size, k + 1, max_level)
+    leveled = _at_level(offered.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))), lat_size)
     counts = leveled.groupBy("level", "cy", "cx").agg(F.count("*").alias("n"))
 
     # One row per coordinate, with the finest level whose own cell is full enough.
     full = counts.filter((F.col("n") > k) & (F.col("level") > 0)).select("level", "cy", "cx")
-    own = leveled.join(full, ["level", "cy", "cx"], "left_semi")
-    finest = own.groupBy("y", "x", "gy", "gx").agg(F.max("level").alias("level"))
-    coordinates = offered.select("y", "x", "gy", "gx").distinct()
-    searches = at_level(
-        coordinates.join(finest, ["y", "x", "gy", "gx"], "left").withColumn(
-            "level", F.coalesce("level", F.lit(0))
-        )
+    finest = leveled.join(full, ["level", "cy", "cx"], "left_semi").groupBy("y", "x").agg(F.max("level").alias("level"))
+    coordinates = offered.select("y", "x").distinct()
+    searches = _at_level(
+        coordinates.join(finest, ["y", "x"], "left").withColumn("level", F.coalesce("level", F.lit(0))), lat_size
     )
 
-    span = F.when(F.col("level") == 0, F.lit(1)).otherwise(F.lit(reach))
+    size = F.lit(lat_size) / F.pow(F.lit(2.0), F.col("level"))
     limit = F.when(F.col("level") == 0, F.lit(float(radius_km))).otherwise(
-        F.least(
-            F.lit(float(radius_km)),
-            F.lit(radius_km * diagonal * _MARGIN) / F.pow(F.lit(2.0), F.col("level")),
-        )
+        F.least(F.lit(float(radius_km)), _reach(F.col("cy"), size))
     )
     parts = counts.select(
         "level", "cy", "cx", F.ceil(F.col("n") / F.lit(chunk)).cast("long").alias("parts")
@@ -210,6 +186,10 @@ def knn_pairs(
         F.col("y").alias("y_b"),
         F.col("x").alias("x_b"),
     )
+    # All cells that the limit reaches: bands by latitude, and in each band columns of its own width.
+    up = F.col("limit_km") / F.lit(KM_PER_DEGREE / _MARGIN)
+    aside = up / F.greatest(F.col("scale_a"), F.lit(1e-9))
+    lat, lon, width = _degrees(F.col("y_a")), _degrees(F.col("x_a")), _band_width(F.col("cy"), size)
     probes = (
         searches.select(
             F.col("y").alias("y_a"),
@@ -217,11 +197,16 @@ def knn_pairs(
             scale_at(_degrees(F.col("y"))).alias("scale_a"),
             "level",
             limit.alias("limit_km"),
-            F.explode(F.sequence(F.col("cy") - span, F.col("cy") + span)).alias("cy"),
+        )
+        .withColumn("cy", F.explode(F.sequence(F.floor((lat - up) / size), F.floor((lat + up) / size))))
+        .withColumn(
             "cx",
-            span.alias("span"),
+            F.explode(
+                F.sequence(
+                    F.floor(F.greatest(lon - aside, F.lit(-181.0)) / width), F.floor(F.least(lon + aside, F.lit(181.0)) / width)
+                )
+            ),
         )
-        .withColumn("cx", F.explode(F.sequence(F.col("cx") - F.col("span"), F.col("cx") + F.col("span"))))
         .join(parts, ["level", "cy", "cx"])
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     )

@@ -56,6 +56,7 @@ SHAPES = {
     "copies": cloud(60, 0.05, 5) + [(19.35, -99.15)] * 120 + [(19.3501, -99.15)] * 20,
     "gaps": [(None, None), (19.3, -99.2), (19.3, None), (19.3001, -99.2)],
     "wide": [(lat / 10 + x, 0.001 * i) for i, lat in enumerate(range(0, 600, 40)) for x in (0.0, 0.004, 0.009)],
+    "polar": cloud(120, 0.05, 6) + cloud(60, 0.002, 7) + [(89.9999, 10.0), (89.9999, -170.0), (-89.9995, 0.0), (89.99, 179.999), (0.0, 0.0), (0.0001, -0.0001)],
     "single": [(19.3, -99.2)],
 }
 
@@ -125,3 +126,12 @@ def test_one_polar_unit_leaves_the_other_cells_as_they_are(spark):
     for chunk in (4096, 2):  # both sides of a crowded cell are cut into parts
         got = territory.proximity_pairs(points, chunk=chunk).select("id_origen", "id_vecino").collect()
         assert len(got) == len(expected) and {tuple(r) for r in got} == expected
+
+
+def test_cells_do_not_depend_on_other_units(spark):
+    """A unit near a pole leaves the cells of all others as they are, at every level."""
+    some = SHAPES["mixed"]
+    cells = lambda c: {tuple(r) for r in territory._at_level(
+        territory._located(points(spark, c)).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(6)))), 0.0135
+    ).filter(f"id_ubicacion <= {len(some)}").select("id_ubicacion", "level", "cy", "cx").collect()}
+    assert cells(some) == cells(some + [(89.9999, 5.0), (-89.9999, 5.0)])
