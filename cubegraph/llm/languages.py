@@ -19,10 +19,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cubegraph.llm.base import fold_of, read, register
+from cubegraph.llm.base import fold_of, read, register, store
 
-#: Bounds of the training sample: documents per language, characters of each, characters in all per language.
-SAMPLE_DOCS, SAMPLE_CHARS, TRAIN_CHARS = 80, 600, 16_000
+#: Bounds of the training sample: texts per language (about; twice as many at most), characters of each, and languages.
+SAMPLE_DOCS, SAMPLE_CHARS, MOST_LANGUAGES = 80, 200, 500
 FOLDS, HELD_OUT = 5, 0
 SEGMENT = 256
 UNKNOWN_LANGUAGE = "und"
@@ -145,13 +145,13 @@ class LanguageModel:
         return pd.DataFrame({"lang_pred": np.where(ok, names, UNKNOWN_LANGUAGE), "score": score.clip(0, 1)})
 
 
-def train(sample: list[tuple[str, str]], most: int = TRAIN_CHARS) -> LanguageModel | None:
+def train(sample: list[tuple[str, str]]) -> LanguageModel | None:
     """A model of (language, text) rows; None where no row has a letter."""
     text_by: dict[str, str] = {}
     for lang, text in sample:
         plain = "".join(c if c.isalpha() else " " for c in text.lower())
         text_by[lang] = text_by.get(lang, "") + " " + " ".join(plain.split())
-    text_by = {k: v[:most] for k, v in sorted(text_by.items()) if v.strip()}
+    text_by = {k: v for k, v in sorted(text_by.items()) if v.strip()}
     if not text_by:
         return None
     letters = sorted({c for t in text_by.values() for c in t if c != " "})
@@ -172,27 +172,28 @@ def train(sample: list[tuple[str, str]], most: int = TRAIN_CHARS) -> LanguageMod
 
 
 def training_sample(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
-    """(lang, text) of about ``docs_per_lang`` labelled documents of each language, chosen by a hash of the id.
+    """(lang, stretch) of about ``docs_per_lang`` labelled texts of each language: at a hashed place of texts chosen by a hash.
 
-    Only documents outside the held-out fold serve. The driver gets at most twice the nominal number.
+    Only documents outside the held-out fold serve, and a text that repeats serves once. Of more than ``MOST_LANGUAGES``
+    values of lang the commonest serve. The driver gets at most twice the nominal number of stretches.
     """
     held = F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False))
     rows = docs.select("doc_id", "lang", "text").filter(~held & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    known = store(sizes.select("lang", (F.lit(float(docs_per_lang)) / F.col("n")).alias("share")), "languages")
+    languages = known.count()
+    if not languages:
         return []
-    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    limit = None
-    for lang, n in sorted(sizes.items()):
-        share = F.lit(docs_per_lang / n)
-        limit = F.when(F.col("lang") == lang, share) if limit is None else limit.when(F.col("lang") == lang, share)
+    spot = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    place = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.length("text") - chars, F.lit(0)) + 1) + 1
     chosen = (
-        rows.filter(spot < limit)
-        .select("lang", F.substring("text", 1, chars).alias("text"), spot.alias("spot"))
+        rows.join(F.broadcast(known), "lang").filter(spot < F.col("share"))
+        .select("lang", F.substr("text", place.cast("int"), F.lit(chars)).alias("text"), spot.alias("spot"))
         .filter(F.col("text").rlike(r"\p{L}"))
+        .dropDuplicates(["lang", "spot", "text"])
         .orderBy("spot", "lang", "text")
-        .limit(2 * docs_per_lang * len(sizes))
-    )
+        .limit(2 * docs_per_lang * languages)
+    )
     return [(r["lang"], r["text"]) for r in chosen.collect()]
 
 

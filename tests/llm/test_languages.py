@@ -41,6 +41,46 @@ def test_phrases_are_the_greedy_parse(monkeypatch):
         assert abs(n - greedy(" " + train, known)) <= 1
 
 
+def plain(text, known):
+    """Letters in lower case, runs of others as one space, letters that no training text has as one mark."""
+    out = ""
+    for c in text:
+        c = (c.lower() if c.lower() in known else "\0") if c.isalpha() else " "
+        out += "" if c == " " and out.endswith(" ") else c
+    return out
+
+
+def segments_parsed(train, text):
+    """Phrases of a text in segments, letter by letter: each segment begins one, and each letter that ends a match the next."""
+    count = 0
+    for at in range(0, len(text), g.SEGMENT):
+        count, match = count + 1, ""
+        for c in text[at : at + g.SEGMENT]:
+            if match + c in train:
+                match += c
+            else:
+                count, match = count + 1, c if c in train else ""
+    return count
+
+
+def test_own_parse_and_predictions_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sample = g.training_sample(docs)
+    model = g.train(sample)
+    by_lang = {}
+    for lang, text in sample:
+        letters = "".join(c if c.isalpha() else " " for c in text.lower())
+        by_lang[lang] = by_lang.get(lang, "") + " " + " ".join(letters.split())
+    known = {c for t in by_lang.values() for c in t if c != " "}
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(40).collect()] + ["x", "ab  ab", "Ωmega 12 ab" * 90]
+    counts, sizes = model.phrases(texts)
+    for text, row, size in zip(texts, counts, sizes):
+        read = plain(text, known)
+        assert (row.tolist(), size) == ([segments_parsed(" " + by_lang[k], read) for k in model.languages], len(read))
+    need = counts * np.log2(np.array([len(by_lang[k]) for k in model.languages]) + 2) / sizes[:, None]
+    assert model.predict(texts)["lang_pred"].tolist() == [model.languages[k] for k in need.argmin(axis=1)]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = {r["doc_id"]: r for r in g.identified(docs).collect()}
