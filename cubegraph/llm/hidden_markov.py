@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubegraph.llm.base import fold_of, read, register, store, text_of
@@ -287,20 +287,11 @@ def scored(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES, block_by
     empty result. Only doc_id and text are read.
     """
     blocks = blocked(docs, block_bytes)
-    # A word has at most one row per block here, so a word's group is no larger than the number of blocks.
-    same_word = Window.partitionBy("word")
+    # A word has a row per block. The rows of a frequent one shrink in the map tasks to its sum, which is then joined back.
     words = blocks.filter("word IS NOT NULL").select("block", "number", "word", "seen")
-    counted = store(
-        words.select(
-            "block",
-            "number",
-            F.sum("seen").over(same_word).alias("c"),
-            (F.row_number().over(same_word.orderBy("block")) == 1).alias("first"),
-            (F.crc32(F.col("word").cast("binary")) % (CLASSES - 1) + 1).cast("int").alias("class"),
-        ),
-        "hmm-counts",
-    )
-    by_class = counted.filter(F.col("first") & (F.col("c") > 0)).groupBy("class").agg(
+    totals = store(words.groupBy("word").agg(F.sum("seen").alias("c")), "hmm-words")
+    counted = store(words.join(totals, "word").select("block", "number", "c"), "hmm-counts")
+    by_class = totals.filter("c > 0").groupBy((F.crc32(F.col("word").cast("binary")) % (CLASSES - 1) + 1).cast("int").alias("class")).agg(
         F.sum("c").alias("n"), F.count("*").alias("v")
     ).collect()
     ends = blocks.filter("doc_ids IS NOT NULL").select(
