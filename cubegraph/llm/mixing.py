@@ -176,8 +176,8 @@ def mixed(
     probability 0. An empty table gives an empty result. Only doc_id, text, source and lang are
     read. ``share`` is that of ``probabilities``.
     """
-    rows = described(docs)
-    cells = probabilities(store(rows, "described"), targets, rounds, share)
+    rows = store(described(docs), "described")  # texts are read once
+    cells = probabilities(rows, targets, rounds, share)
     chance = F.coalesce(F.col("probability"), F.lit(0.0))
     return join_on(rows, cells, list(MARGINS), "left").select(
         "doc_id", *MARGINS, "n_tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"),
