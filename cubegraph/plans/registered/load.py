@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubegraph.functions import dates
@@ -252,9 +253,8 @@ SELECT colonia, COUNT(*) AS n, CAST(SUM(consumo_total) AS DOUBLE) AS total FROM
   FROM stg_consumo WHERE alcaldia IS NOT NULL) GROUP BY colonia"""
 
 
-@query(_QUOTED)
-def readings_through_quoted_csv(c):
-    """Names with quotes, commas, backslashes and line breaks survive the round trip through delimited text."""
+def _quoted(c) -> DataFrame:
+    """Readings as text, with quotes, commas, backslashes and line breaks in their names."""
     day = F.dayofmonth("fecha_referencia") % 4
     ending = F.when(day == 0, ' "ROSAL", A').when(day == 1, "\nB").when(day == 2, " C\\").otherwise(' "D"')
     names = schemas.CONSUMPTION.names
@@ -265,13 +265,29 @@ def readings_through_quoted_csv(c):
             "bimestre": dates.bimester(F.month("fecha_referencia")),
         }
     )
-    text = readings.select(*[F.coalesce(F.col(n).cast("string"), F.lit("NA")).alias(n) for n in names])
-    path = shared_path(c.spark, "quoted-csv")
-    writers.write_csv(text, path)
-    back = readers.read_csv(c.spark, path, schemas.CONSUMPTION, multiline=True)
+    return readings.select(*[F.coalesce(F.col(n).cast("string"), F.lit("NA")).alias(n) for n in names])
+
+
+def _by_name(back: DataFrame) -> DataFrame:
     return back.groupBy("colonia").agg(F.count("*").alias("n"), F.sum("consumo_total").cast("double").alias("total"))
 
 
+@query(_QUOTED)
+def readings_through_quoted_csv(c):
+    """Names with quotes, commas, backslashes and line breaks survive the round trip through delimited text."""
+    path = shared_path(c.spark, "quoted-csv")
+    writers.write_csv(_quoted(c), path)
+    return _by_name(readers.read_csv(c.spark, path, schemas.CONSUMPTION, multiline=True))
+
+
+@query(_QUOTED)
+def readings_through_split_csv(c):
+    """The same text read by as many tasks as its files have splits, wherever these cut a quoted line break."""
+    path = shared_path(c.spark, "split-csv")
+    writers.write_csv(_quoted(c), path)
+    return _by_name(readers.read_csv_records(c.spark, path, schemas.CONSUMPTION))
+
+
 @query("""
 SELECT CAST(EXTRACT(YEAR FROM fecha_hora) AS INTEGER) AS anio, COUNT(*) AS n, COUNT(lluvia) AS con_lluvia, CAST(SUM(humedad_relativa) AS BIGINT) AS humedad,
   CAST(SUM(lluvia) AS DOUBLE) AS lluvia FROM (SELECT fecha_hora, humedad_relativa, NULLIF(lluvia, 0) AS lluvia FROM stg_clima) GROUP BY 1""")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cubegraph.functions.text import first_present, is_missing, unescape_literal
+from cubegraph.session import materialise_table, sized
 from cubegraph.sources.schemas import MART_DOCUMENT, POLYGON_NAMES
 
 NULL_TOKENS = ("", "NA")
@@ -50,6 +53,75 @@ def read_csv(
     )
 
 
+def _quotes(text: Column) -> Column:
+    return F.length(text) - F.length(F.translate(text, DIALECT["quote"], ""))
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of delimited text (file, value), whose quoted fields may hold line breaks; every split of a file is a task of its own.
+
+    A line begins a record if an even number of quotes lies before it in its file. Quotes are counted per split, the counts of earlier
+    splits are added up, and each split then tells its records' first lines. Records of one line, nearly all of them, stay
+    where they are; only lines of longer ones meet, also across splits.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), "value", _quotes(F.col("value")).alias("quotes")
+    )
+    counts = sized(lines.groupBy("file", "split").agg(F.sum("quotes").alias("quotes")), "csv-splits")
+    before = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)  # one row per split
+    splits = sized(counts.select("file", "split", (F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2).cast("int").alias("odd")), "csv-parity")
+    numbered = lines.join(splits, ["file", "split"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict[tuple[str, int], tuple[int, int, int]] = {}  # split -> quotes so far, lines, last first line
+        for b in batches:
+            file, split, quotes, odd = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("file", "split", "quotes", "odd"))
+            line, first, single = [], [], []
+            for f, at, q, o in zip(file, split, quotes, odd):
+                parity, n, begun = state.get((f, at), (o, 0, -1))
+                begun = n if parity == 0 else begun
+                after = (parity + q) % 2
+                line.append(n)
+                first.append(begun)
+                single.append(parity == 0 and after == 0)
+                state[f, at] = (after, n + 1, begun)
+            kept = [b.column(b.schema.get_field_index(c)) for c in ("file", "split", "value")]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(line, pa.int64()), pa.array(first, pa.int64()), pa.array(single, pa.bool_())],
+                names=["file", "split", "value", "line", "first", "single"],
+            )
+
+    told = numbered.mapInArrow(placed, "file string, split long, value string, line long, first long, single boolean")
+    parts = materialise_table(told.filter(~F.col("single")), "csv-parts")
+    # A split's first lines may go on with the last record begun in an earlier split.
+    begun = parts.filter("first >= 0").groupBy("file", "split").agg(F.max("first").alias("last"))
+    known = splits.join(begun, ["file", "split"], "left")
+    mark = F.when(F.col("last").isNotNull(), F.struct(F.col("split").alias("from_split"), F.col("last").alias("from_first")))
+    carried = sized(known.select("file", "split", F.last(mark, ignorenulls=True).over(before).alias("open")), "csv-open")
+    keyed = parts.join(carried, ["file", "split"]).select(
+        "file", "split", "line", "value",
+        F.when(F.col("first") >= 0, F.col("split")).otherwise(F.col("open.from_split")).alias("r_split"),
+        F.when(F.col("first") >= 0, F.col("first")).otherwise(F.col("open.from_first")).alias("r_first"),
+    )
+    long = keyed.groupBy("file", "r_split", "r_first").agg(F.sort_array(F.collect_list(F.struct("split", "line", "value"))).alias("lines"))
+    joined = long.select("file", F.col("r_split").alias("split"), F.col("r_first").alias("line"), F.array_join("lines.value", "\n").alias("value"))
+    records = told.filter("single").select("file", "split", "line", "value").unionByName(joined)
+    return records.select("file", "split", "line", F.regexp_replace("value", "\r$", "").alias("value"))
+
+
+def read_csv_records(spark: SparkSession, path: str, schema: T.StructType, null_token: str = "NA") -> DataFrame:
+    """What ``read_csv`` reads with ``multiline``, a file being read by as many tasks as it has splits.
+
+    The first record of every file is its header; empty lines are none. Text in UTF-8.
+    """
+    records = csv_records(spark, path).filter((F.col("split") + F.col("line") > 0) & (F.col("value") != ""))
+    options = {**DIALECT, "mode": "FAILFAST", "nullValue": _NEVER, "multiLine": "true"}
+    text = _text_schema(schema.names).simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")
+    raw = records.select(F.from_csv("value", text, options).alias("r")).select("r.*")
+    token = F.lit(null_token)
+    return raw.select(*[F.nullif(F.col(f.name), token).cast(f.dataType).alias(f.name) for f in schema])
+
+
 def read_csv_text(
     spark: SparkSession, path: str, null_tokens: Sequence[str] = NULL_TOKENS, multiline: bool = False
 ) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 from decimal import Decimal
 
 import pytest
@@ -44,6 +45,29 @@ def test_quoted_fields(spark, tmp_path, field, value):
     assert [(r.colonia, r.alcaldia, float(r.latitud)) for r in got] == [(value, "A", 19.4), ("next", "A", 19.4)]
 
 
+@pytest.mark.parametrize("size", ["1g", "300"])
+def test_records_of_a_split_file(spark, tmp_path, size):
+    """Line breaks, doubled quotes, carriage returns and empty lines in fields that splits cut anywhere, against the whole-file reader."""
+    r = random.Random(3)
+    texts = ["plain", "two\nlines", 'say ""hi""', "a\n\n\nb", '""', "x, y\n, z", "\n", "é\n""", "long " * 60 + "\n" + "end " * 80]
+    names = [r.choice(texts) for _ in range(300)]
+    for k in range(2):
+        rows = [line(name=f'"{n}"', total=str(k)) for n in names]
+        (tmp_path / f"{k}.csv").write_text("\n".join([HEADER, *rows]) + "\n", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0" if size == "300" else "4m")
+    try:
+        got = readers.read_csv_records(spark, str(tmp_path), schemas.CONSUMPTION)
+        found = sorted((tuple(x) for x in got.collect()), key=repr)
+        tasks = readers.csv_records(spark, str(tmp_path)).select("file", "split").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    whole = readers.read_csv(spark, str(tmp_path), schemas.CONSUMPTION, multiline=True)
+    assert len(found) == 600 and found == sorted((tuple(x) for x in whole.collect()), key=repr)
+    assert tasks > 50 if size == "300" else tasks == 2
+
+
 @pytest.mark.parametrize("ragged", [line().rsplit(",", 2)[0], line() + ",surplus"])
 def test_ragged_rows_fail_the_load(spark, tmp_path, ragged):
     path = tmp_path / "r.csv"
