@@ -205,3 +205,27 @@ def test_climate_means_without_a_decimal(spark):
     assert row["temp_promedio"] == 2e300
     none = climate(spark, hours=[(1, 1, 0)]).withColumn("temperatura", F.lit(None).cast("double"))
     assert facts.daily_rollup(none).first()["temp_promedio"] is None
+
+
+def test_lines_are_exchanged_once_by_their_order(spark, tmp_path):
+    """Orders find their customers first; the last join is that of the lines, whose exchange also evens the stored files."""
+    from cubegraph.sources import reaimed
+
+    tables = {
+        "lineitem": ([(1, 1, 1, 1, 2.0, 3.0, "A", dt.datetime(1997, 1, 1))] * 2 + [(9, 1, 1, 1, 2.0, 3.0, "A", dt.datetime(1997, 1, 1))],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate timestamp"),
+        "orders": ([(1, 5, "F", "5-LOW", 1.0, dt.datetime(1997, 1, 1)), (1, 6, "F", None, 1.0, dt.datetime(1997, 1, 1)), (None, 5, "F", "5-LOW", 1.0, dt.datetime(1997, 1, 1))],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_totalprice double, o_orderdate timestamp"),
+        "customer": ([(5, "a", 0), (5, "b", 0), (6, "c", None)], "c_custkey long, c_name string, c_nationkey int"),
+        "nation": ([(0, "n")], "n_nationkey int, n_name string"),
+    }
+    for name, (rows_, schema) in tables.items():
+        spark.createDataFrame(rows_, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = reaimed.readings(spark, str(tmp_path))
+        joins = [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "SortMergeJoin" in line]
+        assert len(joins) == 3 and "l_orderkey" in joins[0]
+        assert sorted((r.colonia, float(r.consumo_total)) for r in got.collect()) == [("a", 3.0), ("a", 3.0), ("b", 3.0), ("b", 3.0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
