@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cubegraph.operators import dims, integrity, patterns, quality, termstore, triples
 from cubegraph.operators.triples import TriplesMap, decimal, template, text, typed
+from cubegraph.plans import graphs
 from cubegraph.sources import readers, writers
 from cubegraph.sources.vocabulary import AGUA, RDF_TYPE, TRIPLE_SCHEMA, iri, literal, ref, schema_rows, schema_triples
 
@@ -340,3 +341,69 @@ def test_totals_agree_between_graph_and_star(spark, tables, full):
     assert {r.coincide for r in quality.reconcile_totals(patterns.graph_climate_join(full), star).collect()} == {True}
     off = star.withColumn("total_agua", F.col("total_agua") + 1)
     assert {r.coincide for r in quality.reconcile_totals(patterns.graph_climate_join(full), off).collect()} == {False}
+
+
+@pytest.fixture(scope="module")
+def star(tables):
+    from cubegraph.plans.warehouse import Star
+
+    return Star(
+        readings=None, climate=None, dim_time=tables["time"], dim_location=tables["units"], dim_level=tables["levels"],
+        fact=tables["fact"], fact_climate=tables["weather"],
+    )
+
+
+def not_built():
+    raise AssertionError("no pattern asked for this table")
+
+
+def test_mapped_graph_holds_the_triples_under_each_predicate(star, tables, full):
+    graph = graphs.mapped_graph(star, lambda: tables["edges"])
+    whole = plain(full)
+    for p in (RDF_TYPE, iri("rdfs:label"), iri("agua:distanceKm"), iri("agua:period")):
+        assert plain(graph.make({p}).select(*triples.COLUMNS)) == [r for r in whole if r[1] == p], p
+    assert graph.make({"http://x/none"}).count() == 0
+    assert plain(graph.frame) == whole
+
+
+def test_maps_left_out_state_nothing_else(star, tables):
+    stated = lambda m: {iri(p.predicate) for p in m.all_properties()}
+    edges = tables["edges"]
+    assert stated(triples.proximity_map(edges)) == {iri(p) for p in triples.EDGE_PREDICATES}
+    maps = triples.demo_maps(star.dim_time, star.dim_location, star.dim_level, star.fact, star.fact_climate, edges)
+    bare = triples.demo_maps(star.dim_time, star.dim_location, star.dim_level, None, star.fact_climate, None)
+    assert len(maps) == len(bare) + 2
+    assert [stated(m) for m in maps if m.table is star.fact] == [{iri(p) for p in triples.DEMO_OBSERVATION_PREDICATES}]
+    assert stated(triples._demo_edge_map(edges)) == {iri(p) for p in triples.DEMO_EDGE_PREDICATES}
+
+
+def test_mapped_graph_builds_edges_and_observations_only_for_patterns_that_ask(star, full, reduced):
+    graph = graphs.mapped_graph(star, not_built)
+    for ask in (patterns.by_level, patterns.graph_climate_join):
+        assert plain(ask(graph)) == plain(ask(full))
+    with pytest.raises(AssertionError, match="asked"):
+        patterns.count_pattern(graph, p="agua:nearbyWithin1500m")
+    coarse = graphs.reduced_graph(star, not_built, not_built)
+    assert plain(patterns.load_units(coarse)) == plain(patterns.load_units(reduced))
+
+
+def test_mapped_graphs_answer_as_their_triples_do(star, tables, full, reduced):
+    numbered = graphs.observations(star).cache()
+    mapped = graphs.mapped_graph(star, lambda: tables["edges"])
+    coarse = graphs.reduced_graph(star, lambda: numbered, lambda: tables["edges"])
+    for p in ("rdfs:label", "agua:nearbyWithin1500m", "agua:totalConsumption"):
+        assert plain(coarse.make({iri(p)}).select(*triples.COLUMNS)) == plain(patterns.match(reduced, p=p)), p
+    for ask in (patterns.class_counts, lambda g: patterns.neighbour_consumption(g, "agua:colonia/1")):
+        assert plain(ask(mapped)) == plain(ask(full))
+    faulty = graphs.faulty_graph(coarse)
+    whole = faulty.frame.coalesce(2).cache()
+    for p in (RDF_TYPE, "qb:structure", "agua:unit", "agua:location"):
+        assert plain(faulty.rows(p=p)) == plain(termstore.as_graph(whole).rows(p=p)), p
+    assert patterns.match(whole, s="agua:vacioDSD").count() == 1
+    assert patterns.match(whole, s="agua:consumoCDMX", p="agua:unit").count() == 0
+
+
+def test_rows_of_edges_are_one_before_texts_are_made(tables):
+    edges = triples.proximity_map(tables["edges"])
+    assert edges.triples({RDF_TYPE}, once=True).count() == 2
+    assert edges.triples({RDF_TYPE, iri("agua:distanceKm")}, once=True).count() == 6  # (origin, distance) rows, two triples each
