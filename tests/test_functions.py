@@ -181,3 +181,11 @@ def test_distance_is_directed(spark):
 def test_box_is_inclusive(spark):
     df = spark.createDataFrame([(19.04, -99.36), (19.6, -98.94), (19.61, -99.0)], "a double, o double")
     assert [r.v for r in df.select(geo.in_bbox(F.col("a"), F.col("o")).alias("v")).collect()] == [True, True, False]
+
+
+def test_thousandths_round_as_the_text_does(spark):
+    values = [0.0, 0.0005, 0.0015, 1.0005, 1.4995, 1.499500000001, 0.1234999999999, 2.675, 1.0, 1.5, 0.1, 999.9995, -0.0015, -1.2345, 123456.7885]
+    values += [k / 2000 for k in range(1, 400)] + [(k / 2000) * (1 + 2**-52) for k in range(1, 400)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    wrong = df.filter(numbers.thousandths(F.col("x")) != F.round("x", 3).cast("decimal(12,3)"))
+    assert wrong.count() == 0

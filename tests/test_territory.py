@@ -7,7 +7,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from cubegraph.operators import territory
+from cubegraph import session
+from cubegraph.operators import territory, triples
 
 SCHEMA = "id_ubicacion long, latitud decimal(9,6), longitud decimal(9,6)"
 
@@ -135,3 +136,35 @@ def test_cells_do_not_depend_on_other_units(spark):
         territory._located(points(spark, c)).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(6)))), 0.0135
     ).filter(f"id_ubicacion <= {len(some)}").select("id_ubicacion", "level", "cy", "cx").collect()}
     assert cells(some) == cells(some + [(89.9999, 5.0), (-89.9999, 5.0)])
+
+
+def test_degrees_and_distances_equal_those_of_stored_pairs(spark):
+    units = points(spark, SHAPES["mixed"] + SHAPES["copies"]).withColumn(
+        "alcaldia", F.when(F.col("id_ubicacion") % 7 == 0, None).otherwise(F.concat(F.lit("b"), (F.col("id_ubicacion") % 3).cast("string")))
+    )
+    borough = {r.id_ubicacion: r.alcaldia for r in units.collect()}
+    near = [(r.id_origen, r.id_vecino, r.distancia_km) for r in territory.build_proximity(units).collect()]
+    got = {tuple(r) for r in territory.neighbour_degrees(units).collect()}
+    others = {}
+    for a, b, _ in near:
+        others.setdefault(a, []).append(borough[b])
+    assert got == {(a, borough[a], len(o), len(set(o) - {None})) for a, o in others.items()}
+    apart = [tuple(r) for r in territory.origin_distances(units).collect()]
+    assert len(apart) == len(set(apart)) and set(apart) == {(a, d) for a, _, d in near}
+
+
+def test_no_pair_is_stored_or_exchanged(spark):
+    """What is counted by origin shrinks where pairs are made: no exchange lies between a join of pairs and its sums."""
+    units = points(spark, SHAPES["copies"]).withColumn("alcaldia", F.lit("a"))
+    stored = len(session.stored_paths(spark))
+    territory.build_proximity(units).groupBy("id_origen").count().collect()
+    assert len(session.stored_paths(spark)) == stored + 1  # the sizes of cells alone
+
+
+def test_a_pattern_of_one_unit_pairs_this_unit_alone(spark):
+    units = points(spark, SHAPES["dense"])
+    near = triples.proximity_map(territory.build_proximity(units)).triples({triples.iri("agua:nearbyWithin1500m")})
+    one = near.filter(F.col("s") == triples.AGUA + "colonia/7")
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "colonia/7" in plan[plan.index("Join") :]  # the filter lies below the join of pairs
+    assert one.count() == near.filter(F.col("s").endswith("colonia/7")).count() > 0
