@@ -415,3 +415,36 @@ def test_rows_that_repeat_triples_are_distinct_by_predicate(spark):
     got = triples.materialise([twice]).groupBy("p").count().collect()
     assert {r.p: r["count"] for r in got} == {RDF_TYPE: 1, iri("agua:v"): 2, iri("agua:t"): 2, iri("agua:w"): 2}
     assert twice.tells_apart(iri("agua:v")) and not twice.tells_apart(iri("agua:t"))
+
+
+STARS = [
+    [("?obs", "agua:period", "?p"), ("?obs", "agua:mixedConsumption", "#c"), ("?obs", "agua:location", "?u")],
+    [("?w", "qb:dataSet", "agua:climaCDMX"), ("?w", "agua:period", "?p")],
+    [("?u", "agua:borough", "?b"), ("?u", "rdfs:label", "?n"), ("?b", "rdfs:label", "?m")],
+    [("?obs", "agua:totalConsumption", "?x"), ("?x", "agua:period", "?p"), ("?obs", "agua:period", "?q")],
+]
+
+
+def test_patterns_about_one_subject_answer_as_their_join(star, reduced):
+    numbered = graphs.observations(star).cache()
+    coarse = graphs.reduced_graph(star, lambda: numbered, not_built)
+    for asked in STARS:
+        got, expect = patterns.bgp(coarse, asked), patterns.bgp(reduced, asked)
+        assert plain(got.select(*sorted(got.columns))) == plain(expect.select(*sorted(got.columns))), asked
+
+
+def test_patterns_about_one_subject_are_read_off_its_rows(spark, star, tables, full, reduced):
+    mapped = graphs.mapped_graph(star, not_built)
+    assert mapped.star(["agua:location", "agua:totalConsumption"]).count() == 5
+    plan = patterns.bgp(mapped, STARS[0])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 1  # observations meet the names of their levels
+    assert mapped.star([RDF_TYPE, "agua:latitude"]) is None  # edges state the class, too
+    assert mapped.star(["skos:prefLabel", "skos:inScheme"]) is None  # so does the schema
+    coarse = graphs.reduced_graph(star, not_built, not_built)  # units need neither observations nor edges
+    assert plain(patterns.units(coarse)) == plain(patterns.units(reduced))
+
+
+def test_union_is_put_together_of_two_parts(spark, full, stored):
+    graph = stored[0].triples
+    kept, added = termstore.union_parts(graph, graph)
+    assert kept.count() == full.count() and added.count() == 0

@@ -100,6 +100,21 @@ def test_threshold_applies_before_rounding(spark):
     assert edges == {(1, 3): 1.5, (3, 1): 1.5}
 
 
+def test_edges_as_bits_hold_every_link_and_distance_once(spark):
+    df = points(spark, [*SHAPES["mixed"], (None, None)])
+    edges = territory.build_proximity(df)
+    expect = edges.count() + edges.select("id_origen", "distancia_km").distinct().count()
+    sets = territory.edge_bits(df)
+    assert territory.count_bits(sets).first().n == expect
+    both = territory.union_of_bits(sets, sets)
+    assert territory.count_bits(both).first().n == expect and both.count() == sets.count()
+    assert sets.count() < expect and territory.count_bits(sets.limit(0)).first().n == 0
+    held = {
+        (r.id_origen, 64 * r.word + i) for r in sets.filter("enlace").collect() for i in range(64) if r.bits >> i & 1
+    }
+    assert held == pairs(edges)
+
+
 def test_no_plan_compares_all_pairs(spark):
     df = points(spark, SHAPES["even"])
     for out in (territory.proximity_pairs(df), territory.knn_pairs(df)):
