@@ -7,7 +7,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from cubegraph.operators import dims, integrity, patterns, quality, termstore, triples
+from cubegraph.operators import dims, integrity, patterns, quality, termstore, territory, triples
 from cubegraph.operators.triples import TriplesMap, decimal, template, text, typed
 from cubegraph.plans import graphs
 from cubegraph.sources import readers, writers
@@ -448,3 +448,9 @@ def test_union_is_put_together_of_two_parts(spark, full, stored):
     graph = stored[0].triples
     kept, added = termstore.union_parts(graph, graph)
     assert kept.count() == full.count() and added.count() == 0
+
+
+def test_stored_sets_of_edges_united_with_themselves_stay(star):
+    edges = graphs.packed_edges(star)
+    both = territory.union_of_bits(edges, edges)
+    assert territory.count_bits(both).first().n == territory.count_bits(edges).first().n == 11  # six links; two distances of each end, one of the middle
