@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from cubegraph.operators import dims, integrity, patterns, quality, termstore, territory, triples
+from cubegraph.operators import dims, integrity, ordering, patterns, quality, termstore, territory, triples
 from cubegraph.operators.triples import TriplesMap, decimal, template, text, typed
 from cubegraph.plans import graphs
 from cubegraph.sources import readers, writers
@@ -454,3 +456,31 @@ def test_stored_sets_of_edges_united_with_themselves_stay(star):
     edges = graphs.packed_edges(star)
     both = territory.union_of_bits(edges, edges)
     assert territory.count_bits(both).first().n == territory.count_bits(edges).first().n == 11  # six links; two distances of each end, one of the middle
+
+
+def test_observations_are_exchanged_once_and_numbered_in_order(spark, star, monkeypatch):
+    plans, store = [], ordering.materialise_table
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, label)
+
+    monkeypatch.setattr(ordering, "materialise_table", seen)
+    monkeypatch.setattr(graphs, "_FACTS_PER_TASK", 7, raising=False)
+    # The keys of the levels do not follow their names; every third reading comes twice, the third unit has most.
+    levels = store(spark.createDataFrame([(1, "MEDIO"), (2, "ALTO"), (3, "BAJO")], "id_indice_des long, indice_des string"), "levels")
+    keys = [(t, u, i) for t in range(1, 5) for u in (1, 2, 3, 3, 9) for i in (1, 2, 3)]
+    rows = [(n, *k, Decimal(n), None if n % 2 else Decimal(n), Decimal(0), Decimal(0), None) for n, k in enumerate(keys + keys[::3])]
+    fact = store(spark.createDataFrame(rows, star.fact.schema).repartition(3), "facts")
+    got = graphs.observations(replace(star, fact=fact, dim_level=levels)).collect()
+    assert len(plans) == 1 and len(re.findall(r"(?<!Broadcast)Exchange ", plans[0])) == 1, plans
+    name = {1: "MEDIO", 2: "ALTO", 3: "BAJO"}
+    groups = {}
+    for n, (t, u, i) in enumerate(keys + keys[::3]):
+        groups.setdefault((u, t, name[i]), []).append(n)
+    assert sorted(
+        (r.id_obs, (r.id_ubicacion, r.id_tiempo, r.indice_des), r.consumo_total, r.consumo_prom, r.registros) for r in got
+    ) == [
+        (k, key, sum(ns), sum(even) / len(even) if (even := [n for n in ns if n % 2 == 0]) else None, len(ns))
+        for k, (key, ns) in enumerate(sorted(groups.items()), 1)
+    ]
