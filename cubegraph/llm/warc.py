@@ -196,6 +196,15 @@ class Source:
         self.file.seek(begin)
         self.end = end
 
+    def ahead(self, n: int) -> bytes:
+        """The next ``n`` bytes, fewer only at the end of the file; a buffer may end within them."""
+        found = self.file.peek(n)[:n]
+        if len(found) < n:
+            at = self.file.tell()
+            found = self.file.read(n)
+            self.file.seek(at)
+        return found
+
     def done(self) -> bool:
         if self.end is not None and self.file.tell() >= self.end:
             return True
@@ -208,7 +217,7 @@ class Inflated:
     def __init__(self, source: Source):
         self.file = source.file
         self.at = self.file.tell()
-        head = self.file.peek(GZIP_HEAD.size)[: GZIP_HEAD.size]
+        head = source.ahead(GZIP_HEAD.size)
         self.size = None
         if len(head) == GZIP_HEAD.size and head[3] & 4 and head[12:14] == b"sl":
             self.size = GZIP_HEAD.unpack(head)[10]
@@ -275,16 +284,17 @@ def columns_of(fields: dict[str, str]) -> dict[str, str | None]:
 def records(source: Source, wanted: Callable[[dict], bool], payloads: bool) -> Iterator[dict]:
     """The records whose header columns ``wanted`` accepts."""
     while not source.done():
-        entry = Inflated(source) if source.file.peek(2)[:2] == b"\x1f\x8b" else Plain(source)
-        data = b""
-        while b"\r\n\r\n" not in data:
+        entry = Inflated(source) if source.ahead(2) == b"\x1f\x8b" else Plain(source)
+        read, looked = bytearray(), 0
+        while read.find(b"\r\n\r\n", looked) < 0:
+            looked = max(len(read) - 3, 0)  # what was looked through is not looked through again
             more = entry.read(HEAD_BYTES)
             if not more:
                 break
-            data += more
-        if not data.strip():
+            read += more
+        if not read.strip():
             break
-        head, _, data = data.partition(b"\r\n\r\n")
+        head, _, data = bytes(read).partition(b"\r\n\r\n")
         fields = parse_headers(head)
         length = int(fields.get("content-length", 0))
         if isinstance(entry, Plain):

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import random
 
 from cubegraph.llm import warc as w
 
@@ -84,3 +85,21 @@ def test_clashing_columns_and_empty_table(spark):
     df = frame(spark).select("*", *[F.lit("x").alias(c) for c in ("digest", "size", "first", "payload", "record_type")])
     assert sorted((tuple(r) for r in w.through_archives(df).collect()), key=repr) == expected()
     assert w.through_archives(frame(spark).limit(0)).collect() == []
+
+
+def test_records_at_every_place_of_the_readers_buffer(tmp_path):
+    """A record may begin where one or a few bytes of the buffer are left."""
+    fields = {"record_type": "response", "payload_length": None}
+    for left in (1, 2, 5, 23, 24):
+        size, body = (1 << 18) - left, random.Random(left).randbytes(1 << 18)
+        least = len(w.member(w.record({**fields, "record_id": "urn:page:1", "payload": body}))) - len(body)
+        cut = size - least
+        while (made := w.member(w.record({**fields, "record_id": "urn:page:1", "payload": body[:cut]}))) and len(made) != size:
+            cut += size - len(made)
+        rest = [w.member(w.record({**fields, "record_id": f"urn:page:{i}", "payload": b"x" * i})) for i in range(2, 40)]
+        (tmp_path / "a.warc.gz").write_bytes(made + b"".join(rest))
+        for payloads in (True, False):  # without payloads the reader passes over them
+            source = w.Source(*w.open_fs(str(tmp_path / "a.warc.gz")), 0, None)
+            found = list(w.records(source, lambda r: True, payloads))
+            assert [r["record_id"] for r in found] == [f"urn:page:{i}" for i in range(1, 40)], left
+            assert [r["payload"] for r in found[1:]] == [b"x" * i if payloads else None for i in range(2, 40)]
