@@ -183,3 +183,17 @@ def test_a_pattern_of_one_unit_pairs_this_unit_alone(spark):
     plan = one._jdf.queryExecution().optimizedPlan().toString()
     assert "colonia/7" in plan[plan.index("Join") :]  # the filter lies below the join of pairs
     assert one.count() == near.filter(F.col("s").endswith("colonia/7")).count() > 0
+
+
+def test_bits_by_place_hold_the_same_sets_in_fewer_words(spark):
+    r = random.Random(3)
+    near = [(19.3 + r.random() / 10, -99.2 + r.random() / 10) for _ in range(1500)]
+    df = points(spark, [*near, (None, None)])
+    numbered = territory.with_place_numbers(df, "numero").cache()
+    numbers = {row.id_ubicacion: row.numero for row in numbered.collect()}
+    assert sorted(numbers) == sorted(numbers.values()) == list(range(1, 1501))
+    sets, by_id = territory.edge_bits(numbered, number="numero"), territory.edge_bits(df)
+    assert territory.count_bits(sets).first().n == territory.count_bits(by_id).first().n
+    held = {(row.id_origen, 64 * row.word + i) for row in sets.filter("enlace").collect() for i in range(64) if row.bits >> i & 1}
+    assert held == {(a, numbers[b]) for a, b in pairs(territory.build_proximity(df))}
+    assert 2 * sets.filter("enlace").count() < by_id.filter("enlace").count()
