@@ -131,6 +131,18 @@ def test_export_validates_before_it_writes(spark, mart, tmp_path):
     assert readers.read_mart_rows(spark, target + "/correlacion", CORRELATION_ROW).filter("dias_ola_calor = 0").count() == 1
 
 
+def test_a_compressed_export_reads_back_the_same(spark, mart, tmp_path, rows, monkeypatch):
+    """Files are compressed and of bounded length, so many tasks read them; the query exports so."""
+    monkeypatch.setattr(writers, "FILE_ROWS", 2)
+    corr, good = spark.createDataFrame(CORR, CORR_SCHEMA), mart.filter("consumo_total IS NOT NULL")
+    for name in ("none", "gzip"):
+        assert writers.export_mart(good, corr, str(tmp_path / name), min_boroughs=2, compression=name) == []
+    plain, packed = (readers.read_mart_rows(spark, str(tmp_path / name / "consumo_colonia"), MART_ROW) for name in ("none", "gzip"))
+    assert rows(plain) == rows(packed) and plain.count() == 6
+    files = [p.name for p in (tmp_path / "gzip" / "consumo_colonia").glob("part-*")]
+    assert len(files) >= 3 and all(f.endswith(".json.gz") for f in files)
+
+
 def test_rows_without_coordinate_forbid_the_export(spark, mart):
     corr = spark.createDataFrame(CORR, CORR_SCHEMA)
     unplaced = mart.withColumn("latitud", F.when(F.col("colonia") == "z", F.col("latitud")))
